@@ -15,6 +15,7 @@ from shopflow.operators.filters import completed_in_range, orders_in_date_range
 from shopflow.operators.joins import attach_employee_name, attach_product_columns
 from shopflow.schema import RECENT_ORDERS, TOP_PRODUCTS
 
+
 def _zero_money() -> Column:
     return F.lit(0).cast("decimal(10,2)")
 

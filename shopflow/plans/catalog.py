@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shopflow.operators import filters, inventory, joins, quality, reports
+from shopflow.operators import reports
 from shopflow.plans.views import with_views
 from shopflow.sources import driver
 
@@ -195,3 +195,7 @@ SELECT * FROM (
                  ORDER BY orderDateTime DESC, orderID DESC LIMIT 50))""", "shop_orders"))
 def q_active_orders_union(spark, sf_dir):
     return reports.active_orders_union(_t(spark, sf_dir).orders)
+
+
+# Further registrations (imported last: they use ``register`` defined above).
+from shopflow.plans import catalog_changes, catalog_lists  # noqa: E402,F401
