@@ -12,7 +12,7 @@ single window partition:
 
 1. requests are summed per (product, order) (map-side partial aggregation);
 2. the order sequence is cut into ``buckets`` ranges at approximate
-   quantiles (equal-count buckets, monotone in ``order_seq``);
+   quantiles of the request lines (equal-count buckets, monotone in ``order_seq``);
 3. per (product, bucket) totals -> exclusive running sum over buckets
    (a window with at most ``buckets`` rows per product);
 4. inside each (product, bucket) an exclusive running sum over orders;
@@ -35,11 +35,20 @@ def _bucket_splits(df: DataFrame, col: str, buckets: int) -> list[float]:
     return [float("-inf")] + splits + [float("inf")]
 
 
-def demand_before(requests: DataFrame, seq: str = "order_seq", buckets: int = 64) -> DataFrame:
+def default_buckets(df: DataFrame) -> int:
+    """Sequence buckets: 4 per shuffle partition (at least 64), so a product
+    holding a third of all lines is spread over many window partitions."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return max(64, 4 * n)
+
+
+def demand_before(requests: DataFrame, seq: str = "order_seq", buckets: int | None = None) -> DataFrame:
     """Per (productID, seq): ``req`` and ``before`` = sum of the product's
     requests in all earlier orders. ``requests`` has (seq, productID, quantity)."""
+    buckets = buckets or default_buckets(requests)
+    # Quantiles of the sequence column alone (a one-column scan, bounded result).
+    splits = _bucket_splits(requests, seq, buckets)
     r = requests.groupBy("productID", seq).agg(F.sum("quantity").alias("req"))
-    splits = _bucket_splits(r, seq, buckets)
     r = Bucketizer(splits=splits, inputCol="_seqd", outputCol="_bucket").transform(
         r.withColumn("_seqd", F.col(seq).cast("double"))).drop("_seqd")
     bt = r.groupBy("productID", "_bucket").agg(F.sum("req").alias("_bsum"))
@@ -53,7 +62,7 @@ def demand_before(requests: DataFrame, seq: str = "order_seq", buckets: int = 64
 
 
 def stock_allocation(requests: DataFrame, stock: DataFrame, seq: str = "order_seq",
-                     buckets: int = 64) -> DataFrame:
+                     buckets: int | None = None) -> DataFrame:
     """Decide every request line.
 
     ``requests``: (seq, productID, quantity, ...) lines; ``stock``: (productID,

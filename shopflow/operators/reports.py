@@ -8,7 +8,7 @@ hot key (one product or day with a third of all rows) is reduced per task first.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shopflow.operators.filters import completed_in_range, orders_in_date_range
@@ -63,11 +63,12 @@ def product_ranking(tables, date_from=None, date_to=None) -> DataFrame:
 
 
 def product_rank_positions(ranking: DataFrame) -> DataFrame:
-    """Rank 1..n in ranking order, top three marked. The window is global, so it
-    runs only after aggregation, over one row per product (sorted in ranges by
-    Spark's range partitioner before the single ordered pass)."""
-    w = Window.orderBy(F.col("total_sold").desc(), F.col("productID"))
-    return ranking.withColumn("rank", F.row_number().over(w)).withColumn(
+    """Rank 1..n in ranking order (units desc, productID), top three marked.
+    Numbered with :func:`global_row_number`, so no single-partition window."""
+    from shopflow.operators.ranking import global_row_number
+
+    r = global_row_number(ranking, [F.col("total_sold").desc(), F.col("productID")])
+    return r.withColumn(
         "medal", F.when(F.col("rank") <= 3, F.col("rank")).otherwise(F.lit(None).cast("int")))
 
 
