@@ -91,12 +91,20 @@ def product_image_path(image) -> Column:
 
 # ---------------------------------------------------------------- numbers
 def js_int(c) -> Column:
-    """JavaScript ``parseInt``: leading optional sign and digits after leading
-    whitespace ("3abc" -> 3, "3.7" -> 3, " -2" -> -2); null when there are none
-    (NaN)."""
+    """JavaScript ``parseInt`` (no radix): leading optional sign and digits after
+    leading whitespace ("3abc" -> 3, "3.7" -> 3, " -2" -> -2, "0x1A" -> 26);
+    null when there are none (NaN). Clean integer text takes the plain cast;
+    only other text goes through the regular expressions."""
     s = _c(c).cast("string")
+    hexm = F.regexp_extract(s, r"^\s*([+-]?)0[xX]([0-9a-fA-F]+)", 2)
+    hexv = F.conv(hexm, 16, 10).try_cast("long") * F.when(
+        F.regexp_extract(s, r"^\s*([+-]?)0[xX]", 1) == "-", F.lit(-1)).otherwise(F.lit(1))
     m = F.regexp_extract(s, r"^\s*([+-]?\d+)", 1)
-    return F.when(m == "", F.lit(None).cast("long")).otherwise(m.try_cast("long"))
+    slow = (F.when(hexm != "", hexv)
+            .when(m == "", F.lit(None).cast("long")).otherwise(m.try_cast("long")))
+    # A plain cast accepts only whole integer text (whitespace trimmed), where it
+    # agrees with parseInt; everything else is null there and takes ``slow``.
+    return F.coalesce(s.try_cast("long"), slow)
 
 
 def js_float(c) -> Column:

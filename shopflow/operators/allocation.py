@@ -10,13 +10,17 @@ The prefix sum "all earlier requests of this product" is computed in two
 levels so that one product holding a large share of all lines is never a
 single window partition:
 
-1. requests are summed per (product, order) (map-side partial aggregation);
-2. the order sequence is cut into ``buckets`` ranges at approximate
-   quantiles of the request lines (equal-count buckets, monotone in ``order_seq``);
-3. per (product, bucket) totals -> exclusive running sum over buckets
-   (a window with at most ``buckets`` rows per product);
-4. inside each (product, bucket) an exclusive running sum over orders;
-5. offset(3) + offset(4) is the demand before the order.
+1. the order sequence is cut into ``buckets`` ranges at approximate
+   quantiles of the request lines (equal-count buckets, monotone in the
+   sequence; the quantiles are a one-column scan with a bounded result);
+2. lines are shuffled once by (product, bucket); a window over that
+   partitioning gives the demand of earlier orders inside the bucket (a range
+   frame ending one below the current sequence, so lines of one order see
+   the same stock);
+3. bucket totals (one row per product and bucket; partial sums combine
+   map-side) get an exclusive running sum over buckets (at most ``buckets``
+   rows per product) and are joined back.
+
 """
 
 from __future__ import annotations
@@ -30,8 +34,8 @@ _PREV = Window.unboundedPreceding
 
 def _bucket_splits(df: DataFrame, col: str, buckets: int) -> list[float]:
     qs = [i / buckets for i in range(1, buckets)]
-    cuts = df.approxQuantile(col, qs, 0.001) if buckets > 1 else []
-    splits = sorted(set(float(c) for c in cuts))
+    cuts = df.approxQuantile(col, qs, 0.01) if buckets > 1 else []
+    splits = sorted(set(float(c) for c in cuts)) or [0.0]  # Bucketizer needs >= 3 splits
     return [float("-inf")] + splits + [float("inf")]
 
 
@@ -42,27 +46,30 @@ def default_buckets(df: DataFrame) -> int:
     return max(64, 4 * n)
 
 
-def demand_before(requests: DataFrame, seq: str = "order_seq", buckets: int | None = None) -> DataFrame:
-    """Per (productID, seq): ``req`` and ``before`` = sum of the product's
-    requests in all earlier orders. ``requests`` has (seq, productID, quantity)."""
+def demand_before(requests: DataFrame, seq: str = "order_seq", buckets: int | None = None,
+                  splits_from: DataFrame | None = None) -> DataFrame:
+    """``requests`` lines plus ``before`` = the product's requested quantity
+    in all earlier orders (``seq`` must be integral). Bucket bounds are
+    quantiles of ``seq`` in ``splits_from`` (default: ``requests``); any frame
+    with the same sequence values will do, e.g. the lines before a join."""
     buckets = buckets or default_buckets(requests)
-    # Quantiles of the sequence column alone (a one-column scan, bounded result).
-    splits = _bucket_splits(requests, seq, buckets)
-    r = requests.groupBy("productID", seq).agg(F.sum("quantity").alias("req"))
+    splits = _bucket_splits(splits_from if splits_from is not None else requests, seq, buckets)
     r = Bucketizer(splits=splits, inputCol="_seqd", outputCol="_bucket").transform(
-        r.withColumn("_seqd", F.col(seq).cast("double"))).drop("_seqd")
-    bt = r.groupBy("productID", "_bucket").agg(F.sum("req").alias("_bsum"))
+        requests.withColumn("_seqd", F.col(seq).cast("double"))).drop("_seqd")
+    earlier = Window.partitionBy("productID", "_bucket").orderBy(F.col(seq)).rangeBetween(_PREV, -1)
+    x = r.withColumn("_ioff", F.coalesce(F.sum("quantity").over(earlier), F.lit(0)))
+    # Bucket totals straight from the lines: partial sums combine map-side, so
+    # only (product, bucket) partials are shuffled, not the lines again.
+    bt = r.groupBy("productID", "_bucket").agg(F.sum("quantity").alias("_btot"))
     wb = Window.partitionBy("productID").orderBy("_bucket").rowsBetween(_PREV, -1)
-    bo = bt.select("productID", "_bucket",
-                   F.coalesce(F.sum("_bsum").over(wb), F.lit(0)).alias("_boff"))
-    wi = Window.partitionBy("productID", "_bucket").orderBy(seq).rowsBetween(_PREV, -1)
-    r = r.withColumn("_ioff", F.coalesce(F.sum("req").over(wi), F.lit(0)))
-    return (r.join(bo, ["productID", "_bucket"], "inner")
-            .select("productID", seq, "req", (F.col("_boff") + F.col("_ioff")).alias("before")))
+    bo = bt.select("productID", "_bucket", F.coalesce(F.sum("_btot").over(wb), F.lit(0)).alias("_boff"))
+    return (x.join(bo, ["productID", "_bucket"], "inner")
+            .withColumn("before", F.col("_boff") + F.col("_ioff"))
+            .drop("_bucket", "_ioff", "_boff"))
 
 
 def stock_allocation(requests: DataFrame, stock: DataFrame, seq: str = "order_seq",
-                     buckets: int | None = None) -> DataFrame:
+                     buckets: int | None = None, splits_from: DataFrame | None = None) -> DataFrame:
     """Decide every request line.
 
     ``requests``: (seq, productID, quantity, ...) lines; ``stock``: (productID,
@@ -70,13 +77,13 @@ def stock_allocation(requests: DataFrame, stock: DataFrame, seq: str = "order_se
     (remaining stock when the order was checked; null for unknown products)
     and ``accepted``.
     """
-    d = demand_before(requests, seq, buckets)
-    s = stock.select("productID", F.col("quantity").alias("_stock"), "is_available")
-    ds = d.join(s, "productID", "left").select(
-        "productID", seq, (F.col("_stock") - F.col("before")).alias("stock_before"),
-        ((F.col("is_available") == 1) & (F.col("_stock") - F.col("before") > 0)).alias("_ok"))
-    out = requests.join(ds, ["productID", seq], "left")
-    return out.withColumn("accepted", F.coalesce(F.col("_ok"), F.lit(False))).drop("_ok")
+    d = demand_before(requests, seq, buckets, splits_from)
+    s = stock.select("productID", F.col("quantity").alias("_stock"), F.col("is_available").alias("_avail"))
+    remaining = F.col("_stock") - F.col("before")
+    return (d.join(s, "productID", "left")
+            .withColumn("stock_before", remaining)
+            .withColumn("accepted", F.coalesce((F.col("_avail") == 1) & (remaining > 0), F.lit(False)))
+            .drop("_stock", "_avail", "before"))
 
 
 def stock_after(stock: DataFrame, decided: DataFrame) -> DataFrame:

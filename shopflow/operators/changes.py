@@ -86,43 +86,56 @@ def orders_intake(headers: DataFrame, lines: DataFrame, products: DataFrame,
         "order_seq", "EmployeeID", "has_items",
         customer_label(F.col("customer_name"), F.col("_table")).alias("customer_name"),
         order_type_rule(F.col("_table"), F.col("EmployeeID")).alias("order_type"))
-    valid_h = h.filter(F.col("has_items"))
-    ln = lines.join(valid_h.select("order_seq"), "order_seq", "left_semi").select(
-        "order_seq", "line_pos", js_int(F.col("productID")).alias("productID"),
-        at_least_one(js_int(F.col("quantity"))).alias("quantity"))
-    ln = ln.filter(F.col("productID").isNotNull())
-    label_fail = valid_h.filter(F.length("customer_name") > NAME_MAX).select("order_seq")
-
-    nan_lines = ln.filter(F.col("quantity").isNull()).select("order_seq", "productID").distinct()
-    failing = label_fail.unionByName(nan_lines.select("order_seq")).distinct().checkpoint()
+    valid_h = h.filter(F.col("has_items")).withColumn(
+        "_label_fail", F.length("customer_name") > NAME_MAX)
+    # One join of lines with their header: drops lines without a (non-empty)
+    # header and carries the order-level failure flag.
+    parsed = (lines.select("order_seq", "line_pos", js_int(F.col("productID")).alias("productID"),
+                           at_least_one(js_int(F.col("quantity"))).alias("quantity"))
+              .filter(F.col("productID").isNotNull()))
+    ln = parsed.join(valid_h.select("order_seq", "_label_fail"), "order_seq", "inner")
     stock = products.select("productID", "quantity", "is_available", "price")
-    for _ in range(max_rounds):
-        req = ln.join(failing.withColumn("_fail", F.lit(True)), "order_seq", "left").select(
+
+    def decide(lines_in: DataFrame, fail: Column) -> DataFrame:
+        req = lines_in.select(
             "order_seq", "line_pos", "productID",
-            F.when(F.col("_fail").isNull() & F.col("quantity").isNotNull(), F.col("quantity"))
+            F.when(~fail & F.col("quantity").isNotNull(), F.col("quantity"))
             .otherwise(F.lit(0)).alias("quantity"),
-            F.col("quantity").isNull().alias("_nan"), F.col("_fail").isNotNull().alias("_failed"))
-        decided = stock_allocation(req, stock).checkpoint()
-        still = (decided.filter(F.col("_nan") & F.col("accepted")).select("order_seq")
-                 .unionByName(label_fail).distinct().checkpoint())
-        if still.count() == failing.count():
-            break
-        failing = still
+            F.col("quantity").isNull().alias("_nan"), fail.alias("_failed"))
+        # Sequence quantiles come from the raw lines (a one-column scan, no join).
+        return stock_allocation(req, stock, splits_from=lines)
+
+    label_fail = valid_h.filter(F.col("_label_fail")).select("order_seq")
+    nan_orders = ln.filter(F.col("quantity").isNull()).select("order_seq")
+    # Checked on the parsed lines (a filtered scan that stops at the first hit).
+    if parsed.filter(F.col("quantity").isNull()).isEmpty():
+        failing = label_fail
+        decided = decide(ln, F.col("_label_fail"))
     else:
-        raise RuntimeError("intake failing set did not settle within max_rounds")
+        # Start from "every order with a non-numeric quantity fails" and shrink.
+        failing = label_fail.unionByName(nan_orders).distinct().checkpoint()
+        for _ in range(max_rounds):
+            flagged = ln.join(failing.withColumn("_f", F.lit(True)), "order_seq", "left")
+            decided = decide(flagged, F.col("_f").isNotNull()).checkpoint()
+            still = (decided.filter(F.col("_nan") & F.col("accepted")).select("order_seq")
+                     .unionByName(label_fail).distinct().checkpoint())
+            if still.count() == failing.count():
+                break
+            failing = still
+        else:
+            raise RuntimeError("intake failing set did not settle within max_rounds")
 
+    ok = F.col("accepted") & ~F.col("_failed") & ~F.col("_nan")
     price = stock.select("productID", "price")
-    acc = (decided.filter(F.col("accepted") & ~F.col("_failed") & ~F.col("_nan"))
-           .join(price, "productID", "inner"))
-    items = acc.select("order_seq", "line_pos", "productID", "quantity", "price")
+    items = (decided.filter(ok).join(price, "productID", "inner")
+             .select("order_seq", "line_pos", "productID", "quantity", "price"))
     totals = items.groupBy("order_seq").agg(
         F.sum(F.col("quantity") * F.col("price")).alias("totalAmount"))
-    new_orders = (valid_h.join(totals, "order_seq", "inner")
-                  .join(failing, "order_seq", "left_anti")
-                  .select(F.col("order_seq").alias("orderID"), "EmployeeID", "customer_name",
-                          "order_type", "totalAmount", F.lit("pending").alias("status")))
-    taken = decided.withColumn("accepted", F.col("accepted") & ~F.col("_failed") & ~F.col("_nan"))
-    new_stock = stock_after(products, taken)
+    # Failed orders have no accepted line, so the inner join leaves them out.
+    new_orders = valid_h.join(totals, "order_seq", "inner").select(
+        F.col("order_seq").alias("orderID"), "EmployeeID", "customer_name", "order_type",
+        "totalAmount", F.lit("pending").alias("status"))
+    new_stock = stock_after(products, decided.withColumn("accepted", ok))
 
     empty = h.filter(~F.col("has_items")).select("order_seq", F.lit("Cart is empty").alias("reason"))
     failed = failing.select("order_seq", F.lit("Order failed").alias("reason"))
