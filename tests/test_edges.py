@@ -319,3 +319,44 @@ def test_seed_passwords_are_sha256(seed):
 
 def test_employees_schema_fixed(seed):
     assert seed.employees.schema == EMPLOYEES
+
+
+def test_new_order_stream_over_batches(spark, tmp_path):
+    """One file per micro-batch: the diff of each batch's queue snapshot against
+    the previous batch's, with the empty-previous rule."""
+    def ev(rows):
+        return spark.createDataFrame(
+            [(eid, TS + dt.timedelta(minutes=eid), oid, kind, 1.0, "{}") for eid, oid, kind in rows],
+            live.EVENTS)
+    d = tmp_path / "events"
+    batches = [
+        [(1, 1, "signup")],                      # queue {1}; previous empty -> nothing new
+        [(2, 2, "signup")],                      # queue {1, 2} -> {2}
+        [(3, 1, "purchase")],                    # queue {2} -> nothing
+        [(4, 1, "view")],                        # queue {1, 2} -> {1} (new again)
+    ]
+    for i, b in enumerate(batches):
+        ev(b).coalesce(1).write.mode("overwrite").parquet(str(d / f"b{i}"))
+    # Flatten into one directory, one file per batch, in batch order.
+    flat = tmp_path / "flat"
+    flat.mkdir()
+    for i in range(len(batches)):
+        f = next((d / f"b{i}").glob("part-*.parquet"))
+        os.link(f, flat / f"events-{i}.parquet")
+        os.utime(flat / f"events-{i}.parquet", (1_700_000_000 + i, 1_700_000_000 + i))
+    stream = live.event_stream(spark, str(flat), glob="events-*.parquet", max_files=1)
+    base = live.run_new_order_stream(spark, stream, f"new-{os.getpid()}")
+    got = [sorted(x.orderID for x in spark.read.parquet(f"{base}/new").filter(F.col("batch_id") == i).collect())
+           for i in range(len(batches))]
+    assert got == [[], [2], [], [1]]
+
+
+def test_nested_order_forms(spark, seed):
+    o = _orders(spark, [(1, 1, "a", "walk-in", 1, TS, "pending"), (2, None, "b", "online", 1, TS, "ready")])
+    items = spark.createDataFrame([(1, 1, 1, 2, Decimal("120.00")), (2, 1, 9, 1, Decimal("90.00"))], ORDER_ITEMS)
+    from shopflow.operators import joins
+    det = {r.orderID: r for r in joins.order_detail(o, seed.employees, items, seed.products).collect()}
+    assert [i.product_name for i in det[1].items] == ["Nachos", "Americano"]
+    assert det[2].items == [] and det[1].employee_name == "Admin User"
+    k = joins.kitchen_tickets(o, items, seed.products).collect()
+    assert [r.orderID for r in k] == [1] and len(k[0].items) == 2
