@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from shopflow.functions.scalars import at_least_one, js_float, js_int, js_trim, strip_markup_chars
 from shopflow.operators.allocation import stock_after, stock_allocation
+from shopflow.operators.joins import left_join_nullable_key
 from shopflow.schema import MONEY, NAME_MAX, QUANTITY_MAX
 
 
@@ -180,20 +181,27 @@ def stock_set(products: DataFrame, updates: DataFrame, seq: str = "seq",
 
 
 # ----------------------------------------------------------------- status
+def walkin_rule(status: Column, order_type: Column) -> Column:
+    """'ready' on a walk-in order becomes 'completed' (paid at checkout)."""
+    return F.when((status == "ready") & (order_type == "walk-in"), F.lit("completed")).otherwise(status)
+
+
 def status_apply(orders: DataFrame, updates: DataFrame) -> DataFrame:
     """Apply status changes ``(orderID, status, ts, event_id)``.
 
-    'ready' on a walk-in order becomes 'completed'; updates for unknown orders
-    are ignored; the last update per order (by ts, then event_id) wins. Any
-    status may follow any other (no terminal states), as in the reference.
+    The last update per order (by ts, then event_id) wins; 'ready' on a
+    walk-in order becomes 'completed'; updates for unknown orders are ignored.
+    Any status may follow any other (no terminal states), as in the reference.
+
+    The winner depends only on (ts, event_id), so it is picked first by a
+    map-side combinable ``max(struct)``; the order-type rule then needs one
+    1:1 join, and an order with a huge share of all updates causes no skew.
     """
+    last = updates.groupBy("orderID").agg(F.max(F.struct("ts", "event_id", "status"))["status"].alias("_s"))
     kinds = orders.select("orderID", "order_type")
-    u = updates.join(kinds, "orderID", "inner").withColumn(
-        "_final", F.when((F.col("status") == "ready") & (F.col("order_type") == "walk-in"),
-                         F.lit("completed")).otherwise(F.col("status")))
-    last = u.groupBy("orderID").agg(
-        F.max(F.struct("ts", "event_id", "_final"))["_final"].alias("_new"))
-    return (orders.join(last, "orderID", "left")
+    final = last.join(kinds, "orderID", "inner").select(
+        "orderID", walkin_rule(F.col("_s"), F.col("order_type")).alias("_new"))
+    return (orders.join(final, "orderID", "left")
             .withColumn("status", F.coalesce(F.col("_new"), F.col("status"))).drop("_new"))
 
 
@@ -244,7 +252,7 @@ def employee_delete_set_null(orders: DataFrame, employees: DataFrame,
                              removed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Remove employees; their orders keep existing with EmployeeID null."""
     r = removed.select("EmployeeID").distinct().withColumn("_gone", F.lit(True))
-    o = (orders.join(r, "EmployeeID", "left")
+    o = (left_join_nullable_key(orders, r, "EmployeeID")
          .withColumn("EmployeeID", F.when(F.col("_gone"), F.lit(None).cast("long"))
                      .otherwise(F.col("EmployeeID")))
          .drop("_gone").select(*orders.columns))

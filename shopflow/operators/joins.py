@@ -3,8 +3,11 @@
 No join here broadcasts a side whose size grows with the data: the planner's
 size thresholds (``spark.sql.autoBroadcastJoinThreshold`` on plan statistics,
 AQE's on runtime statistics) decide, with sort-merge join beyond them and AQE
-skew splitting for hot keys. The one explicit broadcast, in
-:func:`attach_employee_name`, is of a frame whose row count the caller bounds.
+skew splitting for hot keys. The explicit broadcasts, in
+:func:`attach_employee_name` and :func:`attach_product_columns`, are of the
+distinct ids of a frame whose row count the caller bounds (a top-k or a page).
+Null join keys, which all hash to one partition, bypass the join
+(:func:`left_join_nullable_key`).
 """
 
 from __future__ import annotations
@@ -15,10 +18,24 @@ from pyspark.sql import functions as F
 from shopflow.operators.filters import completed_in_range
 
 
+def left_join_nullable_key(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """``left LEFT JOIN right USING (key)`` where many left keys may be null.
+
+    Null keys never match, but a sort-merge join would hash them all into one
+    partition (online orders have no employee: possibly most of the table).
+    They bypass the join instead and get null right-side columns."""
+    extra = [c for c in right.columns if c != key]
+    known = left.filter(F.col(key).isNotNull()).join(right, key, "left")
+    unknown = left.filter(F.col(key).isNull()).select(
+        "*", *[F.lit(None).cast(right.schema[c].dataType).alias(c) for c in extra])
+    cols = left.columns + extra
+    return known.select(*cols).unionByName(unknown.select(*cols))
+
+
 def orders_with_employee(orders: DataFrame, employees: DataFrame) -> DataFrame:
     """``SELECT o.*, e.name AS employee_name FROM orders o LEFT JOIN employees e``."""
     e = employees.select("EmployeeID", F.col("name").alias("employee_name"))
-    return orders.join(e, "EmployeeID", "left").select(*orders.columns, "employee_name")
+    return left_join_nullable_key(orders, e, "EmployeeID")
 
 
 def attach_employee_name(small_orders: DataFrame, employees: DataFrame) -> DataFrame:

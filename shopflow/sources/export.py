@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shopflow.operators.filters import orders_in_date_range
+from shopflow.operators.joins import left_join_nullable_key
 
 # Fixed export header of the sales CSV, in column order.
 CSV_COLUMNS = ["Order ID", "Customer", "Type", "Total", "Status", "Date & Time", "Employee"]
@@ -17,7 +18,7 @@ def orders_csv_rows(tables, date_from, date_to) -> DataFrame:
     export columns, newest first (``orderID`` breaks ties)."""
     o = orders_in_date_range(tables.orders, date_from, date_to)
     e = tables.employees.select("EmployeeID", F.col("name").alias("_emp"))
-    j = o.join(e, "EmployeeID", "left")
+    j = left_join_nullable_key(o, e, "EmployeeID")
     out = j.select(
         F.col("orderID").alias("Order ID"), F.col("customer_name").alias("Customer"),
         F.col("order_type").alias("Type"), F.col("totalAmount").alias("Total"),

@@ -38,13 +38,15 @@ def event_stream(spark: SparkSession, directory: str, glob: str = "events.parque
 
 
 # ------------------------------------------------------------ status state
-def apply_walkin_rule(updates: DataFrame, orders: DataFrame) -> DataFrame:
-    """Stream-static join: 'ready' on a walk-in order becomes 'completed';
-    updates for unknown orders are dropped."""
+def apply_walkin_rule(latest: DataFrame, orders: DataFrame) -> DataFrame:
+    """'ready' on a walk-in order becomes 'completed'; rows for unknown orders
+    are dropped. Applied to the latest status per order (one row per order),
+    so the join with orders is 1:1."""
+    from shopflow.operators.changes import walkin_rule
+
     kinds = orders.select("orderID", "order_type")
-    return updates.join(kinds, "orderID", "inner").withColumn(
-        "status", F.when((F.col("status") == "ready") & (F.col("order_type") == "walk-in"),
-                         F.lit("completed")).otherwise(F.col("status")))
+    return latest.join(kinds, "orderID", "inner").withColumn(
+        "status", walkin_rule(F.col("status"), F.col("order_type"))).drop("order_type")
 
 
 def latest_status(updates: DataFrame) -> DataFrame:
@@ -57,9 +59,10 @@ def latest_status(updates: DataFrame) -> DataFrame:
         F.col("_last.event_id").alias("event_id"))
 
 
-def _changelog_writer(path: str):
+def _changelog_writer(path: str, orders: DataFrame | None = None):
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(
+        out = apply_walkin_rule(batch, orders) if orders is not None else batch
+        out.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(
             os.path.join(path, f"batch_id={batch_id}"))
     return write
 
@@ -68,15 +71,17 @@ def run_live_status(spark: SparkSession, events: DataFrame, orders: DataFrame, n
                     trigger: dict | None = None) -> str:
     """Run the live status stream into a changelog table; returns its path.
 
+    The stream keeps the latest (ts, event_id, status) per order as state; each
+    micro-batch's changed rows get the walk-in rule (a join of one row per
+    order with the static orders) and are written under their batch id.
     ``trigger`` defaults to availableNow (drain and stop); the kitchen runs it
     with ``{"processingTime": "5 seconds"}``.
     """
     out = scratch_path(spark, f"{name}/changelog")
     ckpt = scratch_path(spark, f"{name}/checkpoint")
-    upd = apply_walkin_rule(status_events_from(events), orders).select(
-        "orderID", "status", "ts", "event_id")
+    upd = status_events_from(events).select("orderID", "status", "ts", "event_id")
     q = (latest_status(upd).writeStream.outputMode("update")
-         .foreachBatch(_changelog_writer(out))
+         .foreachBatch(_changelog_writer(out, orders))
          .option("checkpointLocation", ckpt)
          .trigger(**(trigger or {"availableNow": True})).start())
     if not trigger:
