@@ -33,17 +33,26 @@ _PREV = Window.unboundedPreceding
 
 
 def _bucket_splits(df: DataFrame, col: str, buckets: int) -> list[float]:
+    """Bucket bounds at ``buckets`` - 1 approximate quantiles of ``col``. The rank
+    error is a quarter of a bucket, so the bounds stay distinct (a coarser
+    error would collapse many of them and leave few, large buckets)."""
     qs = [i / buckets for i in range(1, buckets)]
-    cuts = df.approxQuantile(col, qs, 0.01) if buckets > 1 else []
+    err = min(0.01, 1.0 / (4 * buckets))
+    cuts = df.approxQuantile(col, qs, err) if buckets > 1 else []
     splits = sorted(set(float(c) for c in cuts)) or [0.0]  # Bucketizer needs >= 3 splits
     return [float("-inf")] + splits + [float("inf")]
 
 
+MAX_BUCKETS = 1 << 16
+
+
 def default_buckets(df: DataFrame) -> int:
-    """Sequence buckets: 4 per shuffle partition (at least 64), so a product
-    holding a third of all lines is spread over many window partitions."""
+    """Sequence buckets: 4 per shuffle partition, between 64 and 65,536. A product
+    holding a third of 600 billion lines then has about 3 million lines per
+    window partition, and the per-product window over bucket totals has at
+    most 65,536 rows."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(64, 4 * n)
+    return min(MAX_BUCKETS, max(64, 4 * n))
 
 
 def demand_before(requests: DataFrame, seq: str = "order_seq", buckets: int | None = None,

@@ -20,6 +20,30 @@ CONFS = {
 }
 
 
+# Starting points for a large cluster (inputs around 100 TB), applied on top of
+# CONFS by the cluster's own session builder:
+# * many initial shuffle partitions; AQE coalesces them to the advisory size,
+#   so small shuffles do not pay for the count;
+# * file splits of 512 MB keep scan tasks in the tens of thousands;
+# * a skewed partition is split when it is 4x the median and above 512 MB;
+# * broadcast only below 64 MB, by plan statistics or AQE runtime statistics.
+CLUSTER_CONFS = {
+    "spark.sql.shuffle.partitions": "100000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.files.maxPartitionBytes": "512m",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512m",
+    "spark.sql.autoBroadcastJoinThreshold": "64m",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",
+}
+
+
+def apply_confs(spark: SparkSession, confs: dict) -> None:
+    """Set runtime SQL settings on an existing session."""
+    for k, v in confs.items():
+        spark.conf.set(k, v)
+
+
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
                   app_name: str = "shopflow", extra: dict | None = None) -> SparkSession:
     """Session for tests and local runs; on a cluster use the cluster's own builder

@@ -360,3 +360,19 @@ def test_nested_order_forms(spark, seed):
     assert det[2].items == [] and det[1].employee_name == "Admin User"
     k = joins.kitchen_tickets(o, items, seed.products).collect()
     assert [r.orderID for r in k] == [1] and len(k[0].items) == 2
+
+
+def test_bucketed_tables_join_without_shuffle(spark, seed, capsys):
+    from shopflow.sources.tables import write_bucketed
+    o = _orders(spark, [(i, None, "a", "online", 1, TS, "pending") for i in range(20)])
+    items = spark.createDataFrame([(i, i % 20, 1, 1, Decimal("1.00")) for i in range(60)], ORDER_ITEMS)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        write_bucketed(Tables(seed.employees, seed.products, o, items), "shopflow_test", 4)
+        j = spark.table("shopflow_test.order_items").join(spark.table("shopflow_test.orders"), "orderID")
+        capsys.readouterr()
+        j.explain()
+        plan = capsys.readouterr().out
+        assert j.count() == 60 and "SortMergeJoin" in plan and "Exchange" not in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
