@@ -12,9 +12,12 @@ SF_SMALL = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
+    import tempfile
+
     from shopflow.session import build_session
 
-    s = build_session("local[4]", shuffle_partitions=4)
+    wh = tempfile.mkdtemp(prefix="shopflow-warehouse-")
+    s = build_session("local[4]", shuffle_partitions=4, extra={"spark.sql.warehouse.dir": wh})
     yield s
     s.stop()
 
