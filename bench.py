@@ -34,7 +34,8 @@ def main() -> None:
     from shopflow.plans.catalog import QUERIES
     from shopflow.session import build_session
 
-    spark = build_session(f"local[{cpus}]", shuffle_partitions=2 * cpus,
+    parts = int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", str(2 * cpus)))
+    spark = build_session(f"local[{cpus}]", shuffle_partitions=parts,
                           app_name="shopflow-bench", extra={"spark.driver.memory": "16g"})
 
     def run(k: str) -> float:
