@@ -107,11 +107,12 @@ def js_int(c) -> Column:
     return F.coalesce(s.try_cast("long"), slow)
 
 
-def js_float(c) -> Column:
-    """JavaScript ``parseFloat`` on money text: leading decimal number, else null."""
+def js_float(c, dtype: str = "decimal(22,6)") -> Column:
+    """JavaScript ``parseFloat`` on money text: the leading decimal number
+    (optional exponent) after whitespace, else null; read as an exact decimal."""
     s = _c(c).cast("string")
-    m = F.regexp_extract(s, r"^\s*([+-]?(\d+\.?\d*|\.\d+))", 1)
-    return F.when(m == "", F.lit(None).cast("decimal(20,2)")).otherwise(m.try_cast("decimal(20,2)"))
+    m = F.regexp_extract(s, r"^\s*([+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?)", 1)
+    return F.when(m == "", F.lit(None).cast(dtype)).otherwise(m.try_cast(dtype))
 
 
 def at_least_one(n) -> Column:

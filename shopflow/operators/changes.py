@@ -284,7 +284,7 @@ def payment_settlement(orders: DataFrame, payments: DataFrame,
     p = payments.join(o, "orderID", "inner")
     raw = F.col("cash").cast("string")
     blank = raw.isNull() | (js_trim(raw) == "")
-    cash = F.coalesce(js_float(raw).cast("decimal(22,6)"), F.lit(0).cast("decimal(22,6)"))
+    cash = F.coalesce(js_float(raw), F.lit(0).cast("decimal(22,6)"))
     total = F.col("totalAmount").cast("decimal(22,6)")
     reason = (F.when(F.col("order_type") == "walk-in", "Walk-in order: paid at checkout")
               .when(blank, "Please enter cash received")
