@@ -358,8 +358,11 @@ SELECT COALESCE(l.status, o.status) AS status, COUNT(*) AS cnt
 FROM shop_orders o LEFT JOIN live l ON o.orderID = l.orderID
 GROUP BY COALESCE(l.status, o.status)""", "shop_orders", "status_events", extra=[_LIVE_STATE]))
 def q_live_status_counts(spark, sf_dir):
-    t, cur = _live_current(spark, sf_dir, "live-counts")
-    return live.live_status_counts(t.orders, cur)
+    """Dashboard counts kept by the delta stream (stored counts + streamed moves)."""
+    t = _t(spark, sf_dir)
+    ev = live.event_stream(spark, sf_dir)
+    base = live.run_live_dashboard(spark, ev, t.orders, f"live-dash-{uuid.uuid4().hex}")
+    return live.counts_from_deltas(spark, t.orders, base)
 
 
 @register("live_daily_sales", """

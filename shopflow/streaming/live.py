@@ -163,36 +163,124 @@ def new_order_diff(current: DataFrame, previous: DataFrame) -> DataFrame:
     return current.join(previous, "orderID", "left_anti")
 
 
-def run_new_order_stream(spark: SparkSession, events: DataFrame, name: str) -> str:
-    """Streaming form: each micro-batch folds its events into a per-order state
-    table (versioned by batch id), takes the queue snapshot and writes the ids
-    that are new against the previous batch's snapshot."""
+QUEUE = ("pending", "preparing")
+
+CHANGE_SCHEMA = "orderID long, prev_status string, status string, ts_us long, event_id long"
+CHANGE_STATE = "ts_us long, event_id long, status string"
+
+
+def _fold_status(key, batches, state):
+    """Per order: keep the latest (ts, event_id, status) in state; emit one row
+    (previous status, new status) when this micro-batch changes it. Batches of
+    one order arrive as an iterator of pandas frames and are folded one frame
+    at a time, so a hot order never has to fit in memory at once."""
+    import pandas as pd
+
+    prev = state.get if state.exists else None
+    best = prev
+    for pdf in batches:
+        if pdf.empty:
+            continue
+        top = pdf.sort_values(["ts_us", "event_id"]).iloc[-1]
+        cand = (int(top["ts_us"]), int(top["event_id"]), str(top["status"]))
+        if best is None or cand[:2] > tuple(best[:2]):
+            best = cand
+    if best is None or (prev is not None and tuple(prev) == tuple(best)):
+        return
+    state.update(best)
+    yield pd.DataFrame({"orderID": [int(key[0])], "prev_status": [prev[2] if prev else None],
+                        "status": [best[2]], "ts_us": [best[0]], "event_id": [best[1]]})
+
+
+def status_changes(events: DataFrame) -> DataFrame:
+    """Stream of per-order status changes (previous, new) from raw events, with
+    the latest status per order kept in Spark's state store."""
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    upd = status_events_from(events).select(
+        "orderID", "status", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"), "event_id")
+    return upd.groupBy("orderID").applyInPandasWithState(
+        _fold_status, CHANGE_SCHEMA, CHANGE_STATE, "update", GroupStateTimeout.NoTimeout)
+
+
+def run_new_order_stream(spark: SparkSession, events: DataFrame, name: str,
+                         trigger: dict | None = None) -> str:
+    """Streaming new-order detection: per micro-batch, the orders that entered
+    the queue (pending/preparing) since the previous batch, announced only when
+    the queue was not empty before the batch.
+
+    Incremental: each batch sees only the orders whose status changed; the queue
+    size before the batch is the sum of earlier batches' one-row deltas. Output
+    per batch id under ``{base}/new`` and ``{base}/queue_delta``."""
     base = scratch_path(spark, name)
     ckpt = os.path.join(base, "checkpoint")
 
     def step(batch: DataFrame, batch_id: int) -> None:
         sess = batch.sparkSession
-        upd = status_events_from(batch).select("orderID", "status", "ts", "event_id")
-        prev_state = _read_or_none(sess, os.path.join(base, f"state/batch_id={batch_id - 1}"))
-        if prev_state is not None:
-            upd = upd.unionByName(prev_state)
-        state = latest_status(upd)
-        state.write.mode("overwrite").parquet(os.path.join(base, f"state/batch_id={batch_id}"))
-        state = sess.read.parquet(os.path.join(base, f"state/batch_id={batch_id}"))
-        snap = state.filter(F.col("status").isin("pending", "preparing")).select("orderID")
-        snap.write.mode("overwrite").parquet(os.path.join(base, f"snapshot/batch_id={batch_id}"))
-        prev = _read_or_none(sess, os.path.join(base, f"snapshot/batch_id={batch_id - 1}"))
-        if prev is None:
-            prev = snap.limit(0)
-        new = new_order_diff(sess.read.parquet(os.path.join(base, f"snapshot/batch_id={batch_id}")), prev)
+        was = F.coalesce(F.col("prev_status").isin(*QUEUE), F.lit(False))
+        now = F.col("status").isin(*QUEUE)
+        delta = batch.agg(F.coalesce(F.sum(now.cast("long") - was.cast("long")), F.lit(0)).alias("delta"))
+        delta.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(
+            os.path.join(base, f"queue_delta/batch_id={batch_id}"))
+        hist = _read_or_none(sess, os.path.join(base, "queue_delta"))
+        before = 0 if hist is None else (
+            hist.filter(F.col("batch_id") < batch_id).agg(F.sum("delta")).first()[0] or 0)
+        entered = batch.filter(now & ~was).select("orderID")
+        new = entered if before > 0 else entered.limit(0)
         new.write.mode("overwrite").parquet(os.path.join(base, f"new/batch_id={batch_id}"))
 
-    q = (events.writeStream.foreachBatch(step).option("checkpointLocation", ckpt)
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
+    q = (status_changes(events).writeStream.outputMode("update").foreachBatch(step)
+         .option("checkpointLocation", ckpt).trigger(**(trigger or {"availableNow": True})).start())
+    if not trigger:
+        q.awaitTermination()
+    return base
+
+
+def run_live_dashboard(spark: SparkSession, events: DataFrame, orders: DataFrame, name: str,
+                       trigger: dict | None = None) -> str:
+    """Status counts kept current by deltas (the dashboard polls every 30 s:
+    pass ``{"processingTime": "30 seconds"}``).
+
+    Each micro-batch holds only the orders whose status changed. Their old
+    status (the previous event's, else the order's stored status) loses one,
+    the new one gains one, both after the walk-in rule. The deltas, one row
+    per status and batch, are written under ``{base}/deltas``; counts are the
+    stored counts plus their sum (:func:`counts_from_deltas`)."""
+    from shopflow.operators.changes import walkin_rule
+
+    base = scratch_path(spark, name)
+    ckpt = os.path.join(base, "checkpoint")
+    kinds = orders.select("orderID", "order_type", F.col("status").alias("_stored"))
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        j = batch.join(kinds, "orderID", "inner")
+        # The stored status is counted as stored; earlier events as the rule made them.
+        old = F.when(F.col("prev_status").isNull(), F.col("_stored")).otherwise(
+            walkin_rule(F.col("prev_status"), F.col("order_type")))
+        new = walkin_rule(F.col("status"), F.col("order_type"))
+        moves = j.select(F.explode(F.array(
+            F.struct(old.alias("status"), F.lit(-1).alias("d")),
+            F.struct(new.alias("status"), F.lit(1).alias("d")))).alias("m")).select("m.*")
+        deltas = moves.groupBy("status").agg(F.sum("d").alias("delta"))
+        deltas.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(
+            os.path.join(base, f"deltas/batch_id={batch_id}"))
+
+    q = (status_changes(events).writeStream.outputMode("update").foreachBatch(step)
+         .option("checkpointLocation", ckpt).trigger(**(trigger or {"availableNow": True})).start())
+    if not trigger:
+        q.awaitTermination()
     return base
 
 
+def counts_from_deltas(spark: SparkSession, orders: DataFrame, base: str) -> DataFrame:
+    """Stored status counts plus all streamed deltas (one row per status)."""
+    stored = orders.groupBy("status").agg(F.count(F.lit(1)).alias("delta"))
+    d = _read_or_none(spark, os.path.join(base, "deltas"))
+    allrows = stored if d is None else stored.unionByName(d.select("status", "delta"))
+    return (allrows.groupBy("status").agg(F.sum("delta").cast("long").alias("cnt"))
+            .filter(F.col("cnt") != 0))
+
+
 def _read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
     from pyspark.errors import AnalysisException
 

@@ -376,3 +376,27 @@ def test_bucketed_tables_join_without_shuffle(spark, seed, capsys):
         assert j.count() == 60 and "SortMergeJoin" in plan and "Exchange" not in plan
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_live_dashboard_deltas_equal_batch_counts(spark, tmp_path):
+    """Counts kept by streamed deltas over several micro-batches equal the batch
+    counts after applying all updates (walk-in rule included)."""
+    o = _orders(spark, [(i, 1 if i % 2 else None, "x", "walk-in" if i % 2 else "online", 1, TS,
+                         ["pending", "ready", "completed"][i % 3]) for i in range(8)])
+    kinds = ["signup", "view", "click", "purchase", "error"]
+    rows = [(k, TS + dt.timedelta(minutes=k), (k * 3) % 10, kinds[(k * 7) % 5], 1.0, "{}") for k in range(30)]
+    d = tmp_path / "ev"
+    d.mkdir()
+    for i in range(3):
+        part = [r for r in rows if r[0] % 3 == i]
+        spark.createDataFrame(part, live.EVENTS).coalesce(1).write.parquet(str(tmp_path / f"p{i}"))
+        f = next((tmp_path / f"p{i}").glob("part-*.parquet"))
+        os.link(f, d / f"events-{i}.parquet")
+        os.utime(d / f"events-{i}.parquet", (1_700_000_000 + i, 1_700_000_000 + i))
+    stream = live.event_stream(spark, str(d), glob="events-*.parquet", max_files=1)
+    base = live.run_live_dashboard(spark, stream, o, f"dash-{os.getpid()}")
+    got = {r.status: r.cnt for r in live.counts_from_deltas(spark, o, base).collect()}
+    from shopflow.sources.driver import status_events_from
+    want = {r.status: r.cnt for r in reports.order_status_counts(
+        changes.status_apply(o, status_events_from(spark.createDataFrame(rows, live.EVENTS)))).collect()}
+    assert got == want
