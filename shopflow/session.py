@@ -58,6 +58,7 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -75,6 +76,31 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+def ship_package(spark: SparkSession) -> str | None:
+    """Make ``shopflow`` importable in Python workers (needed where a Python
+    function runs on executors, e.g. the streaming state function): zip the
+    package's sources on the driver and ``addPyFile`` it, once per context.
+    Where the package is installed on the cluster nodes this is unnecessary."""
+    import zipfile
+
+    key = "spark.shopflow.pyfile"
+    done = spark.conf.get(key, None)
+    if done:
+        return done
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg)
+    path = os.path.join(tempfile.mkdtemp(prefix="shopflow-pyfiles-"), "shopflow.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for d, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(d, f)
+                    z.write(full, os.path.relpath(full, root))
+    spark.sparkContext.addPyFile(path)
+    spark.conf.set(key, path)
+    return path
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for written intermediate tables."""
     return os.path.join(ensure_checkpoint_dir(spark), name)
