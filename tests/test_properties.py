@@ -75,3 +75,11 @@ def test_ranking_positions_are_dense(spark):
     top = r.orderBy("rank").limit(4).collect()
     assert [x.medal for x in top] == [1, 2, 3, None]
     assert all(a.total_sold >= b.total_sold for a, b in zip(top, top[1:]))
+
+
+def test_category_performance_approx_is_close(spark):
+    t = driver.tables(spark, SF)
+    exact = {r.category: r.order_count for r in reports.category_performance(t).collect()}
+    approx = {r.category: r.order_count for r in reports.category_performance(t, approx=True).collect()}
+    assert exact.keys() == approx.keys()
+    assert all(abs(approx[k] - exact[k]) <= max(2, 0.05 * exact[k]) for k in exact)
