@@ -38,16 +38,23 @@ def _product_totals(lines: DataFrame) -> DataFrame:
         _money_sum(F.col("quantity") * F.col("price")).alias("revenue"))
 
 
-def category_performance(tables, date_from=None, date_to=None, approx: bool = False) -> DataFrame:
+def category_performance(tables, date_from=None, date_to=None, approx: bool = False,
+                         split_hot: bool = False) -> DataFrame:
     """Per category: distinct completed orders, units, revenue; revenue desc.
 
     The exact distinct count runs as Spark's two-phase aggregation on
     (category, orderID). ``approx=True`` uses HyperLogLog++
     (``approx_count_distinct``, 1% relative standard deviation) instead, a single pass with
-    fixed-size per-category sketches."""
+    fixed-size per-category sketches. ``split_hot=True`` joins products through
+    :func:`shopflow.operators.skew.split_hot_join` (hot products found by
+    sampling, joined by broadcast) instead of relying on AQE skew splitting."""
     lines = _completed_lines(tables, date_from, date_to)
     p = tables.products.select("productID", "category")
-    j = lines.join(p, "productID", "inner")
+    if split_hot:
+        from shopflow.operators.skew import split_hot_join
+        j = split_hot_join(lines, p, "productID", "inner")
+    else:
+        j = lines.join(p, "productID", "inner")
     distinct = F.approx_count_distinct("orderID", rsd=0.01) if approx else F.countDistinct("orderID")
     return (j.groupBy("category")
             .agg(distinct.alias("order_count"),

@@ -1,0 +1,45 @@
+"""Explicit hot-key splitting for a join of a large frame with a keyed one.
+
+AQE's skew-join handling splits oversized shuffle partitions at run time when
+``spark.sql.adaptive.skewJoin.enabled`` is on. This helper does the same
+without relying on it: it samples the large side, takes the keys whose share of
+rows passes ``share`` (at most ``1 / share`` of them, a proven bound), joins
+those rows with a broadcast of just the hot keys' rows of the other side, and
+joins the rest normally. The result does not depend on which keys are found
+hot; only the work split does.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def hot_keys(big: DataFrame, key: str, share: float = 0.01, fraction: float = 0.01,
+             seed: int = 7) -> list:
+    """Keys holding at least ``share`` of ``big``'s rows, from a sample. At most
+    ``1 / share`` keys can pass, so the list collected to the driver is bounded."""
+    sample = big.select(key).sample(fraction=fraction, seed=seed)
+    total = sample.count()
+    if total == 0:
+        return []
+    rows = (sample.groupBy(key).count().filter(F.col("count") >= share * total)
+            .orderBy(F.col("count").desc()).limit(int(1 / share)).collect())
+    return [r[key] for r in rows]
+
+
+def split_hot_join(big: DataFrame, keyed: DataFrame, key: str, how: str = "inner",
+                   share: float = 0.01, fraction: float = 0.01) -> DataFrame:
+    """``big JOIN keyed USING (key)`` (``how`` in inner / left), with ``keyed``
+    unique on ``key``. Rows of hot keys meet a broadcast of the hot keys' rows
+    of ``keyed``; the remaining rows use the planner's join."""
+    if how not in ("inner", "left"):
+        raise ValueError("how must be 'inner' or 'left'")
+    hot = hot_keys(big, key, share, fraction)
+    if not hot:
+        return big.join(keyed, key, how)
+    is_hot = F.col(key).isin(hot)
+    hot_side = F.broadcast(keyed.filter(is_hot))  # at most 1/share rows (unique keys)
+    hot_part = big.filter(is_hot).join(hot_side, key, how)
+    cold_part = big.filter(~is_hot | F.col(key).isNull()).join(keyed.filter(~is_hot), key, how)
+    return hot_part.unionByName(cold_part)
