@@ -11,6 +11,7 @@ checkpoint lives under the session's shared ``spark.checkpoint.dir``.
 from __future__ import annotations
 
 import os
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -80,7 +81,7 @@ def run_live_status(spark: SparkSession, events: DataFrame, orders: DataFrame, n
     out = scratch_path(spark, f"{name}/changelog")
     ckpt = scratch_path(spark, f"{name}/checkpoint")
     upd = status_events_from(events).select("orderID", "status", "ts", "event_id")
-    q = (latest_status(upd).writeStream.outputMode("update")
+    q = (latest_status(upd).writeStream.queryName(_qname(name)).outputMode("update")
          .foreachBatch(_changelog_writer(out, orders))
          .option("checkpointLocation", ckpt)
          .trigger(**(trigger or {"availableNow": True})).start())
@@ -134,7 +135,7 @@ def run_daily_sales(spark: SparkSession, events: DataFrame, name: str,
                     watermark: str = "2 days") -> str:
     out = scratch_path(spark, f"{name}/changelog")
     ckpt = scratch_path(spark, f"{name}/checkpoint")
-    q = (daily_sales_stream(events, watermark).writeStream.outputMode("update")
+    q = (daily_sales_stream(events, watermark).writeStream.queryName(_qname(name)).outputMode("update")
          .foreachBatch(_changelog_writer(out)).option("checkpointLocation", ckpt)
          .trigger(availableNow=True).start())
     q.awaitTermination()
@@ -229,7 +230,7 @@ def run_new_order_stream(spark: SparkSession, events: DataFrame, name: str,
         new = entered if before > 0 else entered.limit(0)
         new.write.mode("overwrite").parquet(os.path.join(base, f"new/batch_id={batch_id}"))
 
-    q = (status_changes(events).writeStream.outputMode("update").foreachBatch(step)
+    q = (status_changes(events).writeStream.queryName(_qname(name)).outputMode("update").foreachBatch(step)
          .option("checkpointLocation", ckpt).trigger(**(trigger or {"availableNow": True})).start())
     if not trigger:
         q.awaitTermination()
@@ -265,7 +266,7 @@ def run_live_dashboard(spark: SparkSession, events: DataFrame, orders: DataFrame
         deltas.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(
             os.path.join(base, f"deltas/batch_id={batch_id}"))
 
-    q = (status_changes(events).writeStream.outputMode("update").foreachBatch(step)
+    q = (status_changes(events).writeStream.queryName(_qname(name)).outputMode("update").foreachBatch(step)
          .option("checkpointLocation", ckpt).trigger(**(trigger or {"availableNow": True})).start())
     if not trigger:
         q.awaitTermination()
@@ -281,6 +282,12 @@ def counts_from_deltas(spark: SparkSession, orders: DataFrame, base: str) -> Dat
             .filter(F.col("cnt") != 0))
 
 
+def _qname(name: str) -> str:
+    """Streams are named after their output folder, so a long-running one can be
+    found in ``spark.streams.active`` and stopped."""
+    return "shopflow_" + re.sub(r"[^0-9A-Za-z_]", "_", name)
+
+
 def _read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
     from pyspark.errors import AnalysisException
 

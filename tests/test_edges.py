@@ -400,3 +400,20 @@ def test_live_dashboard_deltas_equal_batch_counts(spark, tmp_path):
     want = {r.status: r.cnt for r in reports.order_status_counts(
         changes.status_apply(o, status_events_from(spark.createDataFrame(rows, live.EVENTS)))).collect()}
     assert got == want
+
+
+def test_kitchen_queue_with_processing_time_trigger(spark, tmp_path):
+    """The kitchen's polling form: a processing-time trigger, found by name,
+    drained with processAllAvailable and stopped; the queue matches the batch form."""
+    o = _orders(spark, [(i, None, "x", "online", 1, TS + dt.timedelta(minutes=i), "pending") for i in range(4)])
+    ev = spark.createDataFrame([(1, TS, 0, "purchase", 1.0, "{}"), (2, TS, 2, "view", 1.0, "{}")], live.EVENTS)
+    d = tmp_path / "ev"
+    ev.coalesce(1).write.parquet(str(d))
+    name = f"kitchen-{os.getpid()}"
+    path = live.run_live_status(spark, live.event_stream(spark, str(d), glob="*.parquet"), o, name,
+                                trigger={"processingTime": "1 second"})
+    q = next(x for x in spark.streams.active if x.name == live._qname(name))
+    q.processAllAvailable()
+    q.stop()
+    queue = live.live_kitchen_queue(o, live.current_from_changelog(spark, path)).collect()
+    assert [(r.orderID, r.status) for r in queue] == [(1, "pending"), (2, "preparing"), (3, "pending")]
