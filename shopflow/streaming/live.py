@@ -198,6 +198,9 @@ def status_changes(events: DataFrame) -> DataFrame:
     the latest status per order kept in Spark's state store."""
     from pyspark.sql.streaming.state import GroupStateTimeout
 
+    from shopflow.session import ship_package
+
+    ship_package(events.sparkSession)  # the fold function runs in Python workers
     upd = status_events_from(events).select(
         "orderID", "status", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"), "event_id")
     return upd.groupBy("orderID").applyInPandasWithState(
