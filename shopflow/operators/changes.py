@@ -72,9 +72,10 @@ def orders_intake(headers: DataFrame, lines: DataFrame, products: DataFrame,
 
     Rules: an empty cart is rejected; lines whose product is unknown,
     unavailable or out of stock are dropped; an order with no line left is
-    rejected; quantity is ``max(1, parseInt(q))``. An order whose label exceeds
-    100 characters, or which holds a non-numeric quantity on a product that
-    still has stock when it is checked, fails as a whole and takes no stock.
+    rejected; quantity is ``max(1, parseInt(q))``. An order with a valid item
+    whose label exceeds 100 characters, or which holds a non-numeric quantity
+    on a product that still has stock when it is checked, fails as a whole
+    ('Order failed') and takes no stock.
     The second rule depends on earlier orders, so the failing set is refined
     until it is stable (it only shrinks; each round is one allocation job).
     Totals above DECIMAL(10,2) are flagged in ``rejects`` with reason
@@ -138,10 +139,13 @@ def orders_intake(headers: DataFrame, lines: DataFrame, products: DataFrame,
         "totalAmount", F.lit("pending").alias("status"))
     new_stock = stock_after(products, decided.withColumn("accepted", ok))
 
+    # An order "has a valid item" when any line found its product sellable at its
+    # turn (checked before the insert that may fail), whether or not it failed.
+    has_valid = decided.filter(F.col("accepted")).select("order_seq").distinct()
     empty = h.filter(~F.col("has_items")).select("order_seq", F.lit("Cart is empty").alias("reason"))
-    failed = failing.select("order_seq", F.lit("Order failed").alias("reason"))
-    novalid = (valid_h.select("order_seq").join(totals, "order_seq", "left_anti")
-               .join(failing, "order_seq", "left_anti")
+    failed = (failing.join(has_valid, "order_seq", "left_semi")
+              .select("order_seq", F.lit("Order failed").alias("reason")))
+    novalid = (valid_h.select("order_seq").join(has_valid, "order_seq", "left_anti")
                .select("order_seq", F.lit("No valid items in cart").alias("reason")))
     overflow = new_orders.filter(F.col("totalAmount") > _money_max()).select(
         F.col("orderID").alias("order_seq"), F.lit("Total overflow").alias("reason"))
