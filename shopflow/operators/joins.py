@@ -38,10 +38,21 @@ def orders_with_employee(orders: DataFrame, employees: DataFrame) -> DataFrame:
     return left_join_nullable_key(orders, e, "EmployeeID")
 
 
+def _materialize_small(df: DataFrame) -> DataFrame:
+    """Checkpoint a frame of bounded size (a top-k or a page) into the shared
+    checkpoint folder, so the two uses below read it instead of recomputing it
+    (which would scan its large input twice)."""
+    from shopflow.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def attach_employee_name(small_orders: DataFrame, employees: DataFrame) -> DataFrame:
     """Left-join employee names onto a frame with a bounded row count (a top-k or
-    a page). The bounded frame's ids are broadcast into one pass over employees,
-    so the large side is neither shuffled nor broadcast."""
+    a page). The bounded frame is materialized once; its ids are broadcast into
+    one pass over employees, so the large side is neither shuffled nor broadcast."""
+    small_orders = _materialize_small(small_orders)
     ids = F.broadcast(small_orders.select("EmployeeID").where(F.col("EmployeeID").isNotNull()).distinct())
     names = employees.join(ids, "EmployeeID", "inner").select(
         "EmployeeID", F.col("name").alias("employee_name"))
@@ -50,6 +61,7 @@ def attach_employee_name(small_orders: DataFrame, employees: DataFrame) -> DataF
 
 def attach_product_columns(small: DataFrame, products: DataFrame, cols: list[str]) -> DataFrame:
     """Same as :func:`attach_employee_name` for product columns (bounded left side)."""
+    small = _materialize_small(small)
     ids = F.broadcast(small.select("productID").distinct())
     p = products.join(ids, "productID", "inner").select("productID", *cols)
     return small.join(p, "productID", "left").select(*small.columns, *cols)
