@@ -111,6 +111,19 @@ def orders_page(df: DataFrame, limit=None, offset=None, newest_first: bool = Tru
     return df.orderBy(*order).offset(off).limit(lim)
 
 
+def orders_page_after(df: DataFrame, last_ts=None, last_id=None, limit=None) -> DataFrame:
+    """Keyset form of :func:`orders_page` for deep paging: the page after the row
+    ``(last_ts, last_id)`` in newest-first order. Each task keeps at most
+    ``limit`` rows (OFFSET paging keeps offset + limit), and the seek predicate
+    on ``orderDateTime`` reaches the Parquet scan."""
+    lim, _ = page_bounds(limit, 0)
+    if last_ts is not None:
+        ts = F.lit(str(last_ts)).cast("timestamp_ntz")
+        df = df.filter((F.col("orderDateTime") < ts)
+                       | ((F.col("orderDateTime") == ts) & (F.col("orderID") < F.lit(int(last_id)))))
+    return df.orderBy(F.col("orderDateTime").desc(), F.col("orderID").desc()).limit(lim)
+
+
 def orders_list(orders: DataFrame, employees: DataFrame, status=None, date_from=None,
                 date_to=None, search=None, limit=None, offset=None) -> DataFrame:
     """Filtered, paged order list with employee name. The page is cut before the

@@ -417,3 +417,16 @@ def test_kitchen_queue_with_processing_time_trigger(spark, tmp_path):
     q.stop()
     queue = live.live_kitchen_queue(o, live.current_from_changelog(spark, path)).collect()
     assert [(r.orderID, r.status) for r in queue] == [(1, "pending"), (2, "preparing"), (3, "pending")]
+
+
+def test_keyset_paging_equals_offset_paging(spark):
+    o = _orders(spark, [(i, None, "x", "online", 1, TS + dt.timedelta(hours=i // 3), "pending") for i in range(23)])
+    pages, last = [], (None, None)
+    while True:
+        page = filters.orders_page_after(o, *last, limit=5).collect()
+        if not page:
+            break
+        pages.append([r.orderID for r in page])
+        last = (page[-1].orderDateTime, page[-1].orderID)
+    want = [[r.orderID for r in filters.orders_page(o, 5, off).collect()] for off in range(0, 23, 5)]
+    assert pages == want
