@@ -172,6 +172,15 @@ def q_orders_page(spark, sf_dir):
     return filters.orders_page(_t(spark, sf_dir).orders, limit=500, offset=100)
 
 
+@register("orders_page_after", with_views("""
+SELECT * FROM shop_orders
+WHERE orderDateTime < TIMESTAMP '1998-06-01 00:00:00'
+   OR (orderDateTime = TIMESTAMP '1998-06-01 00:00:00' AND orderID < 5000)
+ORDER BY orderDateTime DESC, orderID DESC LIMIT 200""", "shop_orders"))
+def q_orders_page_after(spark, sf_dir):
+    return filters.orders_page_after(_t(spark, sf_dir).orders, "1998-06-01 00:00:00", 5000, limit=200)
+
+
 @register("result_count", with_views(f"""
 SELECT COUNT(*) AS result_count FROM (
   SELECT * FROM shop_orders o WHERE o.status = 'pending' AND {_SEARCH_SQL.format(s='99')}
