@@ -430,3 +430,19 @@ def test_keyset_paging_equals_offset_paging(spark):
         last = (page[-1].orderDateTime, page[-1].orderID)
     want = [[r.orderID for r in filters.orders_page(o, 5, off).collect()] for off in range(0, 23, 5)]
     assert pages == want
+
+
+def test_payload_files_and_json_sink_round_trip(spark, seed, tmp_path):
+    src = tmp_path / "payloads"
+    src.mkdir()
+    (src / "part-0.json").write_text(
+        '{"order_seq": 1, "EmployeeID": null, "customer_name": "Ann", "table_number": "2", '
+        '"items": [{"productID": 9, "quantity": 2}]}\n'
+        '{"order_seq": 2, "EmployeeID": 1, "customer_name": "Bo", "items": []}\n')
+    h, ln = payloads.read_order_payloads(payloads.read_payload_files(spark, str(src)))
+    assert sorted((r.order_seq, r.has_items) for r in h.collect()) == [(1, True), (2, False)]
+    assert [(r.productID, r.quantity) for r in ln.collect()] == [("9", "2")]
+    out = changes.orders_intake(h, ln, seed.products)
+    dest = export.write_orders_json(out["orders"], str(tmp_path / "orders_json"))
+    back = spark.read.json(dest).collect()
+    assert [(r.orderID, r.customer_name, r.order_type) for r in back] == [(1, "[Table 2] Ann", "online")]
