@@ -71,16 +71,31 @@ def like_pattern(search: str) -> str:
     return "%" + search + "%"
 
 
-def search_predicate(search: str) -> Column:
+# Latin letters with accents and their base letters, position by
+# position, for accent-insensitive matching (``fold_accents``).
+ACCENTED = "ÀÁÂÃÄÅàáâãäåÈÉÊËèéêëÌÍÎÏìíîïÒÓÔÕÖØòóôõöøÙÚÛÜùúûüÝýÿÑñÇç"
+UNACCENTED = "AAAAAAaaaaaaEEEEeeeeIIIIiiiiOOOOOOooooooUUUUuuuuYyyNnCc"
+
+
+def fold(c: Column, accents: bool = False) -> Column:
+    """Lower case, and with ``accents`` also accented Latin letters to their base."""
+    c = F.translate(c, ACCENTED, UNACCENTED) if accents else c
+    return F.lower(c)
+
+
+def search_predicate(search: str, fold_accents: bool = False) -> Column:
     """``orderID LIKE %s% OR customer_name LIKE %s%``, case-insensitive on the name
-    (the reference's collation folds case)."""
+    (the reference's collation folds case; ``fold_accents`` also folds accents,
+    keeping ``%``/``_`` wildcards, which Spark's accent-insensitive collation
+    does not support with LIKE)."""
     p = like_pattern(search)
+    text = p.translate(str.maketrans(ACCENTED, UNACCENTED)) if fold_accents else p
     return (F.col("orderID").cast("string").like(p)
-            | F.lower(F.col("customer_name")).like(p.lower()))
+            | fold(F.col("customer_name"), fold_accents).like(text.lower()))
 
 
-def orders_search(orders: DataFrame, search: str) -> DataFrame:
-    return orders.filter(search_predicate(search))
+def orders_search(orders: DataFrame, search: str, fold_accents: bool = False) -> DataFrame:
+    return orders.filter(search_predicate(search, fold_accents))
 
 
 def orders_filtered(orders: DataFrame, status: str | None = None, date_from=None,

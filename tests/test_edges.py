@@ -446,3 +446,13 @@ def test_payload_files_and_json_sink_round_trip(spark, seed, tmp_path):
     dest = export.write_orders_json(out["orders"], str(tmp_path / "orders_json"))
     back = spark.read.json(dest).collect()
     assert [(r.orderID, r.customer_name, r.order_type) for r in back] == [(1, "[Table 2] Ann", "online")]
+
+
+def test_search_accent_folding(spark):
+    o = _orders(spark, [(1, None, "José Müller", "online", 1, TS, "pending"),
+                        (2, None, "Jose Muller", "online", 1, TS, "pending"),
+                        (3, None, "Zoë", "online", 1, TS, "pending")])
+    plain = sorted(r.orderID for r in filters.orders_search(o, "jose m_ller").collect())
+    folded = sorted(r.orderID for r in filters.orders_search(o, "JOSÉ M_LLER", fold_accents=True).collect())
+    assert plain == [2] and folded == [1, 2]
+    assert [r.orderID for r in filters.orders_search(o, "zoe", fold_accents=True).collect()] == [3]
