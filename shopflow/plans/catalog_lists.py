@@ -362,7 +362,8 @@ def q_fn_js_int(spark, sf_dir):
                                          F.lit("x")))).alias("qty"))
 
 
-@register("fn_money")
+@register("fn_money", with_views("""
+SELECT orderID, format('{:,.2f}', totalAmount) AS amount_text FROM shop_orders""", "shop_orders"))
 def q_fn_money(spark, sf_dir):
     o = _t(spark, sf_dir).orders
     return o.select("orderID", S.money_text("totalAmount").alias("amount_text"))
