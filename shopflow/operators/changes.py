@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+import shopflow.schema as S
 from shopflow.functions.scalars import at_least_one, js_float, js_int, js_trim, strip_markup_chars
 from shopflow.operators.allocation import stock_after, stock_allocation
 from shopflow.operators.joins import left_join_nullable_key
@@ -142,13 +143,13 @@ def orders_intake(headers: DataFrame, lines: DataFrame, products: DataFrame,
     # An order "has a valid item" when any line found its product sellable at its
     # turn (checked before the insert that may fail), whether or not it failed.
     has_valid = decided.filter(F.col("accepted")).select("order_seq").distinct()
-    empty = h.filter(~F.col("has_items")).select("order_seq", F.lit("Cart is empty").alias("reason"))
+    empty = h.filter(~F.col("has_items")).select("order_seq", F.lit(S.CART_EMPTY).alias("reason"))
     failed = (failing.join(has_valid, "order_seq", "left_semi")
-              .select("order_seq", F.lit("Order failed").alias("reason")))
+              .select("order_seq", F.lit(S.ORDER_FAILED).alias("reason")))
     novalid = (valid_h.select("order_seq").join(has_valid, "order_seq", "left_anti")
-               .select("order_seq", F.lit("No valid items in cart").alias("reason")))
+               .select("order_seq", F.lit(S.NO_VALID_ITEMS).alias("reason")))
     overflow = new_orders.filter(F.col("totalAmount") > _money_max()).select(
-        F.col("orderID").alias("order_seq"), F.lit("Total overflow").alias("reason"))
+        F.col("orderID").alias("order_seq"), F.lit(S.TOTAL_OVERFLOW).alias("reason"))
     rejects = empty.unionByName(failed).unionByName(novalid).unionByName(overflow)
     return {"orders": new_orders, "items": items, "stock": new_stock, "rejects": rejects}
 
@@ -166,8 +167,8 @@ def stock_decrement(products: DataFrame, sold_lines: DataFrame) -> DataFrame:
 def stock_set_reason(q: Column) -> Column:
     """Why a stock input is refused (null when fine): not a number / negative,
     above 9999."""
-    return (F.when(q.isNull() | (q < 0), "Quantity cannot be negative")
-            .when(q > QUANTITY_MAX, "Quantity is too high"))
+    return (F.when(q.isNull() | (q < 0), S.QUANTITY_NEGATIVE)
+            .when(q > QUANTITY_MAX, S.QUANTITY_TOO_HIGH))
 
 
 def stock_set(products: DataFrame, updates: DataFrame, seq: str = "seq",
@@ -290,12 +291,12 @@ def payment_settlement(orders: DataFrame, payments: DataFrame,
     blank = raw.isNull() | (js_trim(raw) == "")
     cash = F.coalesce(js_float(raw), F.lit(0).cast("decimal(22,6)"))
     total = F.col("totalAmount").cast("decimal(22,6)")
-    reason = (F.when(F.col("order_type") == "walk-in", "Walk-in order: paid at checkout")
-              .when(blank, "Please enter cash received")
-              .when(cash < 0, "Invalid cash amount"))
+    reason = (F.when(F.col("order_type") == "walk-in", S.WALKIN_PAID)
+              .when(blank, S.CASH_BLANK)
+              .when(cash < 0, S.CASH_INVALID))
     if cash_cap is not None:
-        reason = reason.when(cash > cash_cap, "Cash amount is too large")
-    reason = reason.when(cash < total, "Cash is less than the total amount")
+        reason = reason.when(cash > cash_cap, S.CASH_TOO_LARGE)
+    reason = reason.when(cash < total, S.CASH_SHORT)
     out = p.withColumn("_cash", cash).withColumn("reason", reason)
     ok = F.col("reason").isNull()
     return out.select(
@@ -303,7 +304,7 @@ def payment_settlement(orders: DataFrame, payments: DataFrame,
         F.col("_cash").cast("decimal(20,2)").alias("cash_value"),
         ok.alias("accepted"), "reason",
         F.when(ok, (F.col("_cash") - total).cast("decimal(20,2)")).alias("change_due"),
-        F.when(F.col("reason") == "Cash is less than the total amount",
+        F.when(F.col("reason") == S.CASH_SHORT,
                (total - F.col("_cash")).cast("decimal(20,2)")).alias("shortfall"),
         F.when(ok, F.lit("completed")).otherwise(F.col("status")).alias("new_status"),
         (ok & F.col("status").isin("pending", "preparing")).alias("early"))

@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+import shopflow.schema as S
 from shopflow.operators.filters import completed_in_range
 
 
@@ -143,5 +144,5 @@ def cart_priced(cart_lines: DataFrame, products: DataFrame) -> tuple[DataFrame,
     priced = cart_lines.join(sell, "productID", "inner")
     rejected = (cart_lines.select("cart_id").distinct()
                 .join(priced.select("cart_id").distinct(), "cart_id", "left_anti")
-                .withColumn("reason", F.lit("No valid items in cart")))
+                .withColumn("reason", F.lit(S.NO_VALID_ITEMS)))
     return priced, rejected

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+import shopflow.schema as S
 from shopflow.schema import CATEGORIES, NAME_MAX, ORDER_TYPES, PRICE_MAX, QUANTITY_MAX, ROLES, STATUSES
 
 # Fixed pattern of allowed customer-name characters (ASCII word chars,
@@ -21,14 +22,14 @@ def product_reject_reason(categories=tuple(CATEGORIES)):
     name = F.regexp_replace(F.col("name"), r"^\s+|\s+$", "")
     price = F.col("price").cast("decimal(20,2)")
     qty = F.col("quantity")
-    return (F.when(name.isNull() | (name == ""), "Product name is required")
-            .when(F.length(name) > NAME_MAX, "Product name is too long")
+    return (F.when(name.isNull() | (name == ""), S.NAME_REQUIRED)
+            .when(F.length(name) > NAME_MAX, S.NAME_TOO_LONG)
             .when(F.col("category").isNull() | ~F.col("category").isin(*categories),
-                  "Please select a category")
-            .when(price.isNull() | (price <= 0), "Price must be greater than 0")
-            .when(price > PRICE_MAX, "Price is too high")
-            .when(qty.isNull() | (qty < 0), "Quantity cannot be negative")
-            .when(qty > QUANTITY_MAX, "Quantity is too high"))
+                  S.CATEGORY_REQUIRED)
+            .when(price.isNull() | (price <= 0), S.PRICE_NOT_POSITIVE)
+            .when(price > PRICE_MAX, S.PRICE_TOO_HIGH)
+            .when(qty.isNull() | (qty < 0), S.QUANTITY_NEGATIVE)
+            .when(qty > QUANTITY_MAX, S.QUANTITY_TOO_HIGH))
 
 
 def validate_products(products: DataFrame, categories=tuple(CATEGORIES)) -> DataFrame:
@@ -46,8 +47,8 @@ def customer_name_reason():
     after trimming, or characters outside the allowed set. Blank is fine (it
     becomes 'Customer')."""
     t = F.regexp_replace(F.col("customer_name"), r"^\s+|\s+$", "")
-    return (F.when(F.length(t) > NAME_MAX, "Name is too long")
-            .when((t != "") & ~t.rlike(NAME_PATTERN), "Name contains invalid characters"))
+    return (F.when(F.length(t) > NAME_MAX, S.CUSTOMER_NAME_TOO_LONG)
+            .when((t != "") & ~t.rlike(NAME_PATTERN), S.CUSTOMER_NAME_INVALID))
 
 
 def validate_customer_name(df: DataFrame) -> DataFrame:

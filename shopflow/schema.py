@@ -28,6 +28,28 @@ QUANTITY_MAX = 9999
 NAME_MAX = 100
 CASH_MAX = 999999
 
+# User-facing reasons of the shop's checks, in the order the checks
+# run (order intake; catalogue form; customer name; stock form; cash payment).
+CART_EMPTY = "Cart is empty"
+NO_VALID_ITEMS = "No valid items in cart"
+ORDER_FAILED = "Order failed"
+NAME_REQUIRED = "Product name is required"
+NAME_TOO_LONG = "Product name is too long"
+CATEGORY_REQUIRED = "Please select a category"
+PRICE_NOT_POSITIVE = "Price must be greater than 0"
+PRICE_TOO_HIGH = "Price is too high"
+QUANTITY_NEGATIVE = "Quantity cannot be negative"
+QUANTITY_TOO_HIGH = "Quantity is too high"
+CUSTOMER_NAME_TOO_LONG = "Name is too long"
+CUSTOMER_NAME_INVALID = "Name contains invalid characters"
+CASH_BLANK = "Please enter cash received"
+CASH_INVALID = "Invalid cash amount"
+CASH_TOO_LARGE = "Cash amount is too large"
+CASH_SHORT = "Cash is less than the total amount"
+# Reasons of this library (no counterpart in the shop).
+TOTAL_OVERFLOW = "Total overflow"
+WALKIN_PAID = "Walk-in order: paid at checkout"
+
 EMPLOYEES = T.StructType(
     [
         T.StructField("EmployeeID", T.LongType(), False),
