@@ -61,9 +61,14 @@ def demand_before(requests: DataFrame, seq: str = "order_seq", buckets: int | No
     in all earlier orders (``seq`` must be integral). Bucket bounds are
     quantiles of ``seq`` in ``splits_from`` (default: ``requests``); any frame
     with the same sequence values will do, e.g. the lines before a join."""
+    from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
+
+    if not isinstance(requests.schema[seq].dataType, (ByteType, ShortType, IntegerType, LongType)):
+        raise ValueError(f"{seq} must be an integral sequence (the frame ends at seq - 1)")
     buckets = buckets or default_buckets(requests)
     splits = _bucket_splits(splits_from if splits_from is not None else requests, seq, buckets)
-    r = Bucketizer(splits=splits, inputCol="_seqd", outputCol="_bucket").transform(
+    # handleInvalid="keep": a null sequence gets its own bucket instead of failing.
+    r = Bucketizer(splits=splits, inputCol="_seqd", outputCol="_bucket", handleInvalid="keep").transform(
         requests.withColumn("_seqd", F.col(seq).cast("double"))).drop("_seqd")
     earlier = Window.partitionBy("productID", "_bucket").orderBy(F.col(seq)).rangeBetween(_PREV, -1)
     x = r.withColumn("_ioff", F.coalesce(F.sum("quantity").over(earlier), F.lit(0)))
