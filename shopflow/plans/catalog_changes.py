@@ -29,7 +29,7 @@ _ALLOC_STOCK = """alloc_stock AS (
 
 
 def _alloc_stock(spark, sf_dir):
-    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    p = driver.read_raw(spark, sf_dir, "part")
     return p.select(F.col("p_partkey").alias("productID"),
                     (F.col("p_size") * 20).alias("quantity"),
                     F.when(F.col("p_partkey") % 7 == 0, 0).otherwise(1).alias("is_available"),
@@ -39,14 +39,14 @@ def _alloc_stock(spark, sf_dir):
 def _intake_inputs(spark, sf_dir):
     """Headers from orders (table number from the customer key, employee from
     the mapped employees), text lines from lineitem."""
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    o = driver.read_raw(spark, sf_dir, "orders")
     emp = driver.employees(spark, sf_dir).select("EmployeeID")
     h = o.join(emp, o["o_custkey"] == emp["EmployeeID"], "left").select(
         F.col("o_orderkey").alias("order_seq"),
         F.concat(F.lit(" Guest "), F.col("o_custkey").cast("string"), F.lit("\t")).alias("customer_name"),
         (F.col("o_custkey") % 25).cast("string").alias("table_number"),
         "EmployeeID", F.lit(True).alias("has_items"))
-    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    li = driver.read_raw(spark, sf_dir, "lineitem")
     ln = li.select(F.col("l_orderkey").alias("order_seq"), F.col("l_linenumber").alias("line_pos"),
                    F.col("l_partkey").cast("string").alias("productID"),
                    F.col("l_quantity").cast("int").cast("string").alias("quantity"))
@@ -118,7 +118,7 @@ FROM lineitem""")
 def q_read_order_payloads(spark, sf_dir):
     """JSON bodies (one single-item cart per line, numbers as JSON numbers) are
     parsed back into lines."""
-    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    li = driver.read_raw(spark, sf_dir, "lineitem")
     body = F.to_json(F.struct(
         F.lit("Guest").alias("customer_name"),
         F.array(F.struct(F.col("l_partkey").alias("productID"),
@@ -163,7 +163,7 @@ FROM (SELECT c_custkey, c_nationkey,
                                                 '^\s+|\s+$', '', 'g'), '[<>"'']', '', 'g') END AS lbl
       FROM customer) t""")
 def q_customer_label(spark, sf_dir):
-    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    c = driver.read_raw(spark, sf_dir, "customer")
     name = F.when(F.col("c_mktsegment") == "MACHINERY", F.lit("")).otherwise(
         F.concat(F.lit("\t"), "c_name", F.lit("<\"'>"), F.lit("  ")))
     return c.select(F.col("c_custkey").alias("customer_id"),
@@ -212,7 +212,7 @@ FROM products p LEFT JOIN (
   WHERE rn = 1) u ON p.productID = u.productID""", "products"))
 def q_stock_set(spark, sf_dir):
     t = _t(spark, sf_dir)
-    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    li = driver.read_raw(spark, sf_dir, "lineitem")
     upd = li.select(F.col("l_partkey").alias("productID"), F.col("l_orderkey").alias("seq"),
                     (F.col("l_quantity").cast("int") * 250 - 500).alias("quantity"))
     return changes.stock_set(t.products, upd)
@@ -247,7 +247,7 @@ FROM products p FULL OUTER JOIN (
   FROM supplier) c ON p.productID = c.productID""", "products"))
 def q_catalogue_upsert(spark, sf_dir):
     t = _t(spark, sf_dir)
-    s = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    s = driver.read_raw(spark, sf_dir, "supplier")
     ch = s.select((F.col("s_suppkey") * 10).alias("productID"), F.lit(0).alias("seq"),
                   F.concat(F.lit("  "), "s_name", F.lit("\n")).alias("name"),
                   F.lit("PROMO").alias("category"),
@@ -313,7 +313,7 @@ FROM (
   JOIN shop_orders o ON p.user_id = o.orderID) t""", "shop_orders"))
 def q_payment_settlement(spark, sf_dir):
     t = _t(spark, sf_dir)
-    ev = spark.read.parquet(f"{sf_dir}/events.parquet")
+    ev = driver.read_raw(spark, sf_dir, "events")
     pay = ev.select(F.col("event_id").alias("payment_id"), F.col("user_id").alias("orderID"),
                     (F.col("value").cast("decimal(12,2)") * 1000).cast("string").alias("cash"))
     return changes.payment_settlement(t.orders, pay)

@@ -8,6 +8,7 @@ from shopflow.functions import scalars as S
 from shopflow.operators import filters, inventory, joins, quality, reports
 from shopflow.plans.catalog import AS_OF, DATE_FROM, DATE_TO, _t, register
 from shopflow.plans.views import with_views
+from shopflow.sources import driver
 
 _RANGE = f"CAST(orderDateTime AS DATE) BETWEEN DATE '{DATE_FROM}' AND DATE '{DATE_TO}'"
 _O_RANGE = f"CAST(o.orderDateTime AS DATE) BETWEEN DATE '{DATE_FROM}' AND DATE '{DATE_TO}'"
@@ -50,7 +51,7 @@ FROM (SELECT p_partkey AS productID,
              WHEN p_size % 4 = 2 THEN concat('img/', CAST(p_partkey AS VARCHAR)) END AS image
       FROM part) t""")
 def q_product_image_path(spark, sf_dir):
-    p = spark.read.parquet(f"{sf_dir}/part.parquet").select(
+    p = driver.read_raw(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("productID"), _image_stand_in().alias("image"))
     return p.select("productID", S.product_image_path("image").alias("image_src"))
 
@@ -316,7 +317,7 @@ SELECT c_custkey AS customer_id,
        CAST(c_custkey AS VARCHAR) LIKE '%1_' AS id_like
 FROM customer""")
 def q_fn_strings(spark, sf_dir):
-    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    c = driver.read_raw(spark, sf_dir, "customer")
     return c.select(
         F.col("c_custkey").alias("customer_id"),
         F.concat(F.lit("[Table "), F.col("c_nationkey").cast("string"), F.lit("] "), "c_name").alias("label"),
@@ -336,7 +337,7 @@ FROM orders LEFT JOIN (SELECT c_custkey AS EmployeeID FROM customer WHERE c_mkts
   ON o_custkey = e.EmployeeID""")
 def q_fn_conditionals(spark, sf_dir):
     t = _t(spark, sf_dir)
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    o = driver.read_raw(spark, sf_dir, "orders")
     e = t.employees.select("EmployeeID")
     j = o.join(e, o["o_custkey"] == e["EmployeeID"], "left")
     return j.select(
@@ -354,7 +355,7 @@ SELECT event_id,
       '^\\s*([+-]?\\d+)', 1), '') AS BIGINT)) AS qty
 FROM events""")
 def q_fn_js_int(spark, sf_dir):
-    ev = spark.read.parquet(f"{sf_dir}/events.parquet")
+    ev = driver.read_raw(spark, sf_dir, "events")
     return ev.select(
         "event_id", S.js_int(F.col("value").cast("string")).alias("from_value"),
         S.js_int("props").alias("from_props"),
@@ -429,7 +430,7 @@ SELECT customer_name, reason, reason IS NULL AS valid FROM (
       THEN 'Name contains invalid characters' END AS reason
   FROM customer) t""")
 def q_validate_customer_name(spark, sf_dir):
-    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_name").alias("customer_name"))
+    c = driver.read_raw(spark, sf_dir, "customer").select(F.col("c_name").alias("customer_name"))
     return quality.validate_customer_name(c)
 
 

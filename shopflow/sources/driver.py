@@ -16,8 +16,31 @@ from shopflow.schema import MONEY, Tables
 DRIVER_CATEGORIES = ("ECONOMY", "SMALL", "MEDIUM", "LARGE", "STANDARD", "PROMO")
 
 
-def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+# Declared schemas of the driver tables read here (no footer-inference job per read).
+RAW_SCHEMAS = {
+    "customer": "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey long, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey long, p_name string, p_brand string, p_type string, p_size int, "
+            "p_retailprice double",
+    "orders": "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, "
+                "l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
+                "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, "
+              "props string",
+}
+
+
+def read_raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A driver table with its declared schema."""
+    r = spark.read
+    if name in RAW_SCHEMAS:
+        r = r.schema(RAW_SCHEMAS[name])
+    return r.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_read = read_raw
 
 
 def employees(spark: SparkSession, sf_dir: str) -> DataFrame:
