@@ -102,12 +102,13 @@ def order_detail(orders: DataFrame, employees: DataFrame, order_items: DataFrame
 
 def order_detail_flat(orders: DataFrame, employees: DataFrame, order_items: DataFrame,
                       products: DataFrame) -> DataFrame:
-    """Flattened order detail: one row per item of every order (inner join)."""
+    """Flattened order detail: one row per item of every order; an order without
+    items keeps one row with null item columns (the nested form's empty list)."""
     base = orders_with_employee(orders, employees)
     it = items_with_product(order_items, products).select(
         "orderID", "productID", F.col("quantity").alias("item_quantity"),
         F.col("price").alias("item_price"), "product_name", "category")
-    return base.join(it, "orderID", "inner")
+    return base.join(it, "orderID", "left")
 
 
 def kitchen_tickets(orders: DataFrame, order_items: DataFrame, products: DataFrame) -> DataFrame:
@@ -125,11 +126,12 @@ def kitchen_tickets(orders: DataFrame, order_items: DataFrame, products: DataFra
 
 
 def kitchen_ticket_lines(orders: DataFrame, order_items: DataFrame, products: DataFrame) -> DataFrame:
-    """Flat form of :func:`kitchen_tickets`: one row per item of an active order."""
+    """Flat form of :func:`kitchen_tickets`: one row per item of an active order;
+    an active order without items keeps one row with null item columns."""
     active = orders.filter(F.col("status").isin("pending", "preparing")).select(
         "orderID", "customer_name", "order_type", "orderDateTime", "status")
     it = items_with_product(order_items, products).select("orderID", "quantity", "product_name")
-    return active.join(it, "orderID", "inner")
+    return active.join(it, "orderID", "left")
 
 
 def cart_priced(cart_lines: DataFrame, products: DataFrame) -> tuple[DataFrame, DataFrame]:
