@@ -91,7 +91,7 @@ def q_orders_intake(spark, sf_dir):
 
 
 @register("intake_items", with_views(
-    "SELECT order_seq, line_pos, productID, quantity, price FROM acc", "employees", extra=_INTAKE_CTES))
+    "SELECT order_seq, line_pos, productID, CAST(quantity AS BIGINT) AS quantity, price FROM acc", "employees", extra=_INTAKE_CTES))
 def q_intake_items(spark, sf_dir):
     return _intake(spark, sf_dir)["items"]
 
@@ -130,7 +130,7 @@ def q_read_order_payloads(spark, sf_dir):
 
 @register("stock_allocation", with_views("""
 SELECT l.l_orderkey AS orderID, l.l_partkey AS productID, l.l_linenumber AS line_no,
-       CAST(l.l_quantity AS INT) AS quantity, d.stock_before,
+       CAST(l.l_quantity AS INT) AS quantity, CAST(d.stock_before AS BIGINT) AS stock_before,
        (d.is_available = 1 AND d.stock_before > 0) AS accepted
 FROM lineitem l JOIN dec d ON l.l_orderkey = d.order_seq AND l.l_partkey = d.productID""",
                                          "employees", extra=_INTAKE_CTES))
@@ -171,7 +171,7 @@ def q_customer_label(spark, sf_dir):
 
 
 @register("cart_totals", with_views("""
-SELECT orderID, SUM(price * quantity) AS total, SUM(quantity) AS item_count
+SELECT orderID, SUM(price * quantity) AS total, CAST(SUM(quantity) AS BIGINT) AS item_count
 FROM order_items GROUP BY orderID""", "order_items"))
 def q_cart_totals(spark, sf_dir):
     return changes.cart_totals(_t(spark, sf_dir).order_items)
