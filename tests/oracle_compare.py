@@ -45,6 +45,23 @@ def canon(v):
     return str(v)
 
 
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "date": "DATE",
+                 "timestamp_ntz": "TIMESTAMP", "boolean": "BOOLEAN", "double": "DOUBLE"}
+
+
+def type_mismatches(spark_schema, description) -> list:
+    """Columns whose Spark type and DuckDB type differ (decimals compare by kind)."""
+    sch = {f.name: f.dataType.simpleString() for f in spark_schema.fields}
+    bad = []
+    for name, typ in ((c[0], str(c[1])) for c in description):
+        st = sch.get(name)
+        if st is None or (st.startswith("decimal") and typ.startswith("DECIMAL")):
+            continue
+        if SPARK_TO_DUCK.get(st) != typ:
+            bad.append((name, st, typ))
+    return bad
+
+
 def rows_of(names, rows):
     order = sorted(range(len(names)), key=lambda i: names[i])
     return sorted(tuple(canon(r[i]) for i in order) for r in rows)
@@ -59,7 +76,8 @@ def compare(spark, key: str, fn, sql: str, sf_dir: str, con=None) -> dict:
     d_names = [c[0] for c in res.description]
     d_rows = res.fetchall()
     out = {"key": key, "spark_rows": len(s_rows), "oracle_rows": len(d_rows),
-           "names_match": sorted(s_names) == sorted(d_names)}
+           "names_match": sorted(s_names) == sorted(d_names),
+           "type_mismatches": type_mismatches(sdf.schema, res.description)}
     out["values_match"] = out["names_match"] and rows_of(s_names, s_rows) == rows_of(d_names, d_rows)
     if not out["names_match"]:
         out["spark_cols"] = sorted(s_names)

@@ -17,6 +17,7 @@ def con():
 def test_matches_oracle(spark, con, key):
     r = compare(spark, key, QUERIES[key], ORACLES[key], SF, con)
     assert r["names_match"], r
+    assert r["type_mismatches"] == [], r
     assert r["values_match"], r
 
 
