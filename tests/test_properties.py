@@ -104,3 +104,17 @@ def test_category_performance_split_hot_same_result(spark):
     a = sorted(map(tuple, reports.category_performance(t).collect()))
     b = sorted(map(tuple, reports.category_performance(t, split_hot=True).collect()))
     assert a == b
+
+
+def test_cluster_confs_are_runtime_settable(spark):
+    from shopflow.session import CLUSTER_CONFS, apply_confs
+    before = {k: spark.conf.get(k, None) for k in CLUSTER_CONFS}
+    try:
+        apply_confs(spark, CLUSTER_CONFS)
+        assert all(spark.conf.get(k) == v for k, v in CLUSTER_CONFS.items())
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
