@@ -5,15 +5,15 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from shopflow.session import scratch_path, ship_package
 
-# Characters that separate words: [\x20\x09-\x0D].
-BLANKS = " \t\n\x0b\x0c\r"
-
 
 def stage_table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
@@ -27,22 +27,24 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[dict] | pa.RecordBatch | None],
-             schema: str) -> DataFrame:
+def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[dict] | dict | None],
+             schema: str | T.StructType) -> DataFrame:
     """``mapInArrow`` with a function of one record batch that returns columns
     (a dict of lists or arrays) for ``schema``, an iterable of such dicts, or None."""
     ship_package(df.sparkSession)
-    fields = df.sparkSession.createDataFrame([], schema).schema
-    from pyspark.sql.pandas.types import to_arrow_schema
+    fields = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
     out = to_arrow_schema(fields)
 
+    def column(values, kind: pa.DataType) -> pa.Array:
+        if isinstance(values, pa.Array):
+            return values if values.type == kind else values.cast(kind)
+        return pa.array(values, type=kind)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = fn(b)
             for cols in [got] if isinstance(got, dict) else got or ():
-                yield pa.RecordBatch.from_arrays(
-                    [c if isinstance(c := cols[f.name], pa.Array) and c.type == f.type
-                     else pa.array(c, type=f.type) for f in out], schema=out)
+                yield pa.RecordBatch.from_arrays([column(cols[f.name], f.type) for f in out], schema=out)
 
     return df.mapInArrow(run, fields)
 
@@ -74,6 +76,24 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         e = stage_table(small, "edges")
 
 
+def stars(n: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each linked position with the lowest position it reaches (fewer edges than rows)."""
+    low = np.arange(n)
+    while len(i):
+        m = np.minimum(low[i], low[j])
+        new = low.copy()
+        np.minimum.at(new, i, m)
+        np.minimum.at(new, j, m)
+        np.minimum.at(new, low[i], m)
+        np.minimum.at(new, low[j], m)
+        new = new[new]
+        if (new == low).all():
+            break
+        low = new
+    at = np.flatnonzero(low != np.arange(n))
+    return at, low[at]
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table, whole."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

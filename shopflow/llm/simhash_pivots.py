@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shopflow.llm.common import components, map_rows, read_table, ship_package, stage_table
+from shopflow.llm.common import components, map_rows, read_table, ship_package, stage_table, stars
 
 SEED = 42
 BLOCK_BITS = 2
@@ -96,24 +96,6 @@ def _survivors(fps, i, j, refs, max_bits):
     return [np.concatenate(k) if k else np.empty(0, np.int64) for k in zip(*keep)] or [np.empty(0, np.int64)] * 2
 
 
-def _stars(n: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each linked position with the lowest position it reaches (fewer edges than rows)."""
-    low = np.arange(n)
-    while len(i):
-        m = np.minimum(low[i], low[j])
-        new = low.copy()
-        np.minimum.at(new, i, m)
-        np.minimum.at(new, j, m)
-        np.minimum.at(new, low[i], m)
-        np.minimum.at(new, low[j], m)
-        new = new[new]
-        if (new == low).all():
-            break
-        low = new
-    at = np.flatnonzero(low != np.arange(n))
-    return at, low[at]
-
-
 def _run_links(fps: np.ndarray, run: np.ndarray, chunk: np.ndarray, pair: np.ndarray,
                refs: np.ndarray, max_bits: int):
     """Star edges between the rows of each run (equal ``run``). ``pair`` marks runs in
@@ -138,7 +120,7 @@ def _run_links(fps: np.ndarray, run: np.ndarray, chunk: np.ndarray, pair: np.nda
                 i, j = np.meshgrid(np.arange(r, min(r + 256, e)), np.arange(r + 1, e), indexing="ij")
                 ok = (i < j) & (~pair[i] | (chunk[i] != chunk[j]))
                 own.append(_survivors(fps, i[ok], j[ok], refs, max_bits))
-            a, b = _stars(e - s, *(np.concatenate(x) - s for x in zip(*own)))
+            a, b = stars(e - s, *(np.concatenate(x) - s for x in zip(*own)))
             found.append((a + s, b + s))
     if not found:
         return np.empty(0, np.int64), np.empty(0, np.int64)
