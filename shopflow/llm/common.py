@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import time
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -27,6 +29,15 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of jobs whose results are staged: it does so once
+    nothing refers to them any more, which a collection on the driver finds out."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
+
+
 def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[dict] | dict | None],
              schema: str | T.StructType) -> DataFrame:
     """``mapInArrow`` with a function of one record batch that returns columns

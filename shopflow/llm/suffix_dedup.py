@@ -15,7 +15,6 @@ where that reaches ``min_len`` the suffix's bytes are removed.
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,11 +23,11 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shopflow.llm.common import read_table, stage_table
+from shopflow.llm.common import drop_shuffles, read_table, stage_table
 from shopflow.session import ship_package
 
 MIN_LEN = 50
-GRAM = 16  # bytes of a gram
+GRAM = 12  # bytes of a gram
 CHUNK_BYTES = 8 << 20  # text whose blocks a task holds before it sends them
 PIECE_BYTES = 1 << 20  # text hashed at a time
 BUCKET_BYTES = 4 << 20  # text of a bucket's suffixes, about
@@ -82,7 +81,7 @@ def pack(doc, tag, start, size, texts) -> bytes:
     count = np.diff(np.r_[first, len(doc)]).astype(np.int32)
     flat = b"".join([head, np.diff(doc[first], prepend=0).tobytes(), tag[first].tobytes(), count.tobytes(),
                      np.ascontiguousarray(start.astype(np.int64)).tobytes(), size.tobytes(), *texts])
-    return zstandard.ZstdCompressor(level=3).compress(flat)
+    return zstandard.ZstdCompressor(level=5).compress(flat)
 
 
 def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
@@ -366,9 +365,7 @@ def dedup(docs: DataFrame, min_len: int = MIN_LEN, id_col: str = "doc_id", text_
     n_buckets = max(n_parts, int(4 * (facts[1] or 0) / BUCKET_BYTES))
     long = own.where((F.octet_length("text") >= min_len) & F.col("doc_id").isNotNull()).select("doc_id", "tag", "text")
     found = stage_table(_removals(_send(long, n_buckets, min_len), n_parts, min_len), "suffix-removals")
-    del long
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # lets Spark drop the shuffle that the table has replaced
+    drop_shuffles(spark)
 
     def squeeze(batches):
         for b in batches:
