@@ -1,7 +1,6 @@
 """Byte-level BPE encoding and decoding with a public tokenizer file.
 
-Texts are split at the file's special tokens, then by its pre-tokenizer's pattern. In
-each piece, a segment tree over the ranks of adjacent pairs holds the next merge at its
+Texts are split at the file's special tokens, then by its pre-tokenizer's pattern. In each piece, a segment tree over the ranks of adjacent pairs holds the next merge at its
 root: the lowest rank, leftmost among equals. A merge changes one symbol, takes one out
 of the chain, and updates at most three leaves, each in logarithmic time, until no pair
 can be merged; so a piece of n bytes costs O(n log n) however long it is.
@@ -11,7 +10,6 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterable
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +24,11 @@ from shopflow.llm.common import map_rows, read_table
 PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
            r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
 NO_PAIR = 1 << 62
-CACHE_PIECES = 200_000  # merged pieces remembered in a task, of at most CACHE_LENGTH characters
-CACHE_LENGTH = 64
+CACHE_PIECES = 300_000  # merged pieces remembered in a Python worker
+CACHE_TOKENS = 4_000_000  # and their tokens
+TREE_BYTES = 64  # longer pieces have a tree of their own
+TREE_ROWS = 16_384  # trees grown together
+TEXT_BATCH = 64  # texts whose new pieces are merged together
 
 
 def byte_characters() -> list[str]:
@@ -77,7 +78,7 @@ def merge_piece(ids: list[int], pairs: dict[tuple[int, int], tuple[int, int]]) -
             before[after[j]] = i
         if j < n - 1:
             update(j, NO_PAIR)
-        update(i, leaf(i)) if i < n - 1 else None
+        update(i, leaf(i))
         if before[i] >= 0:
             update(before[i], leaf(before[i]))
     out, i = [], 0
@@ -87,45 +88,155 @@ def merge_piece(ids: list[int], pairs: dict[tuple[int, int], tuple[int, int]]) -
     return out
 
 
-class Tokenizer(dict):
-    """A tokenizer of the file's contents; as a dict, the ids of the pieces seen."""
+class Pairs:
+    """The merges as an open-addressing hash table, for lookups of many pairs at once."""
+
+    def __init__(self, pairs: dict[tuple[int, int], tuple[int, int]]):
+        self.bits = max(4, (4 * len(pairs)).bit_length())
+        self.keys = np.full(1 << self.bits, -1, np.int64)
+        self.rank = np.full(1 << self.bits, NO_PAIR, np.int64)
+        self.merged = np.zeros(1 + max((r for r, _ in pairs.values()), default=0), np.int32)
+        for (a, b), (rank, merged) in pairs.items():
+            key = a << 24 | b
+            slot = key * 0x9E3779B97F4A7C15 % (1 << 64) >> 64 - self.bits
+            while self.keys[slot] >= 0:
+                slot = (slot + 1) % (1 << self.bits)
+            self.keys[slot], self.rank[slot], self.merged[rank] = key, rank, merged
+
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair; ``NO_PAIR`` where it can't be merged."""
+        key = left.astype(np.int64) << 24 | right
+        slot = (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+        held = self.keys[slot]
+        out = np.where(held == key, self.rank[slot], NO_PAIR)
+        todo = np.flatnonzero((held != key) & (held >= 0))
+        while len(todo):  # slots taken by other pairs: look at the next
+            slot[todo] = (slot[todo] + 1) % len(self.keys)
+            held = self.keys[slot[todo]]
+            hit = held == key[todo]
+            out[todo[hit]] = self.rank[slot[todo[hit]]]
+            todo = todo[~hit & (held >= 0)]
+        return out
+
+
+def merge_rows(ids: np.ndarray, pairs: Pairs) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens, counts): the symbols left of each row of ``ids`` when every merge is done,
+    one after the other, and their number by row. One segment tree a row."""
+    m, n = ids.shape
+    if n < 2:
+        return ids.ravel(), np.full(m, n)
+    ids = ids.copy()
+    leaves = 1 << max(0, (n - 2).bit_length())
+    low = np.full((m, leaves), NO_PAIR, np.int64)
+    place = np.arange(n - 1)
+    rank = pairs.ranks(ids[:, :-1].ravel(), ids[:, 1:].ravel()).reshape(m, n - 1)
+    low[:, :n - 1] = np.where(rank == NO_PAIR, NO_PAIR, rank * TREE_BYTES + place)
+    tree = [low]
+    while tree[-1].shape[1] > 1:
+        tree.append(np.minimum(tree[-1][:, ::2], tree[-1][:, 1::2]))
+    after = np.tile(np.arange(1, n + 1), (m, 1))
+    before = np.tile(np.arange(-1, n), (m, 1))  # of the end too
+    alive = np.ones((m, n), bool)
+    row = np.flatnonzero(tree[-1][:, 0] < NO_PAIR)
+    while len(row):
+        root = tree[-1][row, 0]
+        i, new = root % TREE_BYTES, pairs.merged[root // TREE_BYTES]
+        j = after[row, i]
+        k = after[row, j]
+        ids[row, i], after[row, i], alive[row, j] = new, k, False
+        before[row, k] = i
+        low[row[j < n - 1], j[j < n - 1]] = NO_PAIR
+        for a, b in ((i, k), (before[row, i], i)):  # the pairs of the new symbol with its neighbours
+            ok = (a >= 0) & (b < n) & (a < n - 1)
+            r, x, y = row[ok], a[ok], b[ok]
+            rank = pairs.ranks(ids[r, x], ids[r, y])
+            low[r, x] = np.where(rank == NO_PAIR, NO_PAIR, rank * TREE_BYTES + x)
+        end = k == n  # nothing to its right any more
+        low[row[end], i[end]] = NO_PAIR
+        for q in (i, np.minimum(j, n - 2), np.maximum(before[row, i], 0)):
+            for level in range(1, len(tree)):
+                q = q >> 1
+                below = tree[level - 1]
+                tree[level][row, q] = np.minimum(below[row, 2 * q], below[row, 2 * q + 1])
+        row = row[tree[-1][row, 0] < NO_PAIR]
+    return ids[alive], alive.sum(1)
+
+
+class Tokenizer:
+    """A tokenizer of the file's contents, with the pieces it has seen."""
 
     def __init__(self, contents: str):
-        super().__init__()
         spec = json.loads(contents)
         model, pre = spec["model"], spec["pre_tokenizer"]
         if (model["type"], pre["type"], spec["normalizer"], pre["add_prefix_space"]) != ("BPE", "ByteLevel", None, False):
             raise ValueError("only byte-level BPE without normalizer and prefix blank is supported")
         vocab, chars = model["vocab"], byte_characters()
-        self.of_byte = [vocab[c] for c in chars]
+        self.of_byte = np.array([vocab[c] for c in chars], np.int32)
         self.pairs = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(model["merges"])}
+        self.table = Pairs(self.pairs)
         byte_of = {c: b for b, c in enumerate(chars)}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.bytes_of = [b""] * (1 + max([*vocab.values(), *self.special.values()]))
         for token, i in [*vocab.items(), *self.special.items()]:
             self.bytes_of[i] = (bytes(map(byte_of.__getitem__, token)) if all(c in byte_of for c in token)
                                 else token.encode())
-        self.pieces = regex.compile(PATTERN).findall
+        self.find = regex.compile(PATTERN).findall
         self.split = regex.compile("(" + "|".join(
             map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
+        self._forget()
 
-    def __missing__(self, piece: str) -> list[int]:
-        ids = merge_piece([self.of_byte[b] for b in piece.encode()], self.pairs)
-        if len(piece) <= CACHE_LENGTH:
-            if len(self) >= CACHE_PIECES:
-                self.clear()
-            self[piece] = ids
-        return ids
+    def _forget(self) -> None:
+        """Start with the special tokens only, which are pieces of one token."""
+        self.place = {s: i for i, s in enumerate(self.special)}
+        self.tokens = np.array([*self.special.values()], np.int32)
+        self.first, self.count = np.arange(len(self.place)), np.ones(len(self.place), np.int64)
 
-    def encode(self, text: str) -> np.ndarray:
-        """The ids of a whole text."""
+    def _pieces(self, text: str) -> list[str]:
         if self.split is None or not any(s in text for s in self.special):
-            return self._plain(text)
-        return np.concatenate([np.array([self.special[p]], "<u4") if p in self.special else self._plain(p)
-                               for p in self.split(text) if p] or [np.empty(0, "<u4")])
+            return self.find(text)
+        return [p for part in self.split(text) for p in ([part] if part in self.special else self.find(part))]
+
+    def _learn(self, new: list[str]) -> None:
+        raw = sorted(((w.encode(), w) for w in new), key=lambda x: len(x[0]))
+        tokens, counts, i = [self.tokens], [self.count], 0
+        while i < len(raw):
+            n, j = len(raw[i][0]), i + 1
+            if n > TREE_BYTES:
+                ids = merge_piece(self.of_byte[np.frombuffer(raw[i][0], np.uint8)].tolist(), self.pairs)
+                tokens.append(np.array(ids, np.int32))
+                counts.append(np.array([len(ids)]))
+            else:
+                while j < len(raw) and len(raw[j][0]) == n and j < i + TREE_ROWS:
+                    j += 1
+                rows = np.frombuffer(b"".join(r for r, _ in raw[i:j]), np.uint8).reshape(j - i, n)
+                t, c = merge_rows(self.of_byte[rows], self.table)
+                tokens.append(t)
+                counts.append(c)
+            i = j
+        at = len(self.place)
+        self.place |= {w: at + k for k, (_, w) in enumerate(raw)}
+        self.tokens, self.count = np.concatenate(tokens), np.concatenate(counts)
+        self.first = np.cumsum(self.count) - self.count
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of whole texts."""
+        out = []
+        for lo in range(0, len(texts), TEXT_BATCH):
+            split = [self._pieces(t) for t in texts[lo:lo + TEXT_BATCH]]
+            if len(self.place) > CACHE_PIECES or len(self.tokens) > CACHE_TOKENS:
+                self._forget()
+            if new := [w for w in set().union(*split) if w not in self.place]:
+                self._learn(new)
+            for words in split:
+                at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+                n = self.count[at]
+                end = np.cumsum(n)
+                where = np.repeat(self.first[at] - end + n, n) + np.arange(end[-1] if len(end) else 0)
+                out.append(self.tokens[where].astype("<u4"))
+        return out
 
-    def _plain(self, text: str) -> np.ndarray:
-        return np.fromiter(chain.from_iterable(map(self.__getitem__, self.pieces(text))), "<u4")
+    def encode(self, text: str) -> np.ndarray:
+        return self.encode_all([text])[0]
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text of the ids; bytes that aren't UTF-8 become U+FFFD."""
@@ -165,7 +276,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", out: str = "ids",
 
     def run(b: pa.RecordBatch) -> dict:
         t = _loaded(held.value)
-        ids = [t.encode(x or "") for x in b.column(names.index(text_col)).to_pylist()]
+        ids = t.encode_all([x or "" for x in b.column(names.index(text_col)).to_pylist()])
         cols = {n: b.column(i) for i, n in enumerate(names)}
         if packed:
             return cols | {out: [x.tobytes() for x in ids]}
@@ -194,14 +305,24 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", out: str = "decoded")
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) by encoding and decoding each text."""
-    both = decode(encode(docs.select("doc_id", "text"), path, packed=True).drop("text"), path)
-    return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
-                       F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    """``docs`` (without its text) with the ids packed, n_tokens, ids_sha256 and
+    decoded_sha256, by encoding and decoding each text."""
+    both = decode(encode(docs, path, out="packed", packed=True).drop("text"), path, "packed")
+    return both.withColumns({"n_tokens": (F.octet_length("packed") / 4).cast("long"),
+                             "ids_sha256": F.sha2("packed", 256),
+                             "decoded_sha256": F.sha2("decoded", 256)}).drop("decoded")
+
+
+def tokens(docs: DataFrame, path: str) -> DataFrame:
+    """(doc_id, lang, source, n_tokens, ids_sha256, decoded_sha256, packed): ``packed`` are
+    the ids as little-endian unsigned 32-bit integers."""
+    return digests(docs.select("doc_id", "lang", "source", "text"), path).select(
+        "doc_id", "lang", "source", "n_tokens", "ids_sha256", "decoded_sha256", "packed")
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded with the 50k byte-level vocabulary, and decoded again."""
     import public_tokenizers
 
-    return digests(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return digests(docs, public_tokenizers.path("byte_bpe_50k.json")).drop("packed")
