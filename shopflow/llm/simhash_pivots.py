@@ -17,8 +17,9 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from shopflow.llm.common import components, map_rows, read_table, ship_package, stage_table, stars
 
@@ -50,15 +51,20 @@ def fingerprint(text: bytes | None, shingle: int = 3) -> int:
 
 def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id",
                  text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): ``fp`` is the fingerprint as a signed long, one row per input row."""
+    """(rk, doc_id, fp), one row per input row: ``rk`` is a hash of id and text, ``fp`` the
+    fingerprint as a signed long."""
 
     def run(b: pa.RecordBatch) -> dict:
-        fps = np.array([fingerprint(t, shingle) for t in b.column(1).to_pylist()], np.uint64)
-        return {"doc_id": b.column(0), "fp": pa.array(fps.view(np.int64))}
+        fps = np.array([fingerprint(t, shingle) for t in b.column(2).to_pylist()], np.uint64)
+        return {"rk": b.column(0), "doc_id": b.column(1), "fp": pa.array(fps.view(np.int64))}
 
-    return map_rows(docs.select(F.col(id_col).cast("long").alias("doc_id"),
+    return map_rows(docs.select(_row_key(id_col, text_col).alias("rk"), F.col(id_col).cast("long").alias("doc_id"),
                                 F.col(text_col).cast("binary").alias("t")),
-                    run, "doc_id long, fp long")
+                    run, "rk long, doc_id long, fp long")
+
+
+def _row_key(id_col: str, text_col: str) -> Column:
+    return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col))
 
 
 def pivots(n_random: int = 16) -> np.ndarray:
@@ -176,6 +182,14 @@ def link_fingerprints(classes: DataFrame, max_bits: int = 2, n_random: int = 16,
     return rows.mapInArrow(links, "a long, b long")
 
 
+def _groups(docs: DataFrame, shingle: int, max_bits: int) -> tuple[DataFrame, DataFrame]:
+    """The rows with their fingerprints, and (fp, root) with a root for each component."""
+    rows = stage_table(fingerprints(docs, shingle), "simhash")
+    classes = rows.select("fp").distinct()
+    roots = components(link_fingerprints(classes, max_bits)).withColumnRenamed("node", "fp")
+    return rows, classes.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFrame:
     """(doc_id, fp, component_id) for every input row.
 
@@ -183,22 +197,24 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> Dat
     other. Repeated rows stay repeated and share a component. A row with a null doc_id
     links like any other but gives no component id; a component of such rows alone has
     a null id. Other columns are ignored; an empty table gives an empty result."""
-    rows = stage_table(fingerprints(docs, shingle), "simhash")
-    classes = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    roots = components(link_fingerprints(classes, max_bits))
-    named = (classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
-             .select("fp", "first_id", F.coalesce("root", "fp").alias("root")))
-    ids = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return rows.join(named.select("fp", "root").join(ids, "root").drop("root"), "fp").select(
-        "doc_id", "fp", "component_id")
+    rows, roots = _groups(docs, shingle, max_bits)
+    ids = rows.groupBy("fp").agg(F.min("doc_id").alias("low")).join(roots, "fp").groupBy("root").agg(
+        F.min("low").alias("component_id"))
+    return rows.join(roots.join(ids, "root").drop("root"), "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFrame:
-    """The documents whose doc_id is the smallest of their group; all columns unchanged.
-    Documents of a group without any doc_id stay."""
-    found = near_duplicates(docs, shingle, max_bits)
-    drop = found.where("doc_id > component_id").select("doc_id").distinct()
-    return docs.join(drop, "doc_id", "left_anti")
+    """The document with the smallest doc_id of each group, in all columns unchanged. A null
+    doc_id comes after all others; of rows with one doc_id, one row stays (repeated rows are
+    alike; of different texts, that with the smallest row key)."""
+    rows, roots = _groups(docs, shingle, max_bits)
+    last = F.lit((1 << 63) - 1)
+    best = F.min(F.struct(F.coalesce("doc_id", last).alias("id"), "rk"))
+    first = rows.groupBy("fp").agg(best.alias("b")).join(roots, "fp").groupBy("root").agg(
+        F.min("b").alias("b")).select(F.col("b.rk").alias("__rk"))
+    one = Window.partitionBy("__rk").orderBy(F.lit(0))
+    return docs.withColumn("__rk", _row_key("doc_id", "text")).join(first, "__rk", "left_semi").withColumn(
+        "__k", F.row_number().over(one)).where("__k = 1").drop("__k", "__rk")
 
 
 def op6_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
