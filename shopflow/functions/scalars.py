@@ -64,10 +64,15 @@ def relative_age(ts, as_of_ts) -> Column:
 
 
 # ---------------------------------------------------------------- strings
+# Fixed: the characters of JavaScript's ``\\s`` and ``trim`` (Java's ``\\s`` is ASCII
+# only), as the inside of a character class.
+JS_SPACE = (r"\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF")
+
+
 def js_trim(c) -> Column:
     """JavaScript ``String.trim``: strips all leading/trailing whitespace (Spark's
     ``trim`` strips spaces only)."""
-    return F.regexp_replace(_c(c), r"^\s+|\s+$", "")
+    return F.regexp_replace(_c(c), rf"\A[{JS_SPACE}]+|[{JS_SPACE}]+\z", "")
 
 
 def strip_markup_chars(c) -> Column:
@@ -96,10 +101,10 @@ def js_int(c) -> Column:
     null when there are none (NaN). Clean integer text takes the plain cast;
     only other text goes through the regular expressions."""
     s = _c(c).cast("string")
-    hexm = F.regexp_extract(s, r"^\s*([+-]?)0[xX]([0-9a-fA-F]+)", 2)
+    hexm = F.regexp_extract(s, rf"\A[{JS_SPACE}]*([+-]?)0[xX]([0-9a-fA-F]+)", 2)
     hexv = F.conv(hexm, 16, 10).try_cast("long") * F.when(
-        F.regexp_extract(s, r"^\s*([+-]?)0[xX]", 1) == "-", F.lit(-1)).otherwise(F.lit(1))
-    m = F.regexp_extract(s, r"^\s*([+-]?\d+)", 1)
+        F.regexp_extract(s, rf"\A[{JS_SPACE}]*([+-]?)0[xX]", 1) == "-", F.lit(-1)).otherwise(F.lit(1))
+    m = F.regexp_extract(s, rf"\A[{JS_SPACE}]*([+-]?\d+)", 1)
     slow = (F.when(hexm != "", hexv)
             .when(m == "", F.lit(None).cast("long")).otherwise(m.try_cast("long")))
     # A plain cast accepts only whole integer text (whitespace trimmed), where it
@@ -111,7 +116,7 @@ def js_float(c, dtype: str = "decimal(22,6)") -> Column:
     """JavaScript ``parseFloat`` on money text: the leading decimal number
     (optional exponent) after whitespace, else null; read as an exact decimal."""
     s = _c(c).cast("string")
-    m = F.regexp_extract(s, r"^\s*([+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?)", 1)
+    m = F.regexp_extract(s, rf"\A[{JS_SPACE}]*([+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?)", 1)
     return F.when(m == "", F.lit(None).cast(dtype)).otherwise(m.try_cast(dtype))
 
 
@@ -128,9 +133,13 @@ def money_text(c, currency: str = "") -> Column:
 
 # ---------------------------------------------------------------- conditionals
 def default_if_falsy(c, default) -> Column:
-    """JavaScript ``x || default``: null, empty string and 0 take the default."""
+    """JavaScript ``x || default`` by the column's type: null, the empty string, a number
+    0 or NaN and false take the default; text such as "0" is kept."""
     col = _c(c)
-    falsy = col.isNull() | (col.cast("string") == "") | (col.cast("string") == "0")
+    text = col.cast("string")
+    not_text = F.typeof(col) != "string"
+    zero = (text.try_cast("double") == 0) | text.isin("NaN", "false")
+    falsy = col.isNull() | (text == "") | (not_text & F.coalesce(zero, F.lit(False)))
     return F.when(falsy, F.lit(default)).otherwise(col)
 
 

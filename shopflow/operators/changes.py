@@ -14,9 +14,13 @@ from pyspark.sql import functions as F
 
 import shopflow.schema as S
 from shopflow.functions.scalars import at_least_one, js_float, js_int, js_trim, strip_markup_chars
-from shopflow.operators.allocation import stock_after, stock_allocation
+from shopflow.operators.allocation import bucketed, decide, stock_after
+from shopflow.operators.filters import sellable_products
 from shopflow.operators.joins import left_join_nullable_key
-from shopflow.schema import MONEY, NAME_MAX, QUANTITY_MAX
+from shopflow.schema import CASH_MAX, MONEY, NAME_MAX, QUANTITY_MAX
+
+
+OPEN = ("pending", "preparing", "ready")  # orders that can still be paid
 
 
 def _money_max() -> Column:
@@ -33,12 +37,12 @@ def cart_totals(lines: DataFrame, cart: str = "orderID") -> DataFrame:
 
 def cart_merge(adds: DataFrame, products: DataFrame, cart: str = "orderID") -> DataFrame:
     """Repeated adds of one product collapse into one line whose quantity never
-    exceeds current stock; products with stock <= 0 (or unknown) are not added."""
-    s = products.select("productID", F.col("quantity").alias("_stock"), "price")
+    exceeds current stock; products that are unknown, unavailable or out of stock
+    are not added."""
+    s = sellable_products(products).select("productID", F.col("quantity").alias("_stock"), "price")
     merged = adds.groupBy(cart, "productID").agg(F.sum("quantity").alias("_want"))
-    j = merged.join(s, "productID", "inner").filter(F.col("_stock") > 0)
-    return j.select(cart, "productID", "price",
-                    F.least(F.col("_want"), F.col("_stock")).cast("long").alias("quantity"))
+    return merged.join(s, "productID", "inner").select(
+        cart, "productID", "price", F.least(F.col("_want"), F.col("_stock")).cast("long").alias("quantity"))
 
 
 # ----------------------------------------------------------------- intake rules
@@ -61,8 +65,7 @@ def customer_label(name: Column, table_number: Column) -> Column:
 
 
 # ----------------------------------------------------------------- intake
-def orders_intake(headers: DataFrame, lines: DataFrame, products: DataFrame,
-                  max_rounds: int = 50) -> dict[str, DataFrame]:
+def orders_intake(headers: DataFrame, lines: DataFrame, products: DataFrame) -> dict[str, DataFrame]:
     """Order intake with stock allocation.
 
     ``headers``: (order_seq, customer_name, table_number, EmployeeID, has_items)
@@ -78,7 +81,8 @@ def orders_intake(headers: DataFrame, lines: DataFrame, products: DataFrame,
     on a product that still has stock when it is checked, fails as a whole
     ('Order failed') and takes no stock.
     The second rule depends on earlier orders, so the failing set is refined
-    until it is stable (it only shrinks; each round is one allocation job).
+    until it is stable. It only shrinks, so this ends; each round decides again
+    only the products of orders that no longer fail.
     Totals above DECIMAL(10,2) are flagged in ``rejects`` with reason
     'Total overflow' and kept (the caller decides).
     """
@@ -98,40 +102,51 @@ def orders_intake(headers: DataFrame, lines: DataFrame, products: DataFrame,
               .filter(F.col("productID").isNotNull()))
     ln = parsed.join(valid_h.select("order_seq", "_label_fail"), "order_seq", "inner")
     stock = products.select("productID", "quantity", "is_available", "price")
+    # Sequence bounds come from the raw lines (a one-column scan, no join).
+    ln = bucketed(ln, splits_from=lines)
 
-    def decide(lines_in: DataFrame, fail: Column) -> DataFrame:
+    def decided_lines(lines_in: DataFrame, fail: Column) -> DataFrame:
         req = lines_in.select(
-            "order_seq", "line_pos", "productID",
+            "order_seq", "line_pos", "productID", "_bucket",
             F.when(~fail & F.col("quantity").isNotNull(), F.col("quantity"))
             .otherwise(F.lit(0)).alias("quantity"),
             F.col("quantity").isNull().alias("_nan"), fail.alias("_failed"))
-        # Sequence quantiles come from the raw lines (a one-column scan, no join).
-        return stock_allocation(req, stock, splits_from=lines)
+        return decide(req, stock)
 
     label_fail = valid_h.filter(F.col("_label_fail")).select("order_seq")
-    nan_orders = ln.filter(F.col("quantity").isNull()).select("order_seq")
     # Checked on the parsed lines (a filtered scan that stops at the first hit).
     if parsed.filter(F.col("quantity").isNull()).isEmpty():
         failing = label_fail
-        decided = decide(ln, F.col("_label_fail"))
+        # All four results below read the decision, so it is made once.
+        decided = decided_lines(ln, F.col("_label_fail")).checkpoint()
     else:
         # Start from "every order with a non-numeric quantity fails" and shrink.
+        nan_orders = ln.filter(F.col("quantity").isNull()).select("order_seq")
+        ln = ln.checkpoint()
         failing = label_fail.unionByName(nan_orders).distinct().checkpoint()
-        for _ in range(max_rounds):
-            flagged = ln.join(failing.withColumn("_f", F.lit(True)), "order_seq", "left")
-            decided = decide(flagged, F.col("_f").isNotNull()).checkpoint()
+
+        def flagged(lines_in: DataFrame, fails: DataFrame) -> DataFrame:
+            marked = lines_in.join(fails.withColumn("_f", F.lit(True)), "order_seq", "left")
+            return decided_lines(marked, F.col("_f").isNotNull())
+
+        decided = flagged(ln, failing).checkpoint()
+        while True:
             still = (decided.filter(F.col("_nan") & F.col("accepted")).select("order_seq")
                      .unionByName(label_fail).distinct().checkpoint())
-            if still.count() == failing.count():
+            freed = failing.join(still, "order_seq", "left_anti")
+            if freed.isEmpty():
                 break
+            touched = ln.join(freed, "order_seq", "left_semi").select("productID").distinct().checkpoint()
+            redone = flagged(ln.join(touched, "productID", "left_semi"), still)
+            # Lines of other products keep their decision but not their order's old mark.
+            rest = decided.join(touched, "productID", "left_anti").drop("_failed").join(
+                still.withColumn("_failed", F.lit(True)), "order_seq", "left").withColumn(
+                "_failed", F.coalesce("_failed", F.lit(False)))
+            decided = redone.unionByName(rest.select(*redone.columns)).checkpoint()
             failing = still
-        else:
-            raise RuntimeError("intake failing set did not settle within max_rounds")
 
     ok = F.col("accepted") & ~F.col("_failed") & ~F.col("_nan")
-    price = stock.select("productID", "price")
-    items = (decided.filter(ok).join(price, "productID", "inner")
-             .select("order_seq", "line_pos", "productID", "quantity", "price"))
+    items = decided.filter(ok).select("order_seq", "line_pos", "productID", "quantity", "price")
     totals = items.groupBy("order_seq").agg(
         F.sum(F.col("quantity") * F.col("price")).alias("totalAmount"))
     # Failed orders have no accepted line, so the inner join leaves them out.
@@ -160,7 +175,7 @@ def stock_decrement(products: DataFrame, sold_lines: DataFrame) -> DataFrame:
     so the join with products is 1:1)."""
     sold = sold_lines.groupBy("productID").agg(F.sum("quantity").alias("_sold"))
     return (products.join(sold, "productID", "left")
-            .withColumn("quantity", (F.col("quantity") - F.coalesce(F.col("_sold"), F.lit(0))).cast("int"))
+            .withColumn("quantity", (F.col("quantity") - F.coalesce(F.col("_sold"), F.lit(0))).cast("long"))
             .drop("_sold"))
 
 
@@ -172,17 +187,23 @@ def stock_set_reason(q: Column) -> Column:
 
 
 def stock_set(products: DataFrame, updates: DataFrame, seq: str = "seq",
-              check_bounds: bool = True) -> DataFrame:
+              check_bounds: bool = True) -> tuple[DataFrame, DataFrame]:
     """Absolute stock overwrite per product; the last update (by ``seq``, then
-    quantity) wins. With ``check_bounds`` updates outside 0..9999 are ignored."""
-    u = updates
-    if check_bounds:
-        u = u.filter(stock_set_reason(F.col("quantity")).isNull())
-    last = u.groupBy("productID").agg(
+    quantity) wins. Returns (products, rejects): with ``check_bounds`` updates
+    outside 0..9999 are refused with the form's reason; updates of unknown products
+    are refused too."""
+    reason = stock_set_reason(F.col("quantity")) if check_bounds else F.lit(None).cast("string")
+    u = updates.withColumn("reason", reason)
+    last = u.filter(F.col("reason").isNull()).groupBy("productID").agg(
         F.max(F.struct(F.col(seq).alias("s"), F.col("quantity").alias("q")))["q"].alias("_new"))
-    return (products.join(last, "productID", "left")
-            .withColumn("quantity", F.coalesce(F.col("_new"), F.col("quantity")).cast("int"))
-            .drop("_new"))
+    known = products.select("productID", F.lit(True).alias("_known"))
+    rejects = u.join(known, "productID", "left").withColumn(
+        "reason", F.coalesce("reason", F.when(F.col("_known").isNull(), S.PRODUCT_UNKNOWN))).filter(
+        F.col("reason").isNotNull()).select("productID", seq, "quantity", "reason")
+    after = (products.join(last, "productID", "left")
+             .withColumn("quantity", F.coalesce(F.col("_new"), F.col("quantity")).cast("long"))
+             .drop("_new"))
+    return after, rejects
 
 
 # ----------------------------------------------------------------- status
@@ -211,32 +232,39 @@ def status_apply(orders: DataFrame, updates: DataFrame) -> DataFrame:
 
 
 # ----------------------------------------------------------------- catalogue
-def catalogue_upsert(products: DataFrame, changes: DataFrame, seq: str = "seq") -> DataFrame:
-    """Insert new / overwrite existing products; the last change per productID
-    wins. Defaults: quantity 0, is_available 1; name and image trimmed (all
-    whitespace); empty image stored as ''."""
+def catalogue_upsert(products: DataFrame, changes: DataFrame,
+                     seq: str = "seq") -> tuple[DataFrame, DataFrame]:
+    """Insert new / overwrite existing products; the last good change per productID
+    wins. Returns (products, rejects).
+
+    Name and image are trimmed (all whitespace); an empty image is stored as '';
+    is_available defaults to 1. A quantity is the integer its text starts with: a new
+    product without one gets 0, an existing product keeps its stock (the shop's update
+    form always sends one, and an update that left it out must not empty the shelf).
+    A price that is not a number is refused, and so is a quantity text without one."""
+    raw_qty = F.col("quantity").cast("string")
     c = changes.select(
         "productID", seq,
         js_trim(F.col("name")).alias("name"), F.col("category"),
-        F.col("price").cast(MONEY).alias("price"),
-        F.coalesce(F.col("quantity").cast("int"), F.lit(0)).alias("quantity"),
+        js_float(F.col("price")).cast(MONEY).alias("price"),
+        js_int(raw_qty).alias("quantity"),
         F.coalesce(js_trim(F.col("image")), F.lit("")).alias("image"),
-        F.coalesce(F.col("is_available").cast("int"), F.lit(1)).alias("is_available"))
+        F.coalesce(js_int(F.col("is_available")), F.lit(1)).cast("int").alias("is_available"),
+        F.when(js_float(F.col("price")).isNull(), S.PRICE_INVALID)
+        .when(js_int(raw_qty).isNull() & (js_trim(raw_qty) != ""), S.QUANTITY_NEGATIVE).alias("reason"))
     fields = ["name", "category", "price", "quantity", "image", "is_available"]
-    last = c.groupBy("productID").agg(
+    last = c.filter(F.col("reason").isNull()).groupBy("productID").agg(
         F.max(F.struct(F.col(seq).alias("_s"), *fields)).alias("_c"))
-    last = last.select("productID", *[F.col("_c")[f].alias("_n_" + f) for f in fields])
-    j = products.join(last, "productID", "full_outer")
-    hit = F.col("_n_name").isNotNull() | F.col("_n_category").isNotNull()
-    cols = [F.col("productID")]
-    for f in products.columns:
-        if f == "productID":
-            continue
-        if f in fields:
-            cols.append(F.when(hit, F.col("_n_" + f)).otherwise(F.col(f)).alias(f))
-        else:
-            cols.append(F.col(f))
-    return j.select(*cols)
+    last = last.select("productID", F.lit(True).alias("_hit"), *[F.col("_c")[f].alias("_n_" + f) for f in fields])
+    old = products.withColumn("quantity", F.col("quantity").cast("long"))
+    j = old.join(last, "productID", "full_outer")
+    new = {f: F.col("_n_" + f) for f in fields}
+    new["quantity"] = F.coalesce(F.col("_n_quantity"), F.col("quantity"), F.lit(0))
+    after = j.select("productID", *[
+        F.when(F.col("_hit"), new[f]).otherwise(F.col(f)).alias(f) if f in fields else F.col(f)
+        for f in products.columns if f != "productID"])
+    rejects = c.filter(F.col("reason").isNotNull()).select("productID", seq, "name", "reason")
+    return after, rejects
 
 
 def catalogue_delete(products: DataFrame, order_items: DataFrame,
@@ -273,31 +301,43 @@ def order_delete_cascade(orders: DataFrame, order_items: DataFrame,
 
 
 # ----------------------------------------------------------------- payment
-def payment_settlement(orders: DataFrame, payments: DataFrame,
+def payment_settlement(orders: DataFrame, payments: DataFrame, counter: bool = False,
                        cash_cap: int | None = None) -> DataFrame:
     """Settle cash payments ``(payment_id, orderID, cash)`` (cash as typed text)
-    against order totals.
-
-    Walk-in orders are refused (paid at checkout). Blank cash is refused; the
-    number is ``parseFloat(text) || 0``; negative is refused; with
-    ``cash_cap`` (the counter's 999999) larger amounts are refused; less than
-    the total is refused with the shortfall. Accepted payments give
-    ``change_due`` and ``new_status`` 'completed'; ``early`` marks orders still
-    pending or preparing. Payments for unknown orders are dropped.
+    against order totals, one row per payment.
+
+    Only open orders (pending, preparing, ready) can be paid, and each once: of the
+    payments that would do, the first by ``payment_id`` is accepted. Refused are also
+    payments of unknown orders, blank and negative cash, and less than the total
+    (with the shortfall). Accepted payments give ``change_due`` and ``new_status``
+    'completed'; ``early`` marks orders still pending or preparing.
+
+    Collecting (the default) is for online orders: walk-in orders were paid at
+    checkout, and text that is no number counts as 0. At the ``counter`` any open
+    order is paid, such text is invalid, and cash above ``cash_cap`` (default 999999
+    there) is refused.
     """
-    o = orders.select("orderID", "order_type", "status", "totalAmount")
-    p = payments.join(o, "orderID", "inner")
+    cash_cap = CASH_MAX if counter and cash_cap is None else cash_cap
+    p = payments.join(orders.select("orderID", "order_type", "status", "totalAmount"), "orderID", "left")
     raw = F.col("cash").cast("string")
     blank = raw.isNull() | (js_trim(raw) == "")
-    cash = F.coalesce(js_float(raw), F.lit(0).cast("decimal(22,6)"))
+    cash = js_float(raw)
+    if not counter:
+        cash = F.coalesce(cash, F.lit(0).cast("decimal(22,6)"))
     total = F.col("totalAmount").cast("decimal(22,6)")
-    reason = (F.when(F.col("order_type") == "walk-in", S.WALKIN_PAID)
-              .when(blank, S.CASH_BLANK)
-              .when(cash < 0, S.CASH_INVALID))
+    reason = (F.when(F.col("status").isNull(), S.ORDER_UNKNOWN)
+              .when(~F.col("status").isin(*OPEN), S.ORDER_CLOSED))
+    if not counter:
+        reason = reason.when(F.col("order_type") == "walk-in", S.WALKIN_PAID)
+    reason = reason.when(blank, S.CASH_BLANK).when(cash.isNull() | (cash < 0), S.CASH_INVALID)
     if cash_cap is not None:
         reason = reason.when(cash > cash_cap, S.CASH_TOO_LARGE)
     reason = reason.when(cash < total, S.CASH_SHORT)
     out = p.withColumn("_cash", cash).withColumn("reason", reason)
+    # The first good payment per order: a grouped minimum, combined map-side.
+    first = out.filter(F.col("reason").isNull()).groupBy("orderID").agg(F.min("payment_id").alias("_first"))
+    out = out.join(first, "orderID", "left").withColumn(
+        "reason", F.coalesce("reason", F.when(F.col("payment_id") != F.col("_first"), S.ORDER_PAID)))
     ok = F.col("reason").isNull()
     return out.select(
         "payment_id", "orderID", "order_type", "status", "totalAmount",

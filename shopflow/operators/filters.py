@@ -12,7 +12,7 @@ import datetime as _dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shopflow.schema import CATEGORIES, LOW_STOCK_LEVEL, PAGE_CAP, PAGE_DEFAULT, ordinal
+from shopflow.schema import CATEGORIES, LOW_STOCK_LEVEL, PAGE_DEFAULT, ordinal
 
 
 def _date(v) -> Column:
@@ -31,7 +31,15 @@ def in_date_range(ts: str | Column, date_from=None, date_to=None) -> Column:
 
 
 def orders_in_date_range(orders: DataFrame, date_from=None, date_to=None) -> DataFrame:
-    return orders.filter(in_date_range("orderDateTime", date_from, date_to))
+    """Orders of the range. Where the table is partitioned by ``order_month``, the range's
+    months are a predicate too, so only their directories are read."""
+    df = orders.filter(in_date_range("orderDateTime", date_from, date_to))
+    if "order_month" in orders.columns:
+        if date_from is not None:
+            df = df.filter(F.col("order_month") >= str(date_from)[:7])
+        if date_to is not None:
+            df = df.filter(F.col("order_month") <= str(date_to)[:7])
+    return df
 
 
 def completed_in_range(orders: DataFrame, date_from=None, date_to=None) -> DataFrame:
@@ -71,10 +79,22 @@ def like_pattern(search: str) -> str:
     return "%" + search + "%"
 
 
-# Latin letters with accents and their base letters, position by
-# position, for accent-insensitive matching (``fold_accents``).
-ACCENTED = "ÀÁÂÃÄÅàáâãäåÈÉÊËèéêëÌÍÎÏìíîïÒÓÔÕÖØòóôõöøÙÚÛÜùúûüÝýÿÑñÇç"
-UNACCENTED = "AAAAAAaaaaaaEEEEeeeeIIIIiiiiOOOOOOooooooUUUUuuuuYyyNnCc"
+def _accents() -> dict[str, str]:
+    """Accented letters of the Latin blocks (U+00C0 to U+024F and U+1E00 to U+1EFF) and the
+    base letters that Unicode decomposes them to, position by position, for
+    accent-insensitive matching (``fold_accents``). Letters with a stroke don't decompose."""
+    import unicodedata
+
+    # Letters with a stroke or a bar and their base letters.
+    out = {"Ø": "O", "ø": "o", "Đ": "D", "đ": "d", "Ħ": "H", "ħ": "h", "Ł": "L", "ł": "l", "Ŧ": "T", "ŧ": "t"}
+    for code in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)):
+        base = unicodedata.normalize("NFD", chr(code))
+        if len(base) > 1 and base[0].isascii() and base[0].isalpha():
+            out[chr(code)] = base[0]
+    return out
+
+
+ACCENTED, UNACCENTED = map("".join, zip(*_accents().items()))
 
 
 def fold(c: Column, accents: bool = False) -> Column:
@@ -111,16 +131,20 @@ def orders_filtered(orders: DataFrame, status: str | None = None, date_from=None
     return df
 
 
-def page_bounds(limit=None, offset=None) -> tuple[int, int]:
-    """``LIMIT min(limit, 200)`` default 50, ``OFFSET`` default 0."""
-    lim = min(int(limit) if limit not in (None, "") else PAGE_DEFAULT, PAGE_CAP)
+def page_bounds(limit=None, offset=None, cap: int | None = None) -> tuple[int, int]:
+    """``LIMIT`` (default 50) and ``OFFSET`` (default 0). ``cap`` bounds the limit; the
+    shop's list endpoint passes :data:`shopflow.schema.PAGE_CAP`."""
+    lim = int(limit) if limit not in (None, "") else PAGE_DEFAULT
+    lim = lim if cap is None else min(lim, cap)
     off = int(offset) if offset not in (None, "") else 0
     return lim, off
 
 
-def orders_page(df: DataFrame, limit=None, offset=None, newest_first: bool = True) -> DataFrame:
-    """Newest first (``orderID`` breaks ties), then offset/limit."""
-    lim, off = page_bounds(limit, offset)
+def orders_page(df: DataFrame, limit=None, offset=None, newest_first: bool = True,
+                cap: int | None = None) -> DataFrame:
+    """Newest first (``orderID`` breaks ties), then offset/limit. Every task keeps
+    offset + limit rows; for deep pages use :func:`orders_page_after`."""
+    lim, off = page_bounds(limit, offset, cap)
     order = ([F.col("orderDateTime").desc(), F.col("orderID").desc()] if newest_first
              else [F.col("orderDateTime"), F.col("orderID")])
     return df.orderBy(*order).offset(off).limit(lim)
@@ -140,21 +164,24 @@ def orders_page_after(df: DataFrame, last_ts=None, last_id=None, limit=None) ->
 
 
 def orders_list(orders: DataFrame, employees: DataFrame, status=None, date_from=None,
-                date_to=None, search=None, limit=None, offset=None) -> DataFrame:
+                date_to=None, search=None, limit=None, offset=None, cap: int | None = None) -> DataFrame:
     """Filtered, paged order list with employee name. The page is cut before the
-    employee join, so the join touches at most ``PAGE_CAP`` orders."""
+    employee join, so the join touches one page of orders."""
     from shopflow.operators.joins import attach_employee_name
 
-    page = orders_page(orders_filtered(orders, status, date_from, date_to, search), limit, offset)
+    page = orders_page(orders_filtered(orders, status, date_from, date_to, search), limit, offset, cap=cap)
     out = attach_employee_name(page, employees)
     return out.orderBy(F.col("orderDateTime").desc(), F.col("orderID").desc())
 
 
 def result_count(orders: DataFrame, status=None, date_from=None, date_to=None, search=None,
                  limit=None, offset=None) -> DataFrame:
-    """Number of rows the filtered list returns (after paging), as one row."""
-    page = orders_page(orders_filtered(orders, status, date_from, date_to, search), limit, offset)
-    return page.agg(F.count(F.lit(1)).alias("result_count"))
+    """Number of orders the filters match, as one row; with a ``limit`` or ``offset``
+    the length of that page instead."""
+    found = orders_filtered(orders, status, date_from, date_to, search)
+    if limit is not None or offset is not None:
+        found = orders_page(found, limit, offset)
+    return found.agg(F.count(F.lit(1)).alias("result_count"))
 
 
 def active_kitchen_orders(orders: DataFrame) -> DataFrame:
@@ -213,11 +240,11 @@ def report_range_defaults(as_of, date_from=None, date_to=None) -> tuple[str, str
     return f.isoformat(), t.isoformat()
 
 
-def orders_param_sql(spark, status: str, date_from, date_to):
-    """Parameterised statement with bound values (no text splicing); needs a
-    ``shop_orders`` view registered in the session."""
-    return spark.sql(
-        "SELECT orderID, customer_name, status, totalAmount, orderDateTime FROM shop_orders "
+def orders_param_sql(orders: DataFrame, status: str, date_from, date_to):
+    """Parameterised statement over ``orders`` with bound values (no text splicing and no
+    view left in the session)."""
+    return orders.sparkSession.sql(
+        "SELECT orderID, customer_name, status, totalAmount, orderDateTime FROM {shop_orders} "
         "WHERE status = :status AND to_date(orderDateTime) BETWEEN :dfrom AND :dto",
         args={"status": status, "dfrom": _dt.date.fromisoformat(str(date_from)),
-              "dto": _dt.date.fromisoformat(str(date_to))})
+              "dto": _dt.date.fromisoformat(str(date_to))}, shop_orders=orders)

@@ -3,11 +3,8 @@
 No join here broadcasts a side whose size grows with the data: the planner's
 size thresholds (``spark.sql.autoBroadcastJoinThreshold`` on plan statistics,
 AQE's on runtime statistics) decide, with sort-merge join beyond them and AQE
-skew splitting for hot keys. The explicit broadcasts, in
-:func:`attach_employee_name` and :func:`attach_product_columns`, are of the
-distinct ids of a frame whose row count the caller bounds (a top-k or a page).
-Null join keys, which all hash to one partition, bypass the join
-(:func:`left_join_nullable_key`).
+skew splitting for hot keys. Null join keys, which would all hash to one
+partition, are spread by a second key (:func:`left_join_nullable_key`).
 """
 
 from __future__ import annotations
@@ -19,53 +16,30 @@ import shopflow.schema as S
 from shopflow.operators.filters import completed_in_range
 
 
-def left_join_nullable_key(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+def left_join_nullable_key(left: DataFrame, right: DataFrame, key: str,
+                           spread: str = "orderID") -> DataFrame:
     """``left LEFT JOIN right USING (key)`` where many left keys may be null.
 
     Null keys never match, but a sort-merge join would hash them all into one
-    partition (online orders have no employee: possibly most of the table).
-    They bypass the join instead and get null right-side columns."""
+    partition (online orders have no employee: possibly most of the table). A
+    second key spreads them: a hash of the row's ``spread`` column where the key
+    is null, else 0, which is what every right row has. One scan of each side."""
     extra = [c for c in right.columns if c != key]
-    known = left.filter(F.col(key).isNotNull()).join(right, key, "left")
-    unknown = left.filter(F.col(key).isNull()).select(
-        "*", *[F.lit(None).cast(right.schema[c].dataType).alias(c) for c in extra])
-    cols = left.columns + extra
-    return known.select(*cols).unionByName(unknown.select(*cols))
+    salted = left.withColumn("_salt", F.when(F.col(key).isNull(), F.xxhash64(spread)).otherwise(F.lit(0).cast("long")))
+    joined = salted.join(right.withColumn("_salt", F.lit(0).cast("long")), [key, "_salt"], "left")
+    return joined.select(*left.columns, *extra)
 
 
 def orders_with_employee(orders: DataFrame, employees: DataFrame) -> DataFrame:
-    """``SELECT o.*, e.name AS employee_name FROM orders o LEFT JOIN employees e``."""
+    """Every order with the name of its employee, null where it has none."""
     e = employees.select("EmployeeID", F.col("name").alias("employee_name"))
     return left_join_nullable_key(orders, e, "EmployeeID")
 
 
-def _materialize_small(df: DataFrame) -> DataFrame:
-    """Checkpoint a frame of bounded size (a top-k or a page) into the shared
-    checkpoint folder, so the two uses below read it instead of recomputing it
-    (which would scan its large input twice)."""
-    from shopflow.session import ensure_checkpoint_dir
-
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def attach_employee_name(small_orders: DataFrame, employees: DataFrame) -> DataFrame:
-    """Left-join employee names onto a frame with a bounded row count (a top-k or
-    a page). The bounded frame is materialized once; its ids are broadcast into
-    one pass over employees, so the large side is neither shuffled nor broadcast."""
-    small_orders = _materialize_small(small_orders)
-    ids = F.broadcast(small_orders.select("EmployeeID").where(F.col("EmployeeID").isNotNull()).distinct())
-    names = employees.join(ids, "EmployeeID", "inner").select(
-        "EmployeeID", F.col("name").alias("employee_name"))
-    return small_orders.join(names, "EmployeeID", "left").select(*small_orders.columns, "employee_name")
-
-
-def attach_product_columns(small: DataFrame, products: DataFrame, cols: list[str]) -> DataFrame:
-    """Same as :func:`attach_employee_name` for product columns (bounded left side)."""
-    small = _materialize_small(small)
-    ids = F.broadcast(small.select("productID").distinct())
-    p = products.join(ids, "productID", "inner").select("productID", *cols)
-    return small.join(p, "productID", "left").select(*small.columns, *cols)
+    """Left-join employee names onto a top-k or a page, once. The sizes that Spark
+    sees decide which side is broadcast, if any."""
+    return orders_with_employee(small_orders, employees)
 
 
 def items_with_product(order_items: DataFrame, products: DataFrame) -> DataFrame:
@@ -130,10 +104,19 @@ def kitchen_ticket_lines(orders: DataFrame, order_items: DataFrame, products: Da
     an active order without items keeps one row with null item columns."""
     active = orders.filter(F.col("status").isin("pending", "preparing")).select(
         "orderID", "customer_name", "order_type", "orderDateTime", "status")
-    it = items_with_product(order_items, products).select("orderID", "quantity", "product_name")
+    own = order_items.join(active.select("orderID"), "orderID", "left_semi")
+    it = items_with_product(own, products).select("orderID", "quantity", "product_name")
     return active.join(it, "orderID", "left")
 
 
+def order_by_id(order_id: int, orders: DataFrame, employees: DataFrame, order_items: DataFrame,
+                products: DataFrame) -> DataFrame:
+    """One order with employee name and nested items; the id reaches the scans of
+    orders and of items. No row where there is no such order."""
+    this = F.col("orderID") == F.lit(int(order_id))
+    return order_detail(orders.filter(this), employees, order_items.filter(this), products)
+
+
 def cart_priced(cart_lines: DataFrame, products: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Price cart lines ``(cart_id, productID, quantity)`` against sellable products.
 

@@ -10,16 +10,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 import shopflow.schema as S
+from shopflow.functions.scalars import JS_SPACE, js_trim
 from shopflow.schema import CATEGORIES, NAME_MAX, ORDER_TYPES, PRICE_MAX, QUANTITY_MAX, ROLES, STATUSES
 
-# Fixed pattern of allowed customer-name characters (ASCII word chars,
+# Fixed pattern of allowed customer-name characters (ASCII word chars, JavaScript
 # whitespace, hyphen, apostrophe, dot).
-NAME_PATTERN = r"^[\w\s\-'.]+$"
+NAME_PATTERN = rf"\A[\w{JS_SPACE}\-'.]+\z"
 
 
 def product_reject_reason(categories=tuple(CATEGORIES)):
     """First failing rule of the catalogue form, or null when valid."""
-    name = F.regexp_replace(F.col("name"), r"^\s+|\s+$", "")
+    name = js_trim("name")
     price = F.col("price").cast("decimal(20,2)")
     qty = F.col("quantity")
     return (F.when(name.isNull() | (name == ""), S.NAME_REQUIRED)
@@ -46,7 +47,7 @@ def customer_name_reason():
     """Reason a typed customer name is refused (null when fine): longer than 100
     after trimming, or characters outside the allowed set. Blank is fine (it
     becomes 'Customer')."""
-    t = F.regexp_replace(F.col("customer_name"), r"^\s+|\s+$", "")
+    t = js_trim("customer_name")
     return (F.when(F.length(t) > NAME_MAX, S.CUSTOMER_NAME_TOO_LONG)
             .when((t != "") & ~t.rlike(NAME_PATTERN), S.CUSTOMER_NAME_INVALID))
 
@@ -59,17 +60,18 @@ def validate_customer_name(df: DataFrame) -> DataFrame:
 def domain_checks(tables) -> DataFrame:
     """Rows whose ENUM column is outside its domain: (table, column, value, rows)."""
     checks = [
-        (tables.employees, "employees", "role", ROLES),
-        (tables.products, "products", "category", list(tables.categories)),
-        (tables.orders, "orders", "order_type", ORDER_TYPES),
-        (tables.orders, "orders", "status", STATUSES),
+        (tables.employees, "employees", {"role": ROLES}),
+        (tables.products, "products", {"category": list(tables.categories)}),
+        (tables.orders, "orders", {"order_type": ORDER_TYPES, "status": STATUSES}),
     ]
     parts = []
-    for df, t, c, dom in checks:
-        bad = (df.filter(F.col(c).isNull() | ~F.col(c).isin(*dom))
-               .groupBy(F.col(c).alias("value")).agg(F.count(F.lit(1)).alias("rows"))
-               .select(F.lit(t).alias("table_name"), F.lit(c).alias("column_name"), "value", "rows"))
-        parts.append(bad)
+    for df, t, domains in checks:  # one scan a table
+        values = df.select(F.explode(F.filter(
+            F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("value"),
+                               F.coalesce(~F.col(c).isin(*dom), F.lit(True)).alias("bad"))
+                      for c, dom in domains.items()]), lambda x: x["bad"])).alias("v"))
+        parts.append(values.groupBy("v.column_name", "v.value").agg(F.count(F.lit(1)).alias("rows"))
+                     .select(F.lit(t).alias("table_name"), "column_name", "value", "rows"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -85,10 +87,17 @@ def duplicate_keys(df: DataFrame, key: str, table: str) -> DataFrame:
 
 
 def key_checks(tables) -> DataFrame:
-    """Primary-key duplicates of employees, products and orders."""
-    return (duplicate_keys(tables.employees, "EmployeeID", "employees")
-            .unionByName(duplicate_keys(tables.products, "productID", "products"))
-            .unionByName(duplicate_keys(tables.orders, "orderID", "orders")))
+    """Duplicates of primary keys (employees, products, orders, order items) and of the
+    employees' unique user name. A table without one of the columns skips that check."""
+    checks = [(tables.employees, "EmployeeID", "employees"), (tables.employees, "username", "employees"),
+              (tables.products, "productID", "products"), (tables.orders, "orderID", "orders"),
+              (tables.order_items, "id", "order_items")]
+    parts = [duplicate_keys(df.where(F.col(key).isNotNull()), key, name)
+             for df, key, name in checks if key in df.columns]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def dangling(child: DataFrame, parent: DataFrame, key: str, name: str,

@@ -8,11 +8,12 @@ hot key (one product or day with a third of all rows) is reduced per task first.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shopflow.operators.filters import completed_in_range
-from shopflow.operators.joins import attach_employee_name, attach_product_columns
+from shopflow.functions.scalars import iso_week_label, month_label
+from shopflow.operators.joins import attach_employee_name
 from shopflow.schema import RECENT_ORDERS, TOP_PRODUCTS
 
 
@@ -25,8 +26,8 @@ def _money_sum(c: Column) -> Column:
 
 
 def _completed_lines(tables, date_from=None, date_to=None) -> DataFrame:
-    """order_items of completed orders (optionally in range): semi-join on the
-    filtered orders keeps only item columns on the big side."""
+    """order_items of completed orders (optionally in range): an inner join on the
+    filtered orders' ids, which are unique, keeps only item columns."""
     o = completed_in_range(tables.orders, date_from, date_to).select("orderID")
     return tables.order_items.join(o, "orderID", "inner")
 
@@ -38,23 +39,16 @@ def _product_totals(lines: DataFrame) -> DataFrame:
         _money_sum(F.col("quantity") * F.col("price")).alias("revenue"))
 
 
-def category_performance(tables, date_from=None, date_to=None, approx: bool = False,
-                         split_hot: bool = False) -> DataFrame:
+def category_performance(tables, date_from=None, date_to=None, approx: bool = False) -> DataFrame:
     """Per category: distinct completed orders, units, revenue; revenue desc.
 
     The exact distinct count runs as Spark's two-phase aggregation on
     (category, orderID). ``approx=True`` uses HyperLogLog++
     (``approx_count_distinct``, 1% relative standard deviation) instead, a single pass with
-    fixed-size per-category sketches. ``split_hot=True`` joins products through
-    :func:`shopflow.operators.skew.split_hot_join` (hot products found by
-    sampling, joined by broadcast) instead of relying on AQE skew splitting."""
+    fixed-size per-category sketches."""
     lines = _completed_lines(tables, date_from, date_to)
     p = tables.products.select("productID", "category")
-    if split_hot:
-        from shopflow.operators.skew import split_hot_join
-        j = split_hot_join(lines, p, "productID", "inner")
-    else:
-        j = lines.join(p, "productID", "inner")
+    j = lines.join(p, "productID", "inner")
     distinct = F.approx_count_distinct("orderID", rsd=0.01) if approx else F.countDistinct("orderID")
     return (j.groupBy("category")
             .agg(distinct.alias("order_count"),
@@ -82,20 +76,20 @@ def product_rank_positions(ranking: DataFrame) -> DataFrame:
 
     r = global_row_number(ranking, [F.col("total_sold").desc(), F.col("productID")])
     return r.withColumn(
-        "medal", F.when(F.col("rank") <= 3, F.col("rank")).otherwise(F.lit(None).cast("int")))
+        "medal", F.when(F.col("rank") <= 3, F.col("rank")))
 
 
 def top_products(tables, k: int = TOP_PRODUCTS) -> DataFrame:
     """Top k products by units sold, completed orders, all time. No COALESCE on
-    revenue, as in the reference. The k rows are cut before the name lookup."""
+    revenue, as in the reference. Lines are summed per product first; products
+    without a row in ``products`` don't count, so the join comes before the cut."""
     lines = _completed_lines(tables)
     agg = lines.groupBy("productID").agg(
         F.sum("quantity").alias("total_sold"),
         F.sum(F.col("quantity") * F.col("price")).alias("revenue"))
-    top = agg.orderBy(F.col("total_sold").desc(), "productID").limit(k)
-    out = attach_product_columns(top, tables.products, ["name"])
-    return out.select("productID", "name", "total_sold", "revenue").orderBy(
-        F.col("total_sold").desc(), "productID")
+    return (agg.join(tables.products.select("productID", "name"), "productID", "inner")
+            .select("productID", "name", "total_sold", "revenue")
+            .orderBy(F.col("total_sold").desc(), "productID").limit(k))
 
 
 def recent_orders(tables, k: int = RECENT_ORDERS) -> DataFrame:
@@ -145,18 +139,11 @@ def sales_by_day_window(orders: DataFrame, as_of, days: int = 7) -> DataFrame:
             .orderBy("date"))
 
 
-def iso_week_label(ts: str | Column) -> Column:
-    """ISO year + ISO week, e.g. ``1998-W53`` (key and label agree across New Year)."""
-    c = F.col(ts) if isinstance(ts, str) else ts
-    return F.concat(F.extract(F.lit("YEAROFWEEK"), c).cast("string"),
-                    F.lit("-W"), F.lpad(F.weekofyear(c).cast("string"), 2, "0"))
-
-
 def period_key(period: str) -> Column:
     if period == "weekly":
         return iso_week_label("orderDateTime")
     if period == "monthly":
-        return F.date_format("orderDateTime", "yyyy-MM")
+        return month_label("orderDateTime")
     return F.to_date("orderDateTime")
 
 
@@ -205,16 +192,16 @@ def active_order_count(orders: DataFrame) -> DataFrame:
                       .alias("active_orders"))
 
 
-def active_orders_union(orders: DataFrame, per_status: int = 50) -> DataFrame:
-    """Ready, then preparing, then pending; each newest first, at most
-    ``per_status`` each (the list endpoint's default page)."""
-    parts = []
-    for i, s in enumerate(["ready", "preparing", "pending"]):
-        part = (orders.filter(F.col("status") == s)
-                .orderBy(F.col("orderDateTime").desc(), F.col("orderID").desc())
-                .limit(per_status)
-                .withColumn("branch", F.lit(i)))
-        parts.append(part)
-    u = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return u.orderBy("branch", F.col("orderDateTime").desc(), F.col("orderID").desc())
+def active_orders_union(orders: DataFrame, per_status: int | None = None) -> DataFrame:
+    """All ready, then preparing, then pending orders, each newest first, in one scan.
+    ``per_status`` cuts each list to a page (a rank limit that Spark applies in
+    every task before the shuffle)."""
+    shown = ["ready", "preparing", "pending"]
+    newest = [F.col("orderDateTime").desc(), F.col("orderID").desc()]
+    df = orders.filter(F.col("status").isin(*shown)).withColumn(
+        "branch", F.array_position(F.array(*map(F.lit, shown)), F.col("status")).cast("int") - 1)
+    if per_status is not None:
+        rank = F.row_number().over(Window.partitionBy("branch").orderBy(*newest))
+        df = df.withColumn("_r", rank).filter(F.col("_r") <= per_status).drop("_r")
+    return df.orderBy("branch", *newest)
 

@@ -11,7 +11,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from shopflow.operators import changes
+from shopflow.operators import changes, joins
 from shopflow.operators.allocation import stock_allocation
 from shopflow.plans.catalog import DATE_FROM, DATE_TO, _t, register
 from shopflow.plans.views import with_views
@@ -97,7 +97,7 @@ def q_intake_items(spark, sf_dir):
 
 
 @register("intake_stock", with_views("""
-SELECT s.productID, CAST(s.quantity - COALESCE(t.sold, 0) AS INT) AS quantity, s.is_available, s.price
+SELECT s.productID, CAST(s.quantity - COALESCE(t.sold, 0) AS BIGINT) AS quantity, s.is_available, s.price
 FROM alloc_stock s LEFT JOIN (SELECT productID, SUM(quantity) AS sold FROM acc GROUP BY productID) t
   ON s.productID = t.productID""", "employees", extra=_INTAKE_CTES))
 def q_intake_stock(spark, sf_dir):
@@ -112,17 +112,22 @@ def q_intake_rejects(spark, sf_dir):
 
 
 @register("read_order_payloads", """
-SELECT l_orderkey AS order_seq, 0 AS line_pos, CAST(l_partkey AS VARCHAR) AS productID,
-       CAST(CAST(l_quantity AS INT) AS VARCHAR) AS quantity
-FROM lineitem""")
+SELECT l_orderkey AS order_seq, k AS line_pos, CASE k WHEN 0 THEN CAST(l_partkey AS VARCHAR) END AS productID,
+       CASE k WHEN 1 THEN 'x' ELSE CASE l_linenumber % 3 WHEN 0 THEN concat(CAST(CAST(l_quantity AS INT) AS VARCHAR), 'x')
+              ELSE CAST(CAST(l_quantity AS INT) AS VARCHAR) END END AS quantity
+FROM lineitem, (VALUES (0), (1)) v(k)
+WHERE l_linenumber % 5 < 3 AND (k = 0 OR l_linenumber % 2 = 0)""")
 def q_read_order_payloads(spark, sf_dir):
-    """JSON bodies (one single-item cart per line, numbers as JSON numbers) are
-    parsed back into lines."""
+    """JSON bodies from the lines: one or two items, numbers and text, empty carts, and
+    text that is no JSON; parsed back into lines."""
     li = driver.read_raw(spark, sf_dir, "lineitem")
-    body = F.to_json(F.struct(
-        F.lit("Guest").alias("customer_name"),
-        F.array(F.struct(F.col("l_partkey").alias("productID"),
-                         F.col("l_quantity").cast("int").alias("quantity"))).alias("items")))
+    n, qty = F.col("l_linenumber"), F.col("l_quantity").cast("int").cast("string")
+    first = F.concat(F.lit('{"productID": '), "l_partkey", F.lit(', "quantity": '), F.when(
+        n % 3 == 0, F.concat(F.lit('"'), qty, F.lit('x"'))).otherwise(qty), F.lit("}"))
+    items = F.concat(F.lit("["), first, F.when(n % 2 == 0, ', {"quantity": "x"}').otherwise(""), F.lit("]"))
+    body = (F.when(n % 5 == 3, F.concat(F.lit('{"items": '), F.substring(items, 1, 9)))
+            .when(n % 5 == 4, F.lit('{"customer_name": "Guest", "items": []}'))
+            .otherwise(F.concat(F.lit('{"customer_name": "Guest", "items": '), items, F.lit("}"))))
     p = li.select(F.col("l_orderkey").alias("order_seq"), body.alias("body"),
                   F.lit(None).cast("long").alias("EmployeeID"))
     return payloads.read_order_payloads(p)[1]
@@ -180,7 +185,8 @@ def q_cart_totals(spark, sf_dir):
 @register("cart_merge", with_views("""
 SELECT a.orderID, a.productID, p.price, CAST(LEAST(a.want, p.quantity) AS BIGINT) AS quantity
 FROM (SELECT orderID, productID, SUM(quantity) AS want FROM order_items GROUP BY orderID, productID) a
-JOIN products p ON a.productID = p.productID WHERE p.quantity > 0""", "order_items", "products"))
+JOIN products p ON a.productID = p.productID WHERE p.quantity > 0 AND p.is_available = 1""",
+                                   "order_items", "products"))
 def q_cart_merge(spark, sf_dir):
     t = _t(spark, sf_dir)
     return changes.cart_merge(t.order_items.select("orderID", "productID", "quantity"), t.products)
@@ -188,7 +194,7 @@ def q_cart_merge(spark, sf_dir):
 
 @register("stock_decrement", with_views("""
 SELECT p.productID, p.name, p.category, p.price,
-       CAST(p.quantity - COALESCE(s.sold, 0) AS INT) AS quantity, p.is_available
+       CAST(p.quantity - COALESCE(s.sold, 0) AS BIGINT) AS quantity, p.is_available
 FROM products p LEFT JOIN (
   SELECT oi.productID, SUM(oi.quantity) AS sold FROM order_items oi
   JOIN shop_orders o ON oi.orderID = o.orderID WHERE o.status = 'pending' GROUP BY oi.productID) s
@@ -202,22 +208,37 @@ def q_stock_decrement(spark, sf_dir):
 
 @register("stock_set", with_views("""
 SELECT p.productID, p.name, p.category, p.price,
-       CAST(COALESCE(u.q, p.quantity) AS INT) AS quantity, p.is_available
+       CAST(COALESCE(u.q, p.quantity) AS BIGINT) AS quantity, p.is_available
 FROM products p LEFT JOIN (
   SELECT productID, q FROM (
     SELECT l_partkey AS productID, CAST(l_quantity AS INT) * 250 - 500 AS q,
            ROW_NUMBER() OVER (PARTITION BY l_partkey ORDER BY l_orderkey DESC,
                               CAST(l_quantity AS INT) * 250 - 500 DESC) AS rn
-    FROM lineitem WHERE CAST(l_quantity AS INT) * 250 - 500 BETWEEN 0 AND 9999) r
+    FROM lineitem WHERE l_orderkey % 97 <> 0 AND CAST(l_quantity AS INT) * 250 - 500 BETWEEN 0 AND 9999) r
   WHERE rn = 1) u ON p.productID = u.productID""", "products"))
 def q_stock_set(spark, sf_dir):
+    return _stock_set(spark, sf_dir)[0]
+
+
+def _stock_set(spark, sf_dir):
+    """Updates from lineitem, some out of bounds; every 97th is of no known product."""
     t = _t(spark, sf_dir)
     li = driver.read_raw(spark, sf_dir, "lineitem")
-    upd = li.select(F.col("l_partkey").alias("productID"), F.col("l_orderkey").alias("seq"),
-                    (F.col("l_quantity").cast("int") * 250 - 500).alias("quantity"))
+    upd = li.select(F.when(F.col("l_orderkey") % 97 == 0, -1 - F.col("l_partkey")).otherwise(F.col("l_partkey")).alias("productID"),
+                    F.col("l_orderkey").alias("seq"), (F.col("l_quantity").cast("int") * 250 - 500).alias("quantity"))
     return changes.stock_set(t.products, upd)
 
 
+@register("stock_set_rejects", """
+SELECT CASE WHEN l_orderkey % 97 = 0 THEN -1 - l_partkey ELSE l_partkey END AS productID, l_orderkey AS seq,
+       CAST(l_quantity AS INT) * 250 - 500 AS quantity,
+       CASE WHEN l_quantity * 250 - 500 < 0 THEN 'Quantity cannot be negative'
+            WHEN l_quantity * 250 - 500 > 9999 THEN 'Quantity is too high' ELSE 'No such product' END AS reason
+FROM lineitem WHERE l_orderkey % 97 = 0 OR l_quantity * 250 - 500 NOT BETWEEN 0 AND 9999""")
+def q_stock_set_rejects(spark, sf_dir):
+    return _stock_set(spark, sf_dir)[1]
+
+
 @register("status_apply", with_views("""
 SELECT o.orderID, o.EmployeeID, o.customer_name, o.order_type, o.totalAmount, o.orderDateTime,
        COALESCE(u.st, o.status) AS status
@@ -233,47 +254,86 @@ def q_status_apply(spark, sf_dir):
     return changes.status_apply(t.orders, driver.status_events(spark, sf_dir))
 
 
+# Product changes: two per supplier, the second without a quantity where its key is even,
+# with a bad price or quantity for some; half of them for products that exist.
+_PRODUCT_CHANGES = """product_changes AS (
+  SELECT CASE WHEN s_suppkey % 2 = 0 THEN s_suppkey ELSE s_suppkey + 1000000 END AS productID, k AS seq,
+         concat(s_name, ' v', CAST(k AS VARCHAR)) AS name,
+         CASE WHEN s_suppkey % 11 = 0 AND k = 1 THEN NULL
+              ELSE CAST(CAST(s_acctbal AS DECIMAL(10,2)) + 1000 + k AS DECIMAL(10,2)) END AS price,
+         CASE WHEN s_suppkey % 4 < 2 AND k = 1 THEN NULL ELSE s_nationkey + k END AS quantity,
+         s_suppkey % 13 = 0 AND k = 0 AS bad_quantity,
+         CASE WHEN s_suppkey % 3 = 0 THEN 0 ELSE 1 END AS is_available
+  FROM supplier, (VALUES (0), (1)) v(k))"""
+
+
+def _product_changes(spark, sf_dir):
+    s, key = driver.read_raw(spark, sf_dir, "supplier"), F.col("s_suppkey")
+    s = s.withColumn("k", F.explode(F.array(F.lit(0), F.lit(1))))
+    k = F.col("k")
+    price = (F.col("s_acctbal").cast("decimal(10,2)") + 1000 + k).cast("string")
+    qty = (F.col("s_nationkey") + k).cast("string")
+    return s.select(
+        F.when(key % 2 == 0, key).otherwise(key + 1000000).alias("productID"), k.alias("seq"),
+        F.concat(F.lit(" \u00a0"), "s_name", F.lit(" v"), k.cast("string"), F.lit("\n")).alias("name"),
+        F.lit("PROMO").alias("category"),
+        F.when((key % 11 == 0) & (k == 1), "free").otherwise(price).alias("price"),
+        F.when((key % 13 == 0) & (k == 0), "some").when((key % 4 < 2) & (k == 1), F.lit(None)).otherwise(qty)
+        .alias("quantity"),
+        F.lit(None).cast("string").alias("image"),
+        F.when(key % 3 == 0, "0").alias("is_available"))
+
+
 @register("catalogue_upsert", with_views("""
-SELECT COALESCE(p.productID, c.productID) AS productID,
-       CASE WHEN c.productID IS NOT NULL THEN c.name ELSE p.name END AS name,
-       CASE WHEN c.productID IS NOT NULL THEN c.category ELSE p.category END AS category,
-       CASE WHEN c.productID IS NOT NULL THEN c.price ELSE p.price END AS price,
-       CASE WHEN c.productID IS NOT NULL THEN c.quantity ELSE p.quantity END AS quantity,
-       CASE WHEN c.productID IS NOT NULL THEN c.is_available ELSE p.is_available END AS is_available
+SELECT COALESCE(p.productID, c.productID) AS productID, COALESCE(c.name, p.name) AS name,
+       CASE WHEN c.productID IS NULL THEN p.category ELSE 'PROMO' END AS category,
+       COALESCE(c.price, p.price) AS price,
+       CAST(CASE WHEN c.quantity IS NOT NULL THEN c.quantity ELSE COALESCE(p.quantity, 0) END AS BIGINT) AS quantity,
+       COALESCE(c.is_available, p.is_available) AS is_available
 FROM products p FULL OUTER JOIN (
-  SELECT s_suppkey * 10 AS productID, s_name AS name, 'PROMO' AS category,
-         CAST(CAST(s_acctbal AS DECIMAL(10,2)) + 1000 AS DECIMAL(10,2)) AS price,
-         0 AS quantity, 1 AS is_available
-  FROM supplier) c ON p.productID = c.productID""", "products"))
+  SELECT * FROM product_changes WHERE price IS NOT NULL AND NOT bad_quantity
+  QUALIFY ROW_NUMBER() OVER (PARTITION BY productID ORDER BY seq DESC) = 1) c ON p.productID = c.productID""",
+                                         "products", extra=[_PRODUCT_CHANGES]))
 def q_catalogue_upsert(spark, sf_dir):
+    return changes.catalogue_upsert(_t(spark, sf_dir).products, _product_changes(spark, sf_dir))[0]
+
+
+@register("catalogue_upsert_rejects", with_views("""
+SELECT productID, seq, name,
+       CASE WHEN price IS NULL THEN 'Price must be a number' ELSE 'Quantity cannot be negative' END AS reason
+FROM product_changes WHERE price IS NULL OR bad_quantity""", "products", extra=[_PRODUCT_CHANGES]))
+def q_catalogue_upsert_rejects(spark, sf_dir):
+    return changes.catalogue_upsert(_t(spark, sf_dir).products, _product_changes(spark, sf_dir))[1]
+
+
+# Deletes of products with little stock, where only this year's items still refer to products.
+_RECENT_ITEMS = """recent_items AS (
+  SELECT * FROM order_items WHERE orderID IN (
+    SELECT orderID FROM shop_orders WHERE orderDateTime >= TIMESTAMP '2001-06-01 00:00:00')),
+gone AS (SELECT productID FROM products WHERE quantity < 3)"""
+
+
+def _catalogue_delete(spark, sf_dir):
     t = _t(spark, sf_dir)
-    s = driver.read_raw(spark, sf_dir, "supplier")
-    ch = s.select((F.col("s_suppkey") * 10).alias("productID"), F.lit(0).alias("seq"),
-                  F.concat(F.lit("  "), "s_name", F.lit("\n")).alias("name"),
-                  F.lit("PROMO").alias("category"),
-                  (F.col("s_acctbal").cast("decimal(10,2)") + 1000).alias("price"),
-                  F.lit(None).cast("int").alias("quantity"), F.lit(None).cast("string").alias("image"),
-                  F.lit(None).cast("int").alias("is_available"))
-    return changes.catalogue_upsert(t.products, ch)
+    recent = t.orders.filter(F.col("orderDateTime") >= F.lit("2001-06-01").cast("timestamp_ntz")).select("orderID")
+    items = t.order_items.join(recent, "orderID", "left_semi")
+    deletes = t.products.filter(F.col("quantity") < 3).select("productID")
+    return changes.catalogue_delete(t.products, items, deletes)
 
 
 @register("catalogue_delete", with_views("""
-SELECT * FROM products WHERE productID NOT IN (
-  SELECT d.productID FROM (SELECT productID FROM products WHERE quantity < 3) d
-  WHERE d.productID NOT IN (SELECT productID FROM order_items))""", "products", "order_items"))
+SELECT p.* FROM products p LEFT JOIN gone g USING (productID)
+WHERE g.productID IS NULL OR EXISTS (SELECT 1 FROM recent_items r WHERE r.productID = p.productID)""",
+                                         "products", "order_items", "shop_orders", extra=[_RECENT_ITEMS]))
 def q_catalogue_delete(spark, sf_dir):
-    t = _t(spark, sf_dir)
-    deletes = t.products.filter(F.col("quantity") < 3).select("productID")
-    return changes.catalogue_delete(t.products, t.order_items, deletes)[0]
+    return _catalogue_delete(spark, sf_dir)[0]
 
 
-@register("catalogue_delete_refused", with_views("""
-SELECT DISTINCT d.productID FROM (SELECT productID FROM products WHERE quantity < 3) d
-WHERE d.productID IN (SELECT productID FROM order_items)""", "products", "order_items"))
+@register("catalogue_delete_refused", with_views(
+    "SELECT productID FROM gone INTERSECT SELECT productID FROM recent_items",
+    "products", "order_items", "shop_orders", extra=[_RECENT_ITEMS]))
 def q_catalogue_delete_refused(spark, sf_dir):
-    t = _t(spark, sf_dir)
-    deletes = t.products.filter(F.col("quantity") < 3).select("productID")
-    return changes.catalogue_delete(t.products, t.order_items, deletes)[1]
+    return _catalogue_delete(spark, sf_dir)[1]
 
 
 @register("employee_delete_set_null", with_views("""
@@ -296,27 +356,63 @@ def q_order_delete_cascade(spark, sf_dir):
     return changes.order_delete_cascade(t.orders, t.order_items, removed)[1]
 
 
-@register("payment_settlement", with_views("""
-SELECT payment_id, orderID, order_type, status, totalAmount, cash_value, reason IS NULL AS accepted,
-       reason,
-       CASE WHEN reason IS NULL THEN CAST(cash - totalAmount AS DECIMAL(20,2)) END AS change_due,
+# Payments from the events: typed text of every kind, some of orders that don't exist.
+_PAYMENTS = """typed AS (
+  SELECT event_id AS payment_id, CASE WHEN event_id % 10 = 0 THEN -user_id ELSE user_id * 7 END AS orderID,
+         CASE event_id % 9 WHEN 0 THEN '' WHEN 1 THEN 'abc' WHEN 2 THEN '-5' WHEN 3 THEN '1000000'
+              WHEN 4 THEN concat(' ', CAST(event_id AS VARCHAR), ' pesos')
+              ELSE concat(CAST(event_id % 500 AS VARCHAR), '999.50') END AS cash,
+         CASE event_id % 9 WHEN 1 THEN NULL WHEN 2 THEN -5 WHEN 3 THEN 1000000 WHEN 4 THEN event_id
+              ELSE CAST(concat(CAST(event_id % 500 AS VARCHAR), '999.50') AS DECIMAL(20,2)) END AS number
+  FROM events), judged AS (
+  SELECT t.payment_id, t.orderID, o.order_type, o.status, o.totalAmount, t.cash, {number} AS value,
+         CASE WHEN o.orderID IS NULL THEN 'No such order'
+              WHEN o.status IN ('completed', 'cancelled') THEN 'Order is already closed'
+              {walkin}
+              WHEN t.cash = '' THEN 'Please enter cash received'
+              WHEN {number} IS NULL OR {number} < 0 THEN 'Invalid cash amount'
+              {cap}
+              WHEN {number} < o.totalAmount THEN 'Cash is less than the total amount' END AS reason
+  FROM typed t LEFT JOIN shop_orders o USING (orderID)), settled AS (
+  SELECT * EXCLUDE (reason), CASE WHEN reason IS NOT NULL THEN reason
+    WHEN ROW_NUMBER() OVER (PARTITION BY orderID, reason IS NULL ORDER BY payment_id) > 1
+    THEN 'Order is already paid' END AS reason
+  FROM judged)"""
+_SETTLED = """SELECT payment_id, orderID, order_type, status, totalAmount,
+       CAST({value} AS DECIMAL(20,2)) AS cash_value, reason IS NULL AS accepted, reason,
+       CASE WHEN reason IS NULL THEN CAST(value - totalAmount AS DECIMAL(20,2)) END AS change_due,
        CASE WHEN reason = 'Cash is less than the total amount'
-            THEN CAST(totalAmount - cash AS DECIMAL(20,2)) END AS shortfall,
+            THEN CAST(totalAmount - value AS DECIMAL(20,2)) END AS shortfall,
        CASE WHEN reason IS NULL THEN 'completed' ELSE status END AS new_status,
-       (reason IS NULL AND status IN ('pending', 'preparing')) AS early
-FROM (
-  SELECT p.event_id AS payment_id, o.orderID, o.order_type, o.status, o.totalAmount,
-         CAST(p.cash AS DECIMAL(20,2)) AS cash_value, p.cash,
-         CASE WHEN o.order_type = 'walk-in' THEN 'Walk-in order: paid at checkout'
-              WHEN p.cash < o.totalAmount THEN 'Cash is less than the total amount' END AS reason
-  FROM (SELECT event_id, user_id, CAST(value AS DECIMAL(12,2)) * 1000 AS cash FROM events) p
-  JOIN shop_orders o ON p.user_id = o.orderID) t""", "shop_orders"))
+       (reason IS NULL AND COALESCE(status IN ('pending', 'preparing'), FALSE)) AS early
+FROM settled"""
+
+
+def _payments(spark, sf_dir):
+    ev, n = driver.read_raw(spark, sf_dir, "events"), F.col("event_id")
+    large = F.concat((n % 500).cast("string"), F.lit("999.50"))
+    cash = (F.when(n % 9 == 0, "").when(n % 9 == 1, "abc").when(n % 9 == 2, "-5").when(n % 9 == 3, "1000000")
+            .when(n % 9 == 4, F.concat(F.lit(" "), n.cast("string"), F.lit(" pesos"))).otherwise(large))
+    return ev.select(n.alias("payment_id"), F.when(n % 10 == 0, -F.col("user_id")).otherwise(F.col("user_id") * 7)
+                     .alias("orderID"), cash.alias("cash"))
+
+
+_COLLECT = _PAYMENTS.format(
+    number="CASE WHEN t.cash = '' THEN 0 ELSE COALESCE(t.number, 0) END", cap="",
+    walkin="WHEN o.order_type = 'walk-in' THEN 'Walk-in order: paid at checkout'")
+_COUNTER = _PAYMENTS.format(
+    number="CASE WHEN t.cash = '' THEN NULL ELSE t.number END", walkin="",
+    cap="WHEN t.number > 999999 THEN 'Cash amount is too large'")
+
+
+@register("payment_settlement", with_views(_SETTLED.format(value="value"), "shop_orders", extra=[_COLLECT]))
 def q_payment_settlement(spark, sf_dir):
-    t = _t(spark, sf_dir)
-    ev = driver.read_raw(spark, sf_dir, "events")
-    pay = ev.select(F.col("event_id").alias("payment_id"), F.col("user_id").alias("orderID"),
-                    (F.col("value").cast("decimal(12,2)") * 1000).cast("string").alias("cash"))
-    return changes.payment_settlement(t.orders, pay)
+    return changes.payment_settlement(_t(spark, sf_dir).orders, _payments(spark, sf_dir))
+
+
+@register("payment_at_counter", with_views(_SETTLED.format(value="value"), "shop_orders", extra=[_COUNTER]))
+def q_payment_at_counter(spark, sf_dir):
+    return changes.payment_settlement(_t(spark, sf_dir).orders, _payments(spark, sf_dir), counter=True)
 
 
 # ======================================================================= streaming
@@ -407,8 +503,35 @@ def q_orders_csv_export(spark, sf_dir):
     return spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path)
 
 
-@register("orders_json_export")
+_DOCUMENTS = """
+SELECT o.orderID, o.EmployeeID, o.customer_name, o.order_type, o.totalAmount, o.status, e.name AS employee_name,
+       i.productID, i.quantity AS item_quantity, i.price AS item_price, p.name AS product_name, p.category
+FROM shop_orders o LEFT JOIN employees e ON e.EmployeeID = o.EmployeeID
+LEFT JOIN (order_items i JOIN products p ON p.productID = i.productID) ON i.orderID = o.orderID
+{where}"""
+
+
+def _flat_documents(docs):
+    """Documents (one row an order, nested items) as one row per item."""
+    return docs.select("orderID", "EmployeeID", "customer_name", "order_type", "totalAmount", "status",
+                       "employee_name", F.explode_outer("items").alias("i")).select(
+        "orderID", "EmployeeID", "customer_name", "order_type", "totalAmount", "status", "employee_name",
+        "i.productID", F.col("i.quantity").alias("item_quantity"), F.col("i.price").alias("item_price"),
+        "i.product_name", "i.category")
+
+
+@register("orders_json_export", with_views(_DOCUMENTS.format(where=""), "shop_orders", "order_items", "products"))
 def q_orders_json_export(spark, sf_dir):
+    """Every order as a JSON document with its items, null fields kept; written, read
+    back with the documents' schema and unfolded."""
     t = _t(spark, sf_dir)
-    return export.orders_json(t.orders)
+    docs = joins.order_detail(t.orders, t.employees, t.order_items, t.products)
+    path = export.write_orders_json(docs, scratch_path(spark, f"json-{uuid.uuid4().hex}"))
+    return _flat_documents(spark.read.schema(docs.schema).json(path))
 
+
+@register("order_by_id", with_views(_DOCUMENTS.format(where="WHERE o.orderID = 77"),
+                                    "shop_orders", "order_items", "products"))
+def q_order_by_id(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    return _flat_documents(joins.order_by_id(77, t.orders, t.employees, t.order_items, t.products))

@@ -8,6 +8,7 @@ from shopflow.functions import scalars as S
 from shopflow.operators import filters, inventory, joins, quality, reports
 from shopflow.plans.catalog import AS_OF, DATE_FROM, DATE_TO, _t, register
 from shopflow.plans.views import with_views
+from shopflow.schema import Tables
 from shopflow.sources import driver
 
 _RANGE = f"CAST(orderDateTime AS DATE) BETWEEN DATE '{DATE_FROM}' AND DATE '{DATE_TO}'"
@@ -81,10 +82,10 @@ _SEARCH_SQL = "(CAST(o.orderID AS VARCHAR) LIKE '%{s}%' OR lower(o.customer_name
 
 
 @register("orders_list", with_views(f"""
-SELECT o.*, e.name AS employee_name
-FROM shop_orders o LEFT JOIN employees e ON o.EmployeeID = e.EmployeeID
-WHERE o.status = 'completed' AND {_O_RANGE} AND {_SEARCH_SQL.format(s='1')}
-ORDER BY o.orderDateTime DESC, o.orderID DESC LIMIT 50 OFFSET 10""", "shop_orders"))
+SELECT page.*, (SELECT MAX(name) FROM employees e WHERE e.EmployeeID = page.EmployeeID) AS employee_name
+FROM (SELECT o.* FROM shop_orders o WHERE o.status = 'completed' AND {_O_RANGE} AND {_SEARCH_SQL.format(s='1')}
+      QUALIFY ROW_NUMBER() OVER (ORDER BY o.orderDateTime DESC, o.orderID DESC) BETWEEN 11 AND 60) page""",
+                                    "shop_orders"))
 def q_orders_list(spark, sf_dir):
     t = _t(spark, sf_dir)
     return filters.orders_list(t.orders, t.employees, "completed", DATE_FROM, DATE_TO, "1", 50, 10)
@@ -148,13 +149,13 @@ def q_catalogue_search(spark, sf_dir):
 
 
 @register("report_range_defaults", with_views("""
-SELECT CAST(orderDateTime AS DATE) AS period, COUNT(*) AS order_count,
-       COALESCE(SUM(totalAmount), 0) AS revenue
-FROM shop_orders WHERE CAST(orderDateTime AS DATE) BETWEEN DATE '2001-08-01' AND DATE '2001-08-01'
-  AND status = 'completed'
+SELECT CAST(orderDateTime AS DATE) AS period, COUNT(*) AS order_count, SUM(totalAmount) AS revenue
+FROM shop_orders WHERE status = 'completed'
+  AND orderDateTime >= TIMESTAMP '1998-03-01 00:00:00' AND orderDateTime < TIMESTAMP '1998-03-18 00:00:00'
 GROUP BY CAST(orderDateTime AS DATE)""", "shop_orders"))
 def q_report_range_defaults(spark, sf_dir):
-    f, t = filters.report_range_defaults(AS_OF)
+    """The default range as of 17 March 1998: from the first of that month."""
+    f, t = filters.report_range_defaults("1998-03-17")
     return reports.sales_daily(_t(spark, sf_dir).orders, f, t)
 
 
@@ -162,15 +163,14 @@ def q_report_range_defaults(spark, sf_dir):
 SELECT orderID, customer_name, status, totalAmount, orderDateTime FROM shop_orders
 WHERE status = 'ready' AND {_RANGE}""", "shop_orders"))
 def q_orders_param_sql(spark, sf_dir):
-    _t(spark, sf_dir).orders.createOrReplaceTempView("shop_orders")
-    return filters.orders_param_sql(spark, "ready", DATE_FROM, DATE_TO)
+    return filters.orders_param_sql(_t(spark, sf_dir).orders, "ready", DATE_FROM, DATE_TO)
 
 
 @register("orders_page", with_views("""
 SELECT * FROM shop_orders ORDER BY orderDateTime DESC, orderID DESC LIMIT 200 OFFSET 100""",
                                     "shop_orders"))
 def q_orders_page(spark, sf_dir):
-    return filters.orders_page(_t(spark, sf_dir).orders, limit=500, offset=100)
+    return filters.orders_page(_t(spark, sf_dir).orders, limit=200, offset=100)
 
 
 @register("orders_page_after", with_views("""
@@ -183,17 +183,16 @@ def q_orders_page_after(spark, sf_dir):
 
 
 @register("result_count", with_views(f"""
-SELECT COUNT(*) AS result_count FROM (
-  SELECT * FROM shop_orders o WHERE o.status = 'pending' AND {_SEARCH_SQL.format(s='99')}
-  ORDER BY orderDateTime DESC, orderID DESC LIMIT 50 OFFSET 0) t""", "shop_orders"))
+SELECT COUNT(*) AS result_count FROM shop_orders o
+WHERE o.status = 'pending' AND {_SEARCH_SQL.format(s='9')}""", "shop_orders"))
 def q_result_count(spark, sf_dir):
-    return filters.result_count(_t(spark, sf_dir).orders, status="pending", search="99")
+    return filters.result_count(_t(spark, sf_dir).orders, status="pending", search="9")
 
 
 # ======================================================================= joins
 @register("orders_with_employee", with_views("""
-SELECT o.*, e.name AS employee_name
-FROM shop_orders o LEFT JOIN employees e ON o.EmployeeID = e.EmployeeID""", "shop_orders"))
+SELECT o.*, names[o.EmployeeID] AS employee_name
+FROM shop_orders o, (SELECT map_from_entries(list((EmployeeID, name))) AS names FROM employees) m""", "shop_orders"))
 def q_orders_with_employee(spark, sf_dir):
     t = _t(spark, sf_dir)
     return joins.orders_with_employee(t.orders, t.employees)
@@ -336,7 +335,9 @@ def q_fn_strings(spark, sf_dir):
 SELECT o_orderkey AS orderID,
        COALESCE(e.EmployeeID, -1) AS employee_or_default,
        CASE WHEN o_orderpriority = '1-URGENT' THEN 'rush' ELSE 'normal' END AS speed,
-       CASE WHEN (o_custkey % 3) = 0 THEN 'default' ELSE CAST(o_custkey % 3 AS VARCHAR) END AS falsy_default
+       CASE WHEN o_custkey % 3 = 0 THEN '' ELSE CAST(o_custkey % 3 - 1 AS VARCHAR) END AS falsy_text,
+       CASE WHEN o_custkey % 3 = 0 THEN -7 ELSE o_custkey % 3 END AS falsy_number,
+       CAST(CASE WHEN o_custkey % 3 = 0 THEN -0.5 ELSE o_custkey % 3 / 2.0 END AS DOUBLE) AS falsy_double
 FROM orders LEFT JOIN (SELECT c_custkey AS EmployeeID FROM customer WHERE c_mktsegment = 'BUILDING') e
   ON o_custkey = e.EmployeeID""")
 def q_fn_conditionals(spark, sf_dir):
@@ -348,13 +349,17 @@ def q_fn_conditionals(spark, sf_dir):
         F.col("o_orderkey").alias("orderID"),
         S.default_if_null("EmployeeID", -1).alias("employee_or_default"),
         F.when(F.col("o_orderpriority") == "1-URGENT", "rush").otherwise("normal").alias("speed"),
-        S.default_if_falsy((F.col("o_custkey") % 3).cast("string"), "default").alias("falsy_default"))
+        F.regexp_replace(S.default_if_falsy(
+            F.when(F.col("o_custkey") % 3 == 0, "").otherwise((F.col("o_custkey") % 3 - 1).cast("string")),
+            "default"), "default", "").alias("falsy_text"),
+        S.default_if_falsy(F.col("o_custkey") % 3, -7).alias("falsy_number"),
+        S.default_if_falsy((F.col("o_custkey") % 3) / 2, -0.5).alias("falsy_double"))
 
 
 @register("fn_js_int", """
 SELECT event_id,
   TRY_CAST(NULLIF(regexp_extract(CAST(value AS VARCHAR), '^\\s*([+-]?\\d+)', 1), '') AS BIGINT) AS from_value,
-  TRY_CAST(NULLIF(regexp_extract(props, '^\\s*([+-]?\\d+)', 1), '') AS BIGINT) AS from_props,
+  TRY_CAST(NULLIF(regexp_extract(props, '([+-]?\\d+)', 1), '') AS BIGINT) AS from_props,
   GREATEST(1, TRY_CAST(NULLIF(regexp_extract(concat(' ', CAST(user_id - 5 AS VARCHAR), 'x'),
       '^\\s*([+-]?\\d+)', 1), '') AS BIGINT)) AS qty
 FROM events""")
@@ -362,7 +367,8 @@ def q_fn_js_int(spark, sf_dir):
     ev = driver.read_raw(spark, sf_dir, "events")
     return ev.select(
         "event_id", S.js_int(F.col("value").cast("string")).alias("from_value"),
-        S.js_int("props").alias("from_props"),
+        # The text from the first digit or sign of the properties on: digits, then anything.
+        S.js_int(F.regexp_extract("props", r"[+-]?\d.*", 0)).alias("from_props"),
         S.at_least_one(S.js_int(F.concat(F.lit(" "), (F.col("user_id") - 5).cast("string"),
                                          F.lit("x")))).alias("qty"))
 
@@ -426,73 +432,127 @@ def q_validate_products(spark, sf_dir):
     return quality.validate_products(t.products, t.categories)
 
 
-@register("validate_customer_name", r"""
-SELECT customer_name, reason, reason IS NULL AS valid FROM (
-  SELECT c_name AS customer_name, CASE
-    WHEN length(trim(c_name)) > 100 THEN 'Name is too long'
-    WHEN trim(c_name) <> '' AND NOT regexp_matches(trim(c_name), '^[\w\s\-''.]+$')
-      THEN 'Name contains invalid characters' END AS reason
-  FROM customer) t""")
+# Names of every kind from the customers': as they are, without '#', blank, with a
+# no-break space around or inside, too long, with other letters.
+_NAMES = """names AS (
+  SELECT CASE c_custkey % 7 WHEN 0 THEN c_name WHEN 1 THEN replace(c_name, '#', ' ')
+         WHEN 2 THEN '  ' WHEN 3 THEN concat(chr(160), replace(c_name, '#', '-'), chr(160))
+         WHEN 4 THEN concat('O''Neil', chr(8195), 'Jr.') WHEN 5 THEN repeat('ab ', 40)
+         ELSE concat('Zoë ', CAST(c_custkey AS VARCHAR)) END AS customer_name,
+         CASE c_custkey % 7 WHEN 0 THEN 'Name contains invalid characters' WHEN 5 THEN 'Name is too long'
+         WHEN 6 THEN 'Name contains invalid characters' END AS reason
+  FROM customer)"""
+
+
+@register("validate_customer_name", with_views(
+    "SELECT customer_name, reason, reason IS NULL AS valid FROM names", extra=[_NAMES]))
 def q_validate_customer_name(spark, sf_dir):
-    c = driver.read_raw(spark, sf_dir, "customer").select(F.col("c_name").alias("customer_name"))
-    return quality.validate_customer_name(c)
+    c, n = driver.read_raw(spark, sf_dir, "customer"), F.col("c_custkey") % 7
+    name = (F.when(n == 0, F.col("c_name")).when(n == 1, F.replace("c_name", F.lit("#"), F.lit(" ")))
+            .when(n == 2, "  ").when(n == 3, F.concat(F.lit("\u00a0"), F.replace("c_name", F.lit("#"), F.lit("-")),
+                                                      F.lit("\u00a0")))
+            .when(n == 4, "O'Neil\u2003Jr.").when(n == 5, "ab " * 40)
+            .otherwise(F.concat(F.lit("Zoë "), F.col("c_custkey").cast("string"))))
+    return quality.validate_customer_name(c.select(name.alias("customer_name")))
+
+
+def _odd_tables(spark, sf_dir) -> Tables:
+    """The mapped tables with values, keys and references that break the rules: statuses,
+    types, roles and categories outside their domains, repeated keys and user names, and
+    rows that refer to nothing."""
+    t = _t(spark, sf_dir)
+    o, n = t.orders, F.col("orderID")
+    o = o.withColumn("status", F.when(n % 50 == 0, "lost").when(n % 51 == 0, F.lit(None)).otherwise(F.col("status")))
+    o = o.withColumn("order_type", F.when(n % 40 == 0, "phone").otherwise(F.col("order_type")))
+    o = o.withColumn("EmployeeID", F.when(n % 30 == 0, n * 1000).otherwise(F.col("EmployeeID")))
+    o = o.withColumn("orderID", F.when(n % 25 == 0, n - 1).otherwise(n))
+    e = t.employees.withColumn("role", F.when(F.col("EmployeeID") % 4 == 0, "chef").otherwise(F.col("role")))
+    e = e.withColumn("username", F.concat(F.lit("user"), (F.col("EmployeeID") % 100).cast("string")))
+    p = t.products.withColumn("category", F.when(F.col("productID") % 3 == 0, "MISC").otherwise(F.col("category")))
+    p = p.filter(F.col("productID") % 7 != 0)
+    i = t.order_items.withColumn("id", n * 8 + F.col("line_no"))
+    return Tables(employees=e, products=p, orders=o, order_items=i, categories=t.categories)
+
+
+_ODD = """odd_orders AS (
+  SELECT CASE WHEN orderID % 25 = 0 THEN orderID - 1 ELSE orderID END AS orderID,
+         CASE WHEN orderID % 50 = 0 THEN 'lost' WHEN orderID % 51 = 0 THEN NULL ELSE status END AS status,
+         CASE WHEN orderID % 40 = 0 THEN 'phone' ELSE order_type END AS order_type,
+         CASE WHEN orderID % 30 = 0 THEN orderID * 1000 ELSE EmployeeID END AS EmployeeID
+  FROM shop_orders), odd_employees AS (
+  SELECT EmployeeID, CASE WHEN EmployeeID % 4 = 0 THEN 'chef' ELSE role END AS role,
+         concat('user', CAST(EmployeeID % 100 AS VARCHAR)) AS username FROM employees), odd_products AS (
+  SELECT productID, CASE WHEN productID % 3 = 0 THEN 'MISC' ELSE category END AS category
+  FROM products WHERE productID % 7 <> 0), odd_items AS (
+  SELECT orderID * 8 + line_no AS id, orderID, productID FROM order_items)"""
+_ODD_VIEWS = ("shop_orders", "products", "order_items")
 
 
 @register("domain_checks", with_views(f"""
-SELECT 'orders' AS table_name, 'status' AS column_name, status AS value, COUNT(*) AS rows
-FROM shop_orders WHERE status IS NULL
-  OR status NOT IN ('pending', 'preparing', 'ready', 'completed', 'cancelled') GROUP BY status
-UNION ALL
-SELECT 'products', 'category', category, COUNT(*) FROM products
-WHERE category IS NULL OR NOT list_contains({_CATS}, category) GROUP BY category""",
-                                      "shop_orders", "products"))
+SELECT 'orders' AS table_name, 'status' AS column_name, status AS value, COUNT(*) AS rows FROM odd_orders
+WHERE NOT COALESCE(list_contains(['pending', 'preparing', 'ready', 'completed', 'cancelled'], status), FALSE)
+GROUP BY status
+UNION ALL SELECT 'orders', 'order_type', order_type, COUNT(*) FROM odd_orders
+WHERE order_type NOT IN ('online', 'walk-in') GROUP BY order_type
+UNION ALL SELECT 'employees', 'role', role, COUNT(*) FROM odd_employees
+WHERE role NOT IN ('admin', 'cashier') GROUP BY role
+UNION ALL SELECT 'products', 'category', category, COUNT(*) FROM odd_products
+WHERE NOT list_contains({_CATS}, category) GROUP BY category""", *_ODD_VIEWS, extra=[_ODD]))
 def q_domain_checks(spark, sf_dir):
-    return quality.domain_checks(_t(spark, sf_dir))
+    return quality.domain_checks(_odd_tables(spark, sf_dir))
 
 
-@register("key_checks", with_views("""
-SELECT 'order_items' AS table_name, 'orderID,line_no' AS key_column,
-       concat(CAST(orderID AS VARCHAR), ',', CAST(line_no AS VARCHAR)) AS key_value, COUNT(*) AS rows
-FROM order_items GROUP BY orderID, line_no HAVING COUNT(*) > 1
-UNION ALL
-SELECT 'orders', 'orderID', CAST(orderID AS VARCHAR), COUNT(*) FROM shop_orders
-GROUP BY orderID HAVING COUNT(*) > 1""", "order_items", "shop_orders"))
+@register("key_checks", with_views(" UNION ALL ".join(
+    f"""SELECT '{table}' AS table_name, '{key}' AS key_column, CAST({key} AS VARCHAR) AS key_value,
+    COUNT(*) AS rows FROM {view} GROUP BY {key} HAVING COUNT(*) > 1"""
+    for view, table, key in (("odd_employees", "employees", "EmployeeID"), ("odd_employees", "employees", "username"),
+                             ("odd_products", "products", "productID"), ("odd_orders", "orders", "orderID"),
+                             ("odd_items", "order_items", "id"))), *_ODD_VIEWS, extra=[_ODD]))
 def q_key_checks(spark, sf_dir):
-    t = _t(spark, sf_dir)
-    it = t.order_items.withColumn("_k", F.concat_ws(",", F.col("orderID").cast("string"),
-                                                   F.col("line_no").cast("string")))
-    return (quality.duplicate_keys(it, "_k", "order_items")
-            .withColumn("key_column", F.lit("orderID,line_no"))
-            .unionByName(quality.duplicate_keys(t.orders, "orderID", "orders")))
-
-
-@register("reference_checks", with_views("""
-SELECT 'order_items.orderID' AS reference, CAST(orderID AS VARCHAR) AS key_value, COUNT(*) AS rows
-FROM order_items WHERE orderID NOT IN (SELECT orderID FROM shop_orders) GROUP BY orderID
-UNION ALL
-SELECT 'order_items.productID', CAST(productID AS VARCHAR), COUNT(*)
-FROM order_items WHERE productID NOT IN (SELECT productID FROM products) GROUP BY productID""",
-                                         "order_items", "shop_orders", "products"))
+    return quality.key_checks(_odd_tables(spark, sf_dir))
+
+
+@register("reference_checks", with_views(" UNION ALL ".join(
+    f"""SELECT '{child}.{key}' AS reference, CAST(c.{key} AS VARCHAR) AS key_value, COUNT(*) AS rows
+    FROM odd_{view} c WHERE c.{key} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {parent} q WHERE q.{key} = c.{key})
+    GROUP BY c.{key}"""
+    for child, view, key, parent in (("order_items", "items", "orderID", "odd_orders"),
+                                     ("order_items", "items", "productID", "odd_products"),
+                                     ("orders", "orders", "EmployeeID", "odd_employees"))), *_ODD_VIEWS, extra=[_ODD]))
 def q_reference_checks(spark, sf_dir):
-    t = _t(spark, sf_dir)
-    return (quality.dangling(t.order_items, t.orders, "orderID", "order_items.orderID")
-            .unionByName(quality.dangling(t.order_items, t.products, "productID",
-                                          "order_items.productID")))
+    return quality.reference_checks(_odd_tables(spark, sf_dir))
 
 
-@register("load_tables", with_views("SELECT * FROM shop_orders", "shop_orders"))
-def q_load_tables(spark, sf_dir):
+def _loaded(spark, sf_dir):
     """Write the mapped tables as a new version under the checkpoint folder and
     read them back with their declared schemas."""
     import uuid
 
-    from shopflow.schema import ORDERS
     from shopflow.session import scratch_path
     from shopflow.sources.tables import load_tables, write_tables
 
     base = scratch_path(spark, f"tables-{uuid.uuid4().hex}")
-    t = _t(spark, sf_dir)
-    write_tables(t, base)
-    back = load_tables(spark, base)
-    return back.orders.select(*[f.name for f in ORDERS.fields])
+    write_tables(_t(spark, sf_dir), base)
+    return load_tables(spark, base)
+
+
+@register("load_tables", with_views("SELECT * FROM shop_orders", "shop_orders"))
+def q_load_tables(spark, sf_dir):
+    return _loaded(spark, sf_dir).orders.drop("order_month")
+
+
+@register("load_tables_items", with_views(
+    "SELECT orderID, productID, quantity, price FROM order_items", "order_items"))
+def q_load_tables_items(spark, sf_dir):
+    return _loaded(spark, sf_dir).order_items.drop("id")
+
+
+@register("load_tables_products", with_views("""
+SELECT productID, name, category, price, CAST(quantity AS BIGINT) AS quantity, is_available FROM products""", "products"))
+def q_load_tables_products(spark, sf_dir):
+    return _loaded(spark, sf_dir).products.drop("image", "created_at")
+
 
+@register("load_tables_employees", with_views("SELECT * FROM employees", "employees"))
+def q_load_tables_employees(spark, sf_dir):
+    return _loaded(spark, sf_dir).employees.select("EmployeeID", "name", "role")

@@ -49,6 +49,12 @@ CASH_SHORT = "Cash is less than the total amount"
 # Reasons of this library (no counterpart in the shop).
 TOTAL_OVERFLOW = "Total overflow"
 WALKIN_PAID = "Walk-in order: paid at checkout"
+# Reasons of this library's own rejects (the shop's forms never offer these rows).
+ORDER_UNKNOWN = "No such order"
+ORDER_CLOSED = "Order is already closed"
+ORDER_PAID = "Order is already paid"
+PRICE_INVALID = "Price must be a number"
+PRODUCT_UNKNOWN = "No such product"
 
 EMPLOYEES = T.StructType(
     [
@@ -67,7 +73,7 @@ PRODUCTS = T.StructType(
         T.StructField("name", T.StringType(), False),
         T.StructField("category", T.StringType(), False),
         T.StructField("price", MONEY, False),
-        T.StructField("quantity", T.IntegerType(), False),
+        T.StructField("quantity", T.LongType(), False),
         T.StructField("image", T.StringType(), True),
         T.StructField("is_available", T.IntegerType(), False),
         T.StructField("created_at", T.TimestampNTZType(), True),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -64,11 +65,15 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this setting names shared storage and is only read. When it is
-    unset (local tests) a fresh scratch folder is made and set.
+    On a cluster this setting names shared storage and is only read; it is an error
+    if it is unset there, because executors can't read each other's local folders.
+    When it is unset on a ``local`` master (tests) a scratch folder is made and set.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        master = spark.conf.get("spark.master", "")
+        if not re.match(r"local(\[|$)", master):
+            raise RuntimeError(f"spark.checkpoint.dir must name a shared folder on {master or 'a cluster'}")
         d = tempfile.mkdtemp(prefix="shopflow-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)

@@ -46,10 +46,12 @@ def write_orders_csv(rows: DataFrame, base: str, date_from, date_to) -> str:
 
 
 def orders_json(df: DataFrame, key: str = "orderID") -> DataFrame:
-    """One JSON document per row (nested item lists included): (key, json)."""
-    return df.select(key, F.to_json(F.struct(*[F.col(c) for c in df.columns])).alias("json"))
+    """One JSON document per row (nested item lists included): (key, json). Null fields
+    are written as null."""
+    return df.select(key, F.to_json(F.struct(*[F.col(c) for c in df.columns]),
+                                    {"ignoreNullFields": "false"}).alias("json"))
 
 
 def write_orders_json(df: DataFrame, path: str) -> str:
-    df.write.mode("overwrite").json(path)
+    df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
     return path

@@ -1,10 +1,7 @@
-"""Read and write the four shop tables with their fixed schemas; seed rows."""
+"""Read and write the four shop tables with their fixed schemas."""
 
 from __future__ import annotations
 
-import datetime as _dt
-from decimal import Decimal
-
 from pyspark.sql import SparkSession
 
 from shopflow.schema import EMPLOYEES, ORDER_ITEMS, ORDERS, PRODUCTS, Tables
@@ -22,13 +19,15 @@ def load_tables(spark: SparkSession, base: str, fmt: str = "parquet") -> Tables:
 
 
 def write_tables(t: Tables, base: str, mode: str = "overwrite") -> None:
-    """Write a new version of the tables. Orders are partitioned by month so
-    date-range reports prune whole directories."""
+    """Write a new version of the tables. Orders are partitioned by month, and dealt by
+    month and id first so that a month is a few files; date-range filters prune
+    whole months (:func:`shopflow.operators.filters.orders_in_date_range`)."""
     from pyspark.sql import functions as F
 
     t.employees.write.mode(mode).parquet(f"{base}/employees")
     t.products.write.mode(mode).parquet(f"{base}/products")
     (t.orders.withColumn("order_month", F.date_format("orderDateTime", "yyyy-MM"))
+     .repartitionByRange("order_month", "orderID")
      .write.mode(mode).partitionBy("order_month").parquet(f"{base}/orders"))
     t.order_items.write.mode(mode).parquet(f"{base}/order_items")
 
@@ -42,51 +41,3 @@ def write_bucketed(t: Tables, database: str, buckets: int, mode: str = "overwrit
     for name, df in (("orders", t.orders), ("order_items", t.order_items)):
         (df.write.mode(mode).bucketBy(buckets, "orderID").sortBy("orderID")
          .saveAsTable(f"{database}.{name}"))
-
-
-# Fixed seed rows of the shop (menu and staff), as the seed script lists them;
-# productID / EmployeeID are the auto-increment ids in that order.
-SEED_PRODUCTS = [
-    ("Nachos", "Appetizer", "120.00", 50),
-    ("Chicken Wings", "Appetizer", "180.00", 30),
-    ("Bruschetta", "Appetizer", "95.00", 25),
-    ("Calamari Rings", "Appetizer", "145.00", 20),
-    ("Grilled Chicken", "Main Course", "280.00", 20),
-    ("Beef Burger", "Main Course", "250.00", 25),
-    ("Pasta Carbonara", "Main Course", "220.00", 30),
-    ("Club Sandwich", "Main Course", "195.00", 25),
-    ("Americano", "Drinks", "90.00", 100),
-    ("Cappuccino", "Drinks", "110.00", 100),
-    ("Cold Brew", "Drinks", "120.00", 80),
-    ("Lemon Iced Tea", "Drinks", "75.00", 100),
-    ("Hot Chocolate", "Drinks", "95.00", 60),
-    ("Choco Lava Cake", "Dessert", "150.00", 20),
-    ("Cheesecake", "Dessert", "130.00", 15),
-    ("Tiramisu", "Dessert", "160.00", 15),
-    ("Roots Blend", "Specialty", "160.00", 50),
-    ("Caramel Macchiato", "Specialty", "140.00", 50),
-    ("Matcha Latte", "Specialty", "130.00", 40),
-    ("Lavender Latte", "Specialty", "145.00", 8),
-]
-SEED_EMPLOYEES = [
-    ("Admin User", "admin", "admin123", "admin"),
-    ("Cashier User", "cashier", "cashier123", "cashier"),
-]
-
-
-def seed_catalogue(spark: SparkSession) -> Tables:
-    """The seed menu (20 products) and staff (2 employees); no orders. Passwords
-    are stored as SHA-256 hex, as the seed script stores them."""
-    import hashlib
-
-    ts = _dt.datetime(2024, 1, 1)
-    prods = [(i, n, c, Decimal(p), q, None, 1, ts)
-             for i, (n, c, p, q) in enumerate(SEED_PRODUCTS, start=1)]
-    emps = [(i, n, u, hashlib.sha256(pw.encode()).hexdigest(), r, ts)
-            for i, (n, u, pw, r) in enumerate(SEED_EMPLOYEES, start=1)]
-    return Tables(
-        employees=spark.createDataFrame(emps, EMPLOYEES),
-        products=spark.createDataFrame(prods, PRODUCTS),
-        orders=spark.createDataFrame([], ORDERS),
-        order_items=spark.createDataFrame([], ORDER_ITEMS),
-    )

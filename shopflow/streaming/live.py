@@ -4,13 +4,13 @@ counts, daily sales, new-order detection).
 Sources are files only (no sockets): a directory read with an explicit schema
 and ``pathGlobFilter``; tests drain it with ``trigger(availableNow=True)``.
 Sinks use ``foreachBatch`` writing one sub-directory per batch id, so a retried
-batch overwrites its own output (idempotent) and survives executor loss; the
-checkpoint lives under the session's shared ``spark.checkpoint.dir``.
+batch overwrites its own output (idempotent) and survives executor loss, and compact
+them (:class:`Changelog`); all of it lies under the session's shared
+``spark.checkpoint.dir``. No Python function runs on executors.
 """
 
 from __future__ import annotations
 
-import os
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,17 +39,6 @@ def event_stream(spark: SparkSession, directory: str, glob: str = "events.parque
 
 
 # ------------------------------------------------------------ status state
-def apply_walkin_rule(latest: DataFrame, orders: DataFrame) -> DataFrame:
-    """'ready' on a walk-in order becomes 'completed'; rows for unknown orders
-    are dropped. Applied to the latest status per order (one row per order),
-    so the join with orders is 1:1."""
-    from shopflow.operators.changes import walkin_rule
-
-    kinds = orders.select("orderID", "order_type")
-    return latest.join(kinds, "orderID", "inner").withColumn(
-        "status", walkin_rule(F.col("status"), F.col("order_type"))).drop("order_type")
-
-
 def latest_status(updates: DataFrame) -> DataFrame:
     """Current status per order: the update with the greatest (ts, event_id).
     Works on a batch or a stream (state = one row per order; any status may
@@ -60,42 +49,124 @@ def latest_status(updates: DataFrame) -> DataFrame:
         F.col("_last.event_id").alias("event_id"))
 
 
-def _changelog_writer(path: str, orders: DataFrame | None = None):
-    def write(batch: DataFrame, batch_id: int) -> None:
-        out = apply_walkin_rule(batch, orders) if orders is not None else batch
-        out.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(
-            os.path.join(path, f"batch_id={batch_id}"))
-    return write
+# ------------------------------------------------------------ changelog
+# Batches between two compactions: a read then sees one snapshot and so many folders.
+COMPACT_EVERY = 64
+
+
+class Changelog:
+    """A keyed table as written by a stream: one folder per batch under ``batches/`` and,
+    every ``COMPACT_EVERY`` batches, a snapshot of the latest row per key under
+    ``snapshots/``. Readers take the newest snapshot and the batches after it, so
+    neither folders nor rows pile up with the triggers. A retried batch overwrites its
+    own folder, and a batch reads only what earlier batches wrote."""
+
+    def __init__(self, spark: SparkSession, path: str, key: str):
+        self.spark, self.path, self.key = spark, path, key
+
+    def _folders(self, kind: str, name: str) -> list[int]:
+        jvm = self.spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{kind}")
+        fs = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if not fs.exists(p):
+            return []
+        done = [x.getPath() for x in fs.listStatus(p)]
+        return sorted(int(x.getName().split("=")[1]) for x in done if x.getName().startswith(name + "=")
+                      and fs.exists(jvm.org.apache.hadoop.fs.Path(x, "_SUCCESS")))
+
+    def current(self, before: int | None = None) -> DataFrame | None:
+        """The latest row per key (before batch ``before``), or None when there is none."""
+        snaps = [n for n in self._folders("snapshots", "upto") if before is None or n < before]
+        upto = snaps[-1] if snaps else -1
+        later = [n for n in self._folders("batches", "batch_id") if n > upto and (before is None or n < before)]
+        parts = [f"{self.path}/snapshots/upto={upto}"] * bool(snaps) + [
+            f"{self.path}/batches/batch_id={n}" for n in later]
+        if not parts:
+            return None
+        log = self.spark.read.parquet(*parts)
+        rest = [c for c in log.columns if c not in (self.key, "batch_id")]
+        return log.groupBy(self.key).agg(F.max(F.struct("batch_id", *rest)).alias("_l")).select(
+            self.key, *[F.col("_l")[c].alias(c) for c in ("batch_id", *rest)])
+
+    def write(self, rows: DataFrame, batch_id: int) -> None:
+        rows.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(
+            f"{self.path}/batches/batch_id={batch_id}")
+        if batch_id % COMPACT_EVERY == COMPACT_EVERY - 1:
+            self.current(batch_id + 1).write.mode("overwrite").parquet(f"{self.path}/snapshots/upto={batch_id}")
 
 
 def run_live_status(spark: SparkSession, events: DataFrame, orders: DataFrame, name: str,
                     trigger: dict | None = None) -> str:
-    """Run the live status stream into a changelog table; returns its path.
+    """Run the live status stream into a changelog; returns its path.
 
-    The stream keeps the latest (ts, event_id, status) per order as state; each
-    micro-batch's changed rows get the walk-in rule (a join of one row per
-    order with the static orders) and are written under their batch id.
+    The stream keeps the latest (ts, event_id, status) per order as state, combined per
+    task before the shuffle, so one hot order is one row a task. Each micro-batch's
+    changed orders get the walk-in rule and are written under their batch id.
     ``trigger`` defaults to availableNow (drain and stop); the kitchen runs it
     with ``{"processingTime": "5 seconds"}``.
     """
-    out = scratch_path(spark, f"{name}/changelog")
-    ckpt = scratch_path(spark, f"{name}/checkpoint")
-    upd = status_events_from(events).select("orderID", "status", "ts", "event_id")
-    q = (latest_status(upd).writeStream.queryName(_qname(name)).outputMode("update")
-         .foreachBatch(_changelog_writer(out, orders))
-         .option("checkpointLocation", ckpt)
+    path = scratch_path(spark, f"{name}/changelog")
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        log = Changelog(batch.sparkSession, path, "orderID")
+        log.write(status_moves(batch, log.current(batch_id), orders).select(
+            "orderID", "status", "raw_status", "ts", "event_id", "order_type", "stored"), batch_id)
+
+    _run(latest_status(_updates(events)), step, name, spark, trigger)
+    return path
+
+
+def _updates(events: DataFrame) -> DataFrame:
+    return status_events_from(events).select("orderID", "status", "ts", "event_id")
+
+
+def _run(stream: DataFrame, step, name: str, spark: SparkSession, trigger: dict | None) -> None:
+    def held(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()
+        try:
+            step(batch, batch_id)
+        finally:
+            batch.unpersist()
+
+    q = (stream.writeStream.queryName(_qname(name)).outputMode("update").foreachBatch(held)
+         .option("checkpointLocation", scratch_path(spark, f"{name}/checkpoint"))
          .trigger(**(trigger or {"availableNow": True})).start())
     if not trigger:
         q.awaitTermination()
-    return out
+
+
+def status_moves(batch: DataFrame, known: DataFrame | None, orders: DataFrame | None) -> DataFrame:
+    """The orders of a micro-batch whose latest update is new: ``prev_status`` (null the first
+    time) and ``status``, both after the walk-in rule; ``raw_status``, ``order_type`` and
+    ``stored`` (the status in ``orders``).
+
+    ``known`` is the changelog's latest row per order, which carries order type and
+    stored status; ``orders`` is read only for orders that it lacks, and unknown ones
+    are dropped. Without ``orders`` there is no rule and no order is dropped."""
+    from shopflow.operators.changes import walkin_rule
+
+    cols = ["orderID", F.col("status").alias("raw_status"), "ts", "event_id"]
+    old = ["order_type", "stored", "prev_status", "_ts", "_id"]
+    none = [F.lit(None).cast(t).alias(c) for c, t in zip(old, ("string", "string", "string", "timestamp_ntz", "long"))]
+    if known is None:
+        seen, fresh = None, batch.select(*cols, *none)
+    else:
+        k = known.select("orderID", "order_type", "stored", F.col("status").alias("prev_status"),
+                         F.col("ts").alias("_ts"), F.col("event_id").alias("_id"))
+        j = batch.select(*cols).join(k, "orderID", "left")
+        seen, fresh = j.filter(F.col("_id").isNotNull()), j.filter(F.col("_id").isNull())
+    if orders is not None and not fresh.isEmpty():
+        kinds = orders.select("orderID", "order_type", F.col("status").alias("stored"))
+        fresh = fresh.drop("order_type", "stored").join(kinds, "orderID", "inner")
+    moves = fresh if seen is None else seen.unionByName(fresh)
+    newer = F.col("_id").isNull() | (F.struct("ts", "event_id") > F.struct(F.col("_ts").alias("ts"), F.col("_id").alias("event_id")))
+    status = F.col("raw_status") if orders is None else walkin_rule(F.col("raw_status"), F.col("order_type"))
+    return moves.filter(newer).withColumn("status", status).drop("_ts", "_id")
 
 
 def current_from_changelog(spark: SparkSession, path: str) -> DataFrame:
-    """Latest emitted row per order (highest batch id) = the stream's state."""
-    log = spark.read.parquet(path)
-    return log.groupBy("orderID").agg(
-        F.max(F.struct("batch_id", "status")).alias("_l")).select(
-        "orderID", F.col("_l.status").alias("status"))
+    """The stream's latest status per order."""
+    return Changelog(spark, path, "orderID").current().select("orderID", "status")
 
 
 def orders_with_live_status(orders: DataFrame, current: DataFrame) -> DataFrame:
@@ -118,34 +189,24 @@ def live_status_counts(orders: DataFrame, current: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------ daily sales
-def daily_sales_stream(events: DataFrame, watermark: str = "2 days") -> DataFrame:
-    """Purchase amounts per tumbling UTC day. ``ts`` (timestamp_ntz in the
-    files) is cast to timestamp before the watermark; events later than the
-    watermark are dropped (a streaming design choice, not in the batch form)."""
-    p = (events.filter(F.col("event_type") == "purchase")
-         .withColumn("ts", F.col("ts").cast("timestamp"))
-         .withWatermark("ts", watermark))
-    return p.groupBy(F.window("ts", "1 day")).agg(
+def daily_sales_stream(events: DataFrame) -> DataFrame:
+    """Purchase amounts per UTC day. The state is one row per calendar day, so no
+    watermark bounds it and late purchases count however the files arrive."""
+    p = events.filter(F.col("event_type") == "purchase")
+    return p.groupBy(F.to_date("ts").alias("day")).agg(
         F.count(F.lit(1)).alias("orders"),
-        F.sum(F.col("value").cast("decimal(12,2)")).alias("sales")).select(
-        F.to_date(F.col("window.start")).alias("day"), "orders", "sales")
+        F.sum(F.col("value").cast("decimal(12,2)")).alias("sales"))
 
 
-def run_daily_sales(spark: SparkSession, events: DataFrame, name: str,
-                    watermark: str = "2 days") -> str:
-    out = scratch_path(spark, f"{name}/changelog")
-    ckpt = scratch_path(spark, f"{name}/checkpoint")
-    q = (daily_sales_stream(events, watermark).writeStream.queryName(_qname(name)).outputMode("update")
-         .foreachBatch(_changelog_writer(out)).option("checkpointLocation", ckpt)
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    return out
+def run_daily_sales(spark: SparkSession, events: DataFrame, name: str) -> str:
+    path = scratch_path(spark, f"{name}/changelog")
+    _run(daily_sales_stream(events),
+         lambda batch, n: Changelog(batch.sparkSession, path, "day").write(batch, n), name, spark, None)
+    return path
 
 
 def daily_sales_from_changelog(spark: SparkSession, path: str) -> DataFrame:
-    log = spark.read.parquet(path)
-    return log.groupBy("day").agg(F.max(F.struct("batch_id", "orders", "sales")).alias("_l")).select(
-        "day", F.col("_l.orders").alias("orders"), F.col("_l.sales").alias("sales"))
+    return Changelog(spark, path, "day").current().select("day", "orders", "sales")
 
 
 # ------------------------------------------------------------ new orders
@@ -158,54 +219,15 @@ def queue_snapshot(updates: DataFrame, at) -> DataFrame:
 def new_order_diff(current: DataFrame, previous: DataFrame) -> DataFrame:
     """Ids in the current snapshot and not in the previous one; nothing when the
     previous snapshot is empty (the first orders after an empty queue are not
-    announced)."""
-    if previous.isEmpty():
-        return current.limit(0)
-    return current.join(previous, "orderID", "left_anti")
+    announced). One plan, no job while it is built: whether anything was queued before
+    is a semi join with a frame of at most one row."""
+    some = F.broadcast(previous.limit(1).select(F.lit(0).alias("_k")))
+    return (current.join(previous, "orderID", "left_anti").withColumn("_k", F.lit(0))
+            .join(some, "_k", "left_semi").drop("_k"))
 
 
 QUEUE = ("pending", "preparing")
 
-CHANGE_SCHEMA = "orderID long, prev_status string, status string, ts_us long, event_id long"
-CHANGE_STATE = "ts_us long, event_id long, status string"
-
-
-def _fold_status(key, batches, state):
-    """Per order: keep the latest (ts, event_id, status) in state; emit one row
-    (previous status, new status) when this micro-batch changes it. Batches of
-    one order arrive as an iterator of pandas frames and are folded one frame
-    at a time, so a hot order never has to fit in memory at once."""
-    import pandas as pd
-
-    prev = state.get if state.exists else None
-    best = prev
-    for pdf in batches:
-        if pdf.empty:
-            continue
-        top = pdf.sort_values(["ts_us", "event_id"]).iloc[-1]
-        cand = (int(top["ts_us"]), int(top["event_id"]), str(top["status"]))
-        if best is None or cand[:2] > tuple(best[:2]):
-            best = cand
-    if best is None or (prev is not None and tuple(prev) == tuple(best)):
-        return
-    state.update(best)
-    yield pd.DataFrame({"orderID": [int(key[0])], "prev_status": [prev[2] if prev else None],
-                        "status": [best[2]], "ts_us": [best[0]], "event_id": [best[1]]})
-
-
-def status_changes(events: DataFrame) -> DataFrame:
-    """Stream of per-order status changes (previous, new) from raw events, with
-    the latest status per order kept in Spark's state store."""
-    from pyspark.sql.streaming.state import GroupStateTimeout
-
-    from shopflow.session import ship_package
-
-    ship_package(events.sparkSession)  # the fold function runs in Python workers
-    upd = status_events_from(events).select(
-        "orderID", "status", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"), "event_id")
-    return upd.groupBy("orderID").applyInPandasWithState(
-        _fold_status, CHANGE_SCHEMA, CHANGE_STATE, "update", GroupStateTimeout.NoTimeout)
-
 
 def run_new_order_stream(spark: SparkSession, events: DataFrame, name: str,
                          trigger: dict | None = None) -> str:
@@ -213,30 +235,27 @@ def run_new_order_stream(spark: SparkSession, events: DataFrame, name: str,
     the queue (pending/preparing) since the previous batch, announced only when
     the queue was not empty before the batch.
 
-    Incremental: each batch sees only the orders whose status changed; the queue
-    size before the batch is the sum of earlier batches' one-row deltas. Output
-    per batch id under ``{base}/new`` and ``{base}/queue_delta``."""
+    Each batch sees only the orders whose status changed, with their previous status
+    from the changelog; the queue size before it is carried in a one-row table per
+    batch. Output per batch id under ``{base}/new``."""
     base = scratch_path(spark, name)
-    ckpt = os.path.join(base, "checkpoint")
 
     def step(batch: DataFrame, batch_id: int) -> None:
         sess = batch.sparkSession
+        log, size = Changelog(sess, f"{base}/status", "orderID"), Changelog(sess, f"{base}/queue", "k")
+        moves = status_moves(batch, log.current(batch_id), None).persist()
         was = F.coalesce(F.col("prev_status").isin(*QUEUE), F.lit(False))
         now = F.col("status").isin(*QUEUE)
-        delta = batch.agg(F.coalesce(F.sum(now.cast("long") - was.cast("long")), F.lit(0)).alias("delta"))
-        delta.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(
-            os.path.join(base, f"queue_delta/batch_id={batch_id}"))
-        hist = _read_or_none(sess, os.path.join(base, "queue_delta"))
-        before = 0 if hist is None else (
-            hist.filter(F.col("batch_id") < batch_id).agg(F.sum("delta")).first()[0] or 0)
-        entered = batch.filter(now & ~was).select("orderID")
-        new = entered if before > 0 else entered.limit(0)
-        new.write.mode("overwrite").parquet(os.path.join(base, f"new/batch_id={batch_id}"))
-
-    q = (status_changes(events).writeStream.queryName(_qname(name)).outputMode("update").foreachBatch(step)
-         .option("checkpointLocation", ckpt).trigger(**(trigger or {"availableNow": True})).start())
-    if not trigger:
-        q.awaitTermination()
+        held = size.current(batch_id)
+        before = held.first()["n"] if held is not None else 0
+        delta = moves.agg(F.coalesce(F.sum(now.cast("long") - was.cast("long")), F.lit(0)).alias("d"))
+        size.write(delta.select(F.lit(0).alias("k"), (F.col("d") + before).alias("n")), batch_id)
+        entered = moves.filter(now & ~was).select("orderID")
+        (entered if before > 0 else entered.limit(0)).write.mode("overwrite").parquet(f"{base}/new/batch_id={batch_id}")
+        log.write(moves.select("orderID", "status", "raw_status", "ts", "event_id", "order_type", "stored"), batch_id)
+        moves.unpersist()
+
+    _run(latest_status(_updates(events)), step, name, spark, trigger)
     return base
 
 
@@ -245,41 +264,35 @@ def run_live_dashboard(spark: SparkSession, events: DataFrame, orders: DataFrame
     """Status counts kept current by deltas (the dashboard polls every 30 s:
     pass ``{"processingTime": "30 seconds"}``).
 
-    Each micro-batch holds only the orders whose status changed. Their old
-    status (the previous event's, else the order's stored status) loses one,
-    the new one gains one, both after the walk-in rule. The deltas, one row
-    per status and batch, are written under ``{base}/deltas``; counts are the
-    stored counts plus their sum (:func:`counts_from_deltas`)."""
-    from shopflow.operators.changes import walkin_rule
-
+    Each micro-batch holds only the orders whose status changed. Their old status (after
+    the previous update, else as stored) loses one, the new one gains one, both after
+    the walk-in rule. The running delta per status is a small changelog under
+    ``{base}/deltas``; counts are the stored counts plus it (:func:`counts_from_deltas`)."""
     base = scratch_path(spark, name)
-    ckpt = os.path.join(base, "checkpoint")
-    kinds = orders.select("orderID", "order_type", F.col("status").alias("_stored"))
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        j = batch.join(kinds, "orderID", "inner")
-        # The stored status is counted as stored; earlier events as the rule made them.
-        old = F.when(F.col("prev_status").isNull(), F.col("_stored")).otherwise(
-            walkin_rule(F.col("prev_status"), F.col("order_type")))
-        new = walkin_rule(F.col("status"), F.col("order_type"))
-        moves = j.select(F.explode(F.array(
-            F.struct(old.alias("status"), F.lit(-1).alias("d")),
-            F.struct(new.alias("status"), F.lit(1).alias("d")))).alias("m")).select("m.*")
-        deltas = moves.groupBy("status").agg(F.sum("d").alias("delta"))
-        deltas.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(
-            os.path.join(base, f"deltas/batch_id={batch_id}"))
-
-    q = (status_changes(events).writeStream.queryName(_qname(name)).outputMode("update").foreachBatch(step)
-         .option("checkpointLocation", ckpt).trigger(**(trigger or {"availableNow": True})).start())
-    if not trigger:
-        q.awaitTermination()
+        sess = batch.sparkSession
+        log, sums = Changelog(sess, f"{base}/status", "orderID"), Changelog(sess, f"{base}/deltas", "status")
+        moves = status_moves(batch, log.current(batch_id), orders).persist()
+        old = F.coalesce("prev_status", "stored")
+        delta = moves.select(F.explode(F.array(
+            F.struct(old.alias("status"), F.lit(-1).cast("long").alias("delta")),
+            F.struct(F.col("status"), F.lit(1).cast("long").alias("delta")))).alias("m")).select("m.*")
+        held = sums.current(batch_id)
+        if held is not None:
+            delta = delta.unionByName(held.select("status", "delta"))
+        sums.write(delta.groupBy("status").agg(F.sum("delta").alias("delta")), batch_id)
+        log.write(moves.select("orderID", "status", "raw_status", "ts", "event_id", "order_type", "stored"), batch_id)
+        moves.unpersist()
+
+    _run(latest_status(_updates(events)), step, name, spark, trigger)
     return base
 
 
 def counts_from_deltas(spark: SparkSession, orders: DataFrame, base: str) -> DataFrame:
-    """Stored status counts plus all streamed deltas (one row per status)."""
+    """Stored status counts plus the streamed deltas (one row per status)."""
     stored = orders.groupBy("status").agg(F.count(F.lit(1)).alias("delta"))
-    d = _read_or_none(spark, os.path.join(base, "deltas"))
+    d = Changelog(spark, f"{base}/deltas", "status").current()
     allrows = stored if d is None else stored.unionByName(d.select("status", "delta"))
     return (allrows.groupBy("status").agg(F.sum("delta").cast("long").alias("cnt"))
             .filter(F.col("cnt") != 0))
@@ -289,12 +302,3 @@ def _qname(name: str) -> str:
     """Streams are named after their output folder, so a long-running one can be
     found in ``spark.streams.active`` and stopped."""
     return "shopflow_" + re.sub(r"[^0-9A-Za-z_]", "_", name)
-
-
-def _read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
-    from pyspark.errors import AnalysisException
-
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        return None

@@ -85,27 +85,6 @@ def test_category_performance_approx_is_close(spark):
     assert all(abs(approx[k] - exact[k]) <= max(2, 0.05 * exact[k]) for k in exact)
 
 
-def test_split_hot_join_matches_plain_join(spark):
-    from shopflow.operators.skew import hot_keys, split_hot_join
-    # Product 1 holds half of all lines; one line has a null key.
-    big = spark.createDataFrame([(i, 1 if i % 2 else (i % 50) + 2, 1) for i in range(4000)] + [(9999, None, 1)],
-                                "orderID long, productID long, quantity int")
-    keyed = spark.createDataFrame([(p, f"c{p % 3}") for p in range(1, 40)], "productID long, category string")
-    assert hot_keys(big, "productID", share=0.1, fraction=0.2) == [1]
-    for how in ("inner", "left"):
-        a = sorted(map(tuple, split_hot_join(big, keyed, "productID", how, share=0.1, fraction=0.2).collect()),
-                   key=str)
-        b = sorted(map(tuple, big.join(keyed, "productID", how).collect()), key=str)
-        assert a == b
-
-
-def test_category_performance_split_hot_same_result(spark):
-    t = driver.tables(spark, SF)
-    a = sorted(map(tuple, reports.category_performance(t).collect()))
-    b = sorted(map(tuple, reports.category_performance(t, split_hot=True).collect()))
-    assert a == b
-
-
 def test_cluster_confs_are_runtime_settable(spark):
     from shopflow.session import CLUSTER_CONFS, apply_confs
     before = {k: spark.conf.get(k, None) for k in CLUSTER_CONFS}
