@@ -6,7 +6,7 @@ from shopflow.llm.bpe import op2_bpe
 from shopflow.llm.embed_pigeonhole import op5_embed_pigeonhole
 from shopflow.llm.lang_gru import op3_lang_gru
 from shopflow.llm.licenses import op9_licenses
-from shopflow.llm.mixing import op4_fair_mix
+from shopflow.llm.mixing import OP4_SQL, op4_fair_mix
 from shopflow.llm.pii import op7_pii
 from shopflow.llm.quality_lines import OP10_SQL, op10_quality_lines
 from shopflow.llm.simhash_pivots import op6_simhash_pivots
@@ -26,5 +26,6 @@ QUERIES = {
     "op10_quality_lines": op10_quality_lines,
 }
 ORACLES: dict[str, str] = {
+    "op4_fair_mix": OP4_SQL,
     "op10_quality_lines": OP10_SQL,
 }

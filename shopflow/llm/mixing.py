@@ -37,9 +37,10 @@ def sizes(docs: DataFrame) -> DataFrame:
 
 def targets(rows: DataFrame, budget: int | None = None, weights: tuple = WEIGHTS,
             max_repeats: int = MAX_REPEATS) -> DataFrame:
-    """(source, source_size, target) from (source, size) rows: the budget (default: all
+    """(source, source_size, target, goal) from (source, size) rows: the budget (default: all
     words) shared by weight, at most ``max_repeats`` times a source's size; what a capped
-    source leaves is reshared by weight until no target is above its cap.
+    source leaves is reshared by weight until no target is above its cap. ``goal`` is the
+    target in whole words.
 
     One row per source; the sharing is a running sum over sources in the order in which
     they reach their caps, so it needs no loop: the k sources with the least size per
@@ -60,9 +61,13 @@ def targets(rows: DataFrame, budget: int | None = None, weights: tuple = WEIGHTS
     # from the first source on that stays under its cap, the rate is the same for all
     first = F.min(F.when(F.col("rate") * F.col("w") < F.col("cap"), F.struct("place", "rate"))).over(every)
     s = s.withColumn("place", F.row_number().over(fill)).withColumn("open", first)
-    return s.select("source", "source_size", F.when(
+    s = s.select("source", "source_size", F.when(
         F.col("open").isNull() | (F.col("place") < F.col("open.place")), F.col("cap").cast("double"))
         .otherwise(F.col("open.rate") * F.col("w")).alias("target"))
+    # whole words: roundings of the running sum, so that the goals add up to the budget
+    upto = F.round(F.sum("target").over(by_name.rowsBetween(Window.unboundedPreceding, 0))).cast("long")
+    return s.withColumn("upto", upto).withColumn(
+        "goal", F.col("upto") - F.coalesce(F.lag("upto").over(by_name), F.lit(0))).drop("upto")
 
 
 def running_sum(df: DataFrame, order: list[Column], value: str, out: str, group: str | None = None) -> DataFrame:
@@ -96,22 +101,21 @@ def schedule(docs: DataFrame, budget: int | None = None, weights: tuple = WEIGHT
     rows = stage_table(sizes(docs), "mix-sizes")
     share = stage_table(targets(rows, budget, weights, max_repeats), "mix-targets")
     named = rows.alias("r").join(share.alias("t"), F.col("r.source").eqNullSafe(F.col("t.source"))).select(
-        "r.*", "t.source_size", "t.target")
+        "r.*", "t.source_size", "t.target", "t.goal")
     # equal rows (same rk) are one entry with their number, unfolded again below
-    entries = named.where("size > 0").groupBy("rk", "doc_id", "source", "size", "source_size", "target").agg(
+    entries = named.where("size > 0").groupBy("rk", "doc_id", "source", "size", "source_size", "target", "goal").agg(
         F.count("*").alias("n"))
     entries = entries.withColumn("all", F.col("size") * F.col("n")).withColumn(
-        "shuffle", F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.hex("rk"))))
+        "shuffle", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     order = [F.col("source").asc_nulls_last(), F.col("shuffle"), F.col("rk")]
     queue = running_sum(entries, order, "all", "before", "source")
     start = F.col("before") + F.col("place") * F.col("size") + F.col("repeat") * F.col("source_size")
-    goal = F.round("target").cast("long")
     served = (queue.withColumn("place", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
               .withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(max_repeats - 1))))
-              .withColumn("start", start).where(F.col("start") < goal)
+              .withColumn("start", start).where(F.col("start") < F.col("goal"))
               .select("rk", "doc_id", "source", "size", "place", "repeat",
                       F.least(F.lit(1.0), (F.col("start") + F.col("size")) / F.col("target")).alias("finish"),
-                      F.least(F.col("size"), goal - F.col("start")).alias("served")))
+                      F.least(F.col("size"), F.col("goal") - F.col("start")).alias("served")))
     order = [F.col(c).asc_nulls_last() for c in ("finish", "source", "repeat", "rk", "place")]
     copies = running_sum(served, order, "served", "offset")
     return copies, named
@@ -122,10 +126,7 @@ def mix(docs: DataFrame, budget: int | None = None, weights: tuple = WEIGHTS,
     """One row per input row: doc_id, size, source_size, target, taken (words the mix
     takes of it, repeats counted). Equal rows share what is taken of them evenly."""
     copies, rows = schedule(docs, budget, weights, max_repeats)
-    total = rows.agg(F.sum("size").alias("s")).first().s if budget is None else budget
-    # round(target) may add up to a few words more than the budget: the order is cut there
-    taken = copies.where(F.col("offset") < F.lit(total or 0)).groupBy("rk").agg(
-        F.sum(F.least("served", F.lit(total or 0) - F.col("offset"))).alias("t"))
+    taken = copies.groupBy("rk").agg(F.sum("served").alias("t"))
     many = Window.partitionBy("rk").orderBy("doc_id")
     rows = rows.join(taken, "rk", "left").withColumn("t", F.coalesce("t", F.lit(0)))
     n, k = F.count("*").over(Window.partitionBy("rk")), F.row_number().over(many)
@@ -145,7 +146,7 @@ def mixed_documents(docs: DataFrame, budget: int | None = None, weights: tuple =
     keyed = docs.withColumn("__rk", F.xxhash64("doc_id", "source", "text"))
     one = Window.partitionBy("__rk").orderBy(F.lit(0))
     # of equal rows, the first k get one copy more
-    rows = keyed.join(n, keyed["__rk"] == n["rk"]).withColumn("__k", F.row_number().over(one)).withColumn(
+    rows = keyed.join(n.withColumnRenamed("rk", "__rk"), "__rk").withColumn("__k", F.row_number().over(one)).withColumn(
         "__m", F.count("*").over(Window.partitionBy("__rk")))
     times = F.floor(F.col("__n") / F.col("__m")) + (F.col("__k") <= F.col("__n") % F.col("__m")).cast("long")
     return rows.withColumn("__t", times).where("__t > 0").withColumn(
@@ -155,3 +156,34 @@ def mixed_documents(docs: DataFrame, budget: int | None = None, weights: tuple =
 def op4_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix of all documents at 100 % of their words."""
     return mix(read_table(spark, sf_dir, "documents"))
+
+
+# The same in SQL: documents in order of the MD5 of their ids, three rounds of each source.
+OP4_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size
+  FROM documents),
+s AS (
+  SELECT source, CAST(SUM(size) AS BIGINT) AS n,
+         CASE (ROW_NUMBER() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w
+  FROM d GROUP BY source),
+rates AS (  -- words per weight of the sources below their caps: that of the first such
+  SELECT MAX(rate) AS rate FROM (
+    SELECT (CAST((SELECT SUM(n) FROM s) AS DOUBLE) - COALESCE(SUM(3 * n) OVER b, 0))
+           / ((SELECT SUM(w) FROM s) - COALESCE(SUM(w) OVER b, 0)) AS rate, n, w
+    FROM s WINDOW b AS (ORDER BY 3 * n / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) r
+  WHERE rate * w < 3 * n),
+t AS (
+  SELECT source, n, LEAST(CAST(3 * n AS DOUBLE), COALESCE((SELECT rate FROM rates) * w, 3 * n)) AS target FROM s),
+g AS (
+  SELECT *, CAST(ROUND(SUM(target) OVER (ORDER BY source NULLS LAST)) AS BIGINT) AS upto FROM t),
+goals AS (SELECT source, n, target, upto - COALESCE(LAG(upto) OVER (ORDER BY source NULLS LAST), 0) AS goal FROM g),
+q AS (
+  SELECT doc_id, source, size, CAST(COALESCE(SUM(size) OVER (
+    PARTITION BY source ORDER BY md5(CAST(doc_id AS VARCHAR)) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS b
+  FROM d)
+SELECT doc_id, size, n AS source_size, target,
+       GREATEST(0, LEAST(size, goal - b)) + GREATEST(0, LEAST(size, goal - b - n))
+         + GREATEST(0, LEAST(size, goal - b - 2 * n)) AS taken
+FROM q JOIN goals ON q.source IS NOT DISTINCT FROM goals.source
+"""
