@@ -77,7 +77,8 @@ def bucketed(requests: DataFrame, seq: str = "order_seq", buckets: int | None =
     splits = _bucket_splits(splits_from if splits_from is not None else requests, seq, buckets)
     # handleInvalid="keep": a null sequence gets its own bucket instead of failing.
     return Bucketizer(splits=splits, inputCol="_seqd", outputCol="_bucket", handleInvalid="keep").transform(
-        requests.withColumn("_seqd", F.col(seq).cast("double"))).drop("_seqd")
+        requests.withColumn("_seqd", F.col(seq).cast("double"))).drop("_seqd").withColumn(
+        "_bucket", F.col("_bucket").cast("int"))
 
 
 def demand_before(requests: DataFrame, seq: str = "order_seq", per_product: DataFrame | None = None) -> DataFrame:
