@@ -13,6 +13,7 @@ from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,7 +29,7 @@ CACHE_PIECES = 300_000  # merged pieces remembered in a Python worker
 CACHE_TOKENS = 4_000_000  # and their tokens
 TREE_BYTES = 64  # longer pieces have a tree of their own
 TREE_ROWS = 16_384  # trees grown together
-TEXT_BATCH = 64  # texts whose new pieces are merged together
+SLICE_BYTES = 2 << 20  # text whose new pieces are merged together
 
 
 def byte_characters() -> list[str]:
@@ -174,12 +175,7 @@ class Tokenizer:
         self.of_byte = np.array([vocab[c] for c in chars], np.int32)
         self.pairs = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(model["merges"])}
         self.table = Pairs(self.pairs)
-        byte_of = {c: b for b, c in enumerate(chars)}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.bytes_of = [b""] * (1 + max([*vocab.values(), *self.special.values()]))
-        for token, i in [*vocab.items(), *self.special.items()]:
-            self.bytes_of[i] = (bytes(map(byte_of.__getitem__, token)) if all(c in byte_of for c in token)
-                                else token.encode())
         self.find = regex.compile(PATTERN).findall
         self.split = regex.compile("(" + "|".join(
             map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
@@ -220,41 +216,64 @@ class Tokenizer:
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of whole texts."""
+        split = [self._pieces(t) for t in texts]
+        if len(self.place) > CACHE_PIECES or len(self.tokens) > CACHE_TOKENS:
+            self._forget()
+        if new := [w for w in set().union(*split) if w not in self.place]:
+            self._learn(new)
         out = []
-        for lo in range(0, len(texts), TEXT_BATCH):
-            split = [self._pieces(t) for t in texts[lo:lo + TEXT_BATCH]]
-            if len(self.place) > CACHE_PIECES or len(self.tokens) > CACHE_TOKENS:
-                self._forget()
-            if new := [w for w in set().union(*split) if w not in self.place]:
-                self._learn(new)
-            for words in split:
-                at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
-                n = self.count[at]
-                end = np.cumsum(n)
-                where = np.repeat(self.first[at] - end + n, n) + np.arange(end[-1] if len(end) else 0)
-                out.append(self.tokens[where].astype("<u4"))
+        for words in split:
+            at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+            n = self.count[at]
+            end = np.cumsum(n)
+            where = np.repeat(self.first[at] - end + n, n) + np.arange(end[-1] if len(end) else 0)
+            out.append(self.tokens[where].astype("<u4"))
         return out
 
     def encode(self, text: str) -> np.ndarray:
         return self.encode_all([text])[0]
 
+
+class Decoder:
+    """The bytes of each id of the file's contents."""
+
+    def __init__(self, contents: str):
+        spec = json.loads(contents)
+        byte_of = {c: b for b, c in enumerate(byte_characters())}
+        ids = spec["model"]["vocab"] | {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.bytes_of = [b""] * (1 + max(ids.values()))
+        for token, i in ids.items():
+            self.bytes_of[i] = (bytes(map(byte_of.__getitem__, token)) if all(c in byte_of for c in token)
+                                else token.encode())
+
     def decode(self, ids: Iterable[int]) -> str:
         """The text of the ids; bytes that aren't UTF-8 become U+FFFD."""
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
 
-_LOADED: dict[int, Tokenizer] = {}
+_LOADED: dict[tuple, Tokenizer | Decoder] = {}
 
 
-def _loaded(contents: str) -> Tokenizer:
-    """One tokenizer a Python worker, whatever number of tasks it runs."""
-    key = hash(contents)
+def _loaded(kind: type, contents: str):
+    """One tokenizer or decoder a Python worker, whatever number of tasks it runs."""
+    key = kind.__name__, hash(contents)
     if key not in _LOADED:
         _LOADED.clear()
-        _LOADED[key] = Tokenizer(contents)
+        _LOADED[key] = kind(contents)
     return _LOADED[key]
 
 
+def _slices(b: pa.RecordBatch, col: pa.Array) -> Iterable[pa.RecordBatch]:
+    """The batch in runs of rows with at most ``SLICE_BYTES`` in ``col`` (or of one row)."""
+    end = np.cumsum(pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < b.num_rows:
+        base = end[at - 1] if at else 0
+        n = max(1, int(np.searchsorted(end, base + SLICE_BYTES, "right")) - at)
+        yield b.slice(at, n)
+        at += n
+
+
 def _contents(spark: SparkSession, path: str):
     """The file (a vocabulary, a few MB whatever the corpus) read by the driver and broadcast."""
     with open(path, encoding="utf-8") as f:
@@ -274,17 +293,20 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", out: str = "ids",
     is replaced), repeated rows stay repeated, an empty table gives an empty result."""
     held, names = _contents(docs.sparkSession, path), docs.columns
 
-    def run(b: pa.RecordBatch) -> dict:
-        t = _loaded(held.value)
-        ids = t.encode_all([x or "" for x in b.column(names.index(text_col)).to_pylist()])
-        cols = {n: b.column(i) for i, n in enumerate(names)}
-        if packed:
-            return cols | {out: [x.tobytes() for x in ids]}
-        ends = np.cumsum([0, *map(len, ids)])
-        if ends[-1] >= 1 << 31:
-            return cols | {out: ids}
-        flat = np.concatenate([np.empty(0, "<u4"), *ids]).astype(np.int32)
-        return cols | {out: pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))}
+    def run(batch: pa.RecordBatch) -> Iterable[dict]:
+        t = _loaded(Tokenizer, held.value)
+        for b in _slices(batch, batch.column(names.index(text_col))):
+            ids = t.encode_all([x or "" for x in b.column(names.index(text_col)).to_pylist()])
+            cols = {n: b.column(i) for i, n in enumerate(names)}
+            if packed:
+                yield cols | {out: [x.tobytes() for x in ids]}
+                continue
+            ends = np.cumsum([0, *map(len, ids)])
+            if ends[-1] >= 1 << 31:
+                yield cols | {out: ids}
+                continue
+            flat = np.concatenate([np.empty(0, "<u4"), *ids]).astype(np.int32)
+            yield cols | {out: pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))}
 
     return map_rows(docs, run, _with(docs, out, T.BinaryType() if packed else T.ArrayType(T.IntegerType())))
 
@@ -293,13 +315,14 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", out: str = "decoded")
     """``df`` with ``out``: the text of ``ids_col``, an array or packed binary (null: empty)."""
     held, names = _contents(df.sparkSession, path), df.columns
 
-    def run(b: pa.RecordBatch) -> dict:
-        t = _loaded(held.value)
-        col = b.column(names.index(ids_col))
-        binary = pa.types.is_binary(col.type) or pa.types.is_large_binary(col.type)
-        texts = [t.decode(np.frombuffer(x or b"", "<u4").tolist() if binary else x or ())
-                 for x in col.to_pylist()]
-        return {n: b.column(i) for i, n in enumerate(names)} | {out: texts}
+    def run(batch: pa.RecordBatch) -> Iterable[dict]:
+        t = _loaded(Decoder, held.value)
+        kind = batch.column(names.index(ids_col)).type
+        binary = pa.types.is_binary(kind) or pa.types.is_large_binary(kind)
+        for b in _slices(batch, batch.column(names.index(ids_col))) if binary else [batch]:
+            texts = [t.decode(np.frombuffer(x or b"", "<u4").tolist() if binary else x or ())
+                     for x in b.column(names.index(ids_col)).to_pylist()]
+            yield {n: b.column(i) for i, n in enumerate(names)} | {out: texts}
 
     return map_rows(df, run, _with(df, out, T.StringType()))
 

@@ -13,6 +13,7 @@ from shopflow.llm import bpe
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 OURS = bpe.Tokenizer(open(PATH, encoding="utf-8").read())
+BACK = bpe.Decoder(open(PATH, encoding="utf-8").read())
 THEIRS = tokenizers.Tokenizer.from_file(PATH)
 
 
@@ -53,13 +54,13 @@ def test_any_text(parts):
     text = "".join(parts).encode("utf-8", "ignore").decode()
     ids, back = want(text)
     assert OURS.encode(text).tolist() == ids
-    assert OURS.decode(ids) == back
+    assert BACK.decode(ids) == back
 
 
 @settings(max_examples=50, deadline=None)
 @given(st.lists(st.integers(0, 50256), max_size=20))
 def test_decode_any_ids(ids):
-    assert OURS.decode(ids) == THEIRS.decode(ids, skip_special_tokens=False)
+    assert BACK.decode(ids) == THEIRS.decode(ids, skip_special_tokens=False)
 
 
 @pytest.mark.parametrize("word", ["a" * 20000, "ab" * 9000, "é" * 5000, "the" * 4000])
