@@ -3,8 +3,8 @@
 Per document: word, symbol and repetition measures. Across documents: every line is
 normalised (ASCII lower case, words joined by one space) and hashed; a line found in
 more than ``max_docs`` documents of one host is boilerplate there and is removed.
-Documents are counted by their longest line, so that copies and near copies of one
-text count once and do not make each other's content look like boilerplate. A document
+Documents are counted by the hash of all their normalised lines in order, so that copies
+of one text count once and any other difference between two documents counts. A document
 that loses more than ``max_removed`` of its words is rejected as depleted.
 """
 
@@ -34,7 +34,7 @@ MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_r
 
 def measure(text: bytes) -> dict:
     """The base measures of one text, its lines' hashes and word counts, and the hash of
-    its longest line (most words; ties: the greatest in byte order)."""
+    all of them in order, equal for copies of one text only."""
     words = text.split()
     grams = list(zip(words, words[1:], words[2:]))
     repeated = 0
@@ -46,19 +46,18 @@ def measure(text: bytes) -> dict:
             covered[at + k] = True
         repeated = int(covered.sum())
     seen: set[bytes] = set()
-    dup, hashes, sizes, longest = 0, [], [], (0, b"")
+    dup, norms, sizes = 0, [], []
     for line in text.split(b"\n"):
         own = line.lower().split()
         if own:
             dup += line in seen
             seen.add(line)
-            norm = b" ".join(own)
-            longest = max(longest, (len(own), norm))
-            hashes.append(_hash(norm))
+            norms.append(b" ".join(own))
             sizes.append(len(own))
     return {"n_words": len(words), "word_chars": len(text.translate(None, _NOT_COUNTED)),
             "n_symbols": len(text) - len(text.translate(None, SYMBOLS)), "n_dup_lines": dup,
-            "n_repeat_words": repeated, "line_h": hashes, "line_n": sizes, "sig": _hash(longest[1])}
+            "n_repeat_words": repeated, "line_h": [_hash(n) for n in norms], "line_n": sizes,
+            "sig": _hash(b"\n".join(norms))}
 
 
 def _hash(norm: bytes) -> int:

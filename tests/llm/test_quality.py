@@ -74,6 +74,41 @@ def test_boilerplate_is_removed_and_depleted_documents_rejected(spark):
     assert not any(300 <= d < 325 for d in kept)
 
 
+def distinct(rows, limit):
+    """(doc_id, text, source) rows -> (doc_id, failed, removed, kept), counting every different
+    document (all its normalised lines) once, whatever its longest line is."""
+    def lines(t):
+        return [n for n in map(norm, (t or "").split("\n")) if n]
+
+    seen = {}
+    for _, t, s in rows:
+        for n in lines(t):
+            seen.setdefault((s, n), set()).add(tuple(lines(t)))
+    out = []
+    for d, t, s in rows:
+        m = base(t or "")
+        failed = m[0] < 50 or 100 * m[4] > 50 * m[0]
+        gone = sum(len(n.split(" ")) for n in lines(t) if len(seen[s, n]) > limit)
+        out.append((d, failed, gone, not failed and gone <= 0.7 * m[0]))
+    return sorted(out, key=str)
+
+
+def test_a_shared_line_longer_than_any_own_line_is_removed(spark):
+    footer = " ".join(f"legal{i}" for i in range(90))
+    menu = "Home About Contact our other shops"
+    own = [[" ".join(f"w{d}x{k}y{i}" for i in range(5)) for k in range(30)] for d in range(25)]
+    rows = [(d, "\n".join([menu, *own[d], footer]), "h") for d in range(25)]  # the longest lines are shared
+    rows += [(100 + d, "\n".join([menu, *own[d][:2], footer]), "depleted") for d in range(25)]
+    rows += [(200 + d, "\n".join([menu, *own[d], footer]), "few") for d in range(20)]
+    rows += [(300 + d, "\n".join([menu, *own[7], footer]), "copies") for d in range(40)]  # copies count once
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert sorted(((g[0], g[6], g[7], g[8]) for g in run(df)), key=str) == distinct(rows, 20)
+    kept = {r.doc_id: r.text for r in Q.clean(df).collect()}
+    assert all(kept[d] == "\n".join(own[d]) for d in range(25))
+    assert not any(100 <= d < 125 for d in kept)
+    assert all(kept[r[0]] == r[1] for r in rows[50:])
+
+
 def test_clean_keeps_columns_and_empty_tables(docs, no_docs):
     kept = Q.clean(docs)
     assert kept.columns == docs.columns
