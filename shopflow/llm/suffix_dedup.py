@@ -6,7 +6,9 @@ smaller id is removed; the first document keeps it.
 The suffixes are dealt to buckets in one shuffle: a suffix goes to the bucket of the least
 hash among the byte grams of its first ``min_len`` bytes, so equal strings meet in one
 bucket, and the suffixes of a run of positions with the same least gram travel as one
-block of text. Blocks that are equal byte for byte are combined first, per task and then
+block of text. Grams that are the least of very many blocks are counted beforehand; their
+suffixes travel one by one and are dealt by a hash of all ``min_len`` bytes, which equal
+strings share too, so no gram makes a large bucket. Blocks that are equal byte for byte are combined first, per task and then
 per bucket: all but the smallest document's are later copies. In a bucket, the suffixes
 left are sorted; the previous and next entries with a smaller document in suffix order,
 with the common prefixes on the way, give each suffix its longest previous factor, and
@@ -31,6 +33,7 @@ GRAM = 12  # bytes of a gram
 CHUNK_BYTES = 8 << 20  # text whose blocks a task holds before it sends them
 PIECE_BYTES = 1 << 20  # text hashed at a time
 BUCKET_BYTES = 4 << 20  # text of a bucket's suffixes, about
+HOT_BLOCKS = 1 << 15  # blocks of a gram from which its suffixes are dealt one by one
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -61,12 +64,23 @@ def window_min(h: np.ndarray, width: int) -> np.ndarray:
 def blocks(data: bytes, min_len: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(least gram, start, end) of the runs of suffixes of ``data`` with the same least gram:
     a run's suffixes start at [start, end), its text is data[start : end + min_len - 1]."""
-    arr = np.frombuffer(data, np.uint8)
-    m = window_min(gram_hashes(arr), min_len - GRAM + 1)
+    return _runs(gram_hashes(np.frombuffer(data, np.uint8)), min_len)
+
+
+def _runs(h: np.ndarray, min_len: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    m = window_min(h, min_len - GRAM + 1)
     start = np.flatnonzero(np.r_[True, m[1:] != m[:-1]])
     return m[start], start, np.r_[start[1:], len(m)]
 
 
+def whole_hashes(h: np.ndarray, at: np.ndarray, min_len: int) -> np.ndarray:
+    """A hash of the ``min_len`` bytes at each of ``at``, from the gram hashes ``h`` of the text."""
+    key = h[at].copy()
+    for k in (*range(GRAM, min_len - GRAM, GRAM), min_len - GRAM):
+        key = (key ^ (key >> np.uint64(31))) * _M2 + h[at + k]
+    return key
+
+
 def _pieces(doc: int, tag: int, text: bytes, min_len: int) -> Iterator[tuple[int, int, int, bytes]]:
     for at in range(0, len(text) - min_len + 1, PIECE_BYTES):
         yield doc, tag, at, text[at:at + PIECE_BYTES + min_len - 1]
@@ -191,10 +205,7 @@ def bucket_removals(doc, tag, start, size, text: bytes, min_len: int):
         own = np.repeat(left, n)
         at = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n) + starts[own]
         # then those whose whole first min_len bytes are (by a hash; the order below decides)
-        key = h[at].copy()
-        for k in (*range(GRAM, min_len - GRAM, GRAM), min_len - GRAM):
-            key = (key ^ (key >> np.uint64(31))) * _M2 + h[at + k]
-        many = _in_several(key, doc[own])
+        many = _in_several(whole_hashes(h, at, min_len), doc[own])
         own, at = own[many], at[many]
         if len(own):
             lpf = longest_previous_factors(_suffix_words(data, at, min_len), doc[own])
@@ -240,9 +251,52 @@ def _merge(doc, tag, lo, hi):
 
 # ---- jobs
 
-def _send(docs: DataFrame, n_buckets: int, min_len: int) -> DataFrame:
+def hot_grams(docs: DataFrame, min_len: int) -> tuple[np.ndarray, int]:
+    """The grams (in order) that are the least of more than ``HOT_BLOCKS`` blocks, and the number
+    of suffixes of those blocks. Equal blocks of a task's chunk count once, and a gram with one
+    block in a chunk isn't counted there: a passage is no reason to split its gram."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, taken = [], 0
+
+        def flush():
+            gram, size, key = (np.concatenate(c) for c in zip(*held))
+            one = np.unique(key, return_index=True)[1]
+            gram, at = np.unique(gram[one], return_inverse=True)
+            n, suffixes = np.bincount(at), np.bincount(at, size[one]).astype(np.int64)
+            many = n > 1
+            return pa.RecordBatch.from_arrays([pa.array(c[many]) for c in (gram.view(np.int64), n, suffixes)],
+                                              ["gram", "n", "suffixes"])
+
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                for _, _, _, piece in _pieces(0, 0, text, min_len):
+                    h = gram_hashes(np.frombuffer(piece, np.uint8))
+                    g, a, b = _runs(h, min_len)
+                    key = (g ^ (h[a] * _M1)) * _M2 + h[b - 1 + min_len - GRAM] + (b - a).astype(np.uint64)
+                    held.append((g, b - a, key))
+                    taken += len(piece)
+                    if taken >= CHUNK_BYTES:
+                        yield flush()
+                        held, taken = [], 0
+        if held:
+            yield flush()
+
+    rows = docs.select("text").mapInArrow(run, "gram long, n long, suffixes long").groupBy("gram").agg(
+        F.sum("n").alias("n"), F.sum("suffixes").alias("suffixes")).where(F.col("n") > HOT_BLOCKS).collect()
+    return np.sort(np.array([r.gram for r in rows], np.int64).view(np.uint64)), sum(r.suffixes for r in rows)
+
+
+def _among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    if not len(ordered):
+        return np.zeros(len(values), bool)
+    return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
+
+
+def _send(docs: DataFrame, n_buckets: int, min_len: int, hot: np.ndarray) -> DataFrame:
     """(kind, bucket, blob): blocks for a bucket (kind 0), and removals that a task has found
-    among its own documents (kind 1: blocks without text)."""
+    among its own documents (kind 1: blocks without text). Blocks of the grams ``hot`` are
+    sent as one block a suffix, dealt by the hash of its ``min_len`` bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -257,21 +311,34 @@ def _send(docs: DataFrame, n_buckets: int, min_len: int) -> DataFrame:
             first: dict[bytes, int] = {}
             gram, doc, tag, start, size, texts, gone, taken = [], [], [], [], [], [], [], 0
             for d, t, off, piece in pieces:
-                g, a, b = blocks(piece, min_len)
-                keep = []
+                h = gram_hashes(np.frombuffer(piece, np.uint8))
+                g, a, b = _runs(h, min_len)
+                split = _among(g, hot).tolist()
+                keep, single = [], []
                 for i, (x, y) in enumerate(zip(a.tolist(), (b + min_len - 1).tolist())):
                     text = piece[x:y]
                     if first.setdefault(text, d) < d:
                         gone.append((d, t, off + x, off + y))
+                    elif split[i]:
+                        single.extend(range(x, y - min_len + 1))
                     else:
                         keep.append(i)
                         texts.append(text)
-                gram.append(g[keep])
-                doc.append(np.full(len(keep), d))
-                tag.append(np.full(len(keep), t))
-                start.append(a[keep] + off)
-                size.append((b - a)[keep] + min_len - 1)
-                taken += len(piece)
+                sent = []
+                for x in single:
+                    text = piece[x:x + min_len]
+                    if first.setdefault(text, d) < d:
+                        gone.append((d, t, off + x, off + x + min_len))
+                    else:
+                        sent.append(x)
+                        texts.append(text)
+                sent = np.array(sent, np.int64)
+                gram += [g[keep], whole_hashes(h, sent, min_len)]
+                doc.append(np.full(len(keep) + len(sent), d))
+                tag.append(np.full(len(keep) + len(sent), t))
+                start += [a[keep] + off, sent + off]
+                size += [(b - a)[keep] + min_len - 1, np.full(len(sent), min_len)]
+                taken += len(piece) + len(single) * min_len
                 if taken >= CHUNK_BYTES:
                     yield from send(gram, doc, tag, start, size, texts, gone)
                     first, taken = {}, 0
@@ -362,9 +429,10 @@ def dedup(docs: DataFrame, min_len: int = MIN_LEN, id_col: str = "doc_id", text_
     tag = F.xxhash64("text") if (facts[0] or 0) > 1 else F.lit(0).cast("long")
     own = own.withColumn("tag", tag)
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n_buckets = max(n_parts, int(4 * (facts[1] or 0) / BUCKET_BYTES))
     long = own.where((F.octet_length("text") >= min_len) & F.col("doc_id").isNotNull()).select("doc_id", "tag", "text")
-    found = stage_table(_removals(_send(long, n_buckets, min_len), n_parts, min_len), "suffix-removals")
+    hot, singles = hot_grams(long, min_len)
+    n_buckets = max(n_parts, int((4 * (facts[1] or 0) + singles * min_len) / BUCKET_BYTES))
+    found = stage_table(_removals(_send(long, n_buckets, min_len, hot), n_parts, min_len), "suffix-removals")
     drop_shuffles(spark)
 
     def squeeze(batches):

@@ -68,6 +68,44 @@ def test_random_passages(spark, seed, monkeypatch):
     assert run(df, min_len=40) == brute([(d, t.encode()) for d, t in rows], 40)
 
 
+def test_a_gram_of_many_different_contexts_makes_no_large_bucket(spark, monkeypatch):
+    monkeypatch.setattr(S, "HOT_BLOCKS", 40, raising=False)
+    phrases = [f"phrase {i} of letters" for i in range(40)]
+
+    def top(p):  # the phrase's least gram
+        return int(S.gram_hashes(np.frombuffer(p.encode(), np.uint8)).min())
+
+    phrase = min(phrases, key=top)  # its gram is the least of most contexts
+    rng = random.Random(5)
+
+    def own():
+        return "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=60))
+
+    shared = [own() for _ in range(6)]
+    rows = [(d, own() + phrase + own()) for d in range(600)]
+    rows += [(1000 + d, own() + rng.choice(shared)[-40:] + phrase + rng.choice(shared)[:rng.randint(5, 60)] + own())
+             for d in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    seen, removals = [], S._removals
+
+    def spy(sent, *a):
+        count = {}
+        for r in sent.where("kind = 0").collect():
+            count[r.bucket] = count.get(r.bucket, 0) + len(S.unpack(bytes(r.blob))[0])
+        seen.append((max(count.values()), sum(count.values()) / len(count)))
+        return removals(sent, *a)
+
+    monkeypatch.setattr(S, "_removals", spy)
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")  # so many buckets
+    try:
+        got = run(df)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    assert got == brute(given(df), 50) and sum(r[2] for r in got) > 5000
+    assert seen[0][0] < 3 * seen[0][1], seen
+
+
 def test_blocks_cover_every_suffix_once():
     text = bytes(np.random.default_rng(1).integers(97, 100, 2000, np.uint8))
     _, start, end = S.blocks(text, 50)
