@@ -28,6 +28,16 @@ FORMS = {
 BASE = tuple(FORMS)
 KINDS = (*BASE, "iban", "ssn")
 
+# Characters of an IBAN by country: the registry's, and the countries' that use the form without it.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "AO CV GW LY MZ PT ST", 26: "DZ IR IS TR", 27: "BI CF CG CM DJ FR GA GQ GR IT KM MC MG MR SM TD",
+    28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+    31: "MT SC", 32: "LC", 33: "RU",
+}
+_IBAN = "|".join(rf"(?:{'|'.join(c.split())})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_LENGTHS.items())
+
 # kind: (pattern, replacement made before matching or None, text must match this at all)
 _RULES = {
     # a dot that no label character follows can't be part of a domain; "_" is, like the
@@ -38,10 +48,14 @@ _RULES = {
     # blanks or dashes next to each other end a number
     "card": (r"[0-9][0-9 -]*[0-9]", (r"(?<=[ -])[ -]|[ -](?=[ -])", "x"), r"[0-9](?:[ -]?[0-9]){12}"),
     "phone": (r"\+[0-9][ ().0-9-]+[0-9]", None, r"\+[0-9]"),
-    "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])", None, None),
+    # ends where the country's length says; only the head is consumed (_HEADS), so that one
+    # the checksum turns down hides none that starts inside it
+    "iban": (rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?=({_IBAN})(?![A-Za-z0-9]))[A-Z]{{2}}[0-9]{{2}}", None, None),
     "ssn": (r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", None, None),
 }
 
+_HEADS = {"iban": 4}  # kinds whose pattern looks ahead to the match (group 1): what it consumes
+
 # Scores: of a confirmed span, and what a context word within CONTEXT code points adds.
 SCORES = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.5, "iban": 0.9, "ssn": 0.4}
 CONTEXT = 40
@@ -110,7 +124,7 @@ def kind_spans(kind: str, text: Column) -> Column:
     none = F.array().cast(f"array<{_SPAN}>")
     t = F.regexp_replace(text, *change) if change else text
     pairs = F.arrays_zip(F.split(t, pattern, -1).alias("piece"),
-                         F.regexp_extract_all(t, F.lit(pattern), F.lit(0)).alias("match"))
+                         F.regexp_extract_all(t, F.lit(pattern), F.lit(1 if kind in _HEADS else 0)).alias("match"))
 
     def place(a: Column, x: Column) -> Column:
         start = a["pos"] + F.length(x["piece"])
@@ -118,9 +132,12 @@ def kind_spans(kind: str, text: Column) -> Column:
         own = F.substring(text, start + 1, F.length(x["match"]))
         span = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), own.alias("match"),
                         F.lit(0.0).alias("score"))
-        return F.struct(F.coalesce(end, start).alias("pos"), F.when(
-            x["match"].isNotNull() & _confirmed(kind, x["match"]), F.array_append(a["out"], span))
-            .otherwise(a["out"]).alias("out"))
+        found, after = x["match"].isNotNull() & _confirmed(kind, x["match"]), end
+        if kind in _HEADS:  # a span starts after the one before
+            found &= F.coalesce(F.get(a["out"], F.size(a["out"]) - 1)["end"] <= start, F.lit(True))
+            after = F.when(x["match"].isNotNull(), start + _HEADS[kind])
+        return F.struct(F.coalesce(after, start).alias("pos"),
+                        F.when(found, F.array_append(a["out"], span)).otherwise(a["out"]).alias("out"))
 
     first = F.struct(F.lit(0).alias("pos"), none.alias("out"))
     found = F.aggregate(pairs, first, place, lambda a: a["out"])

@@ -65,6 +65,21 @@ def test_checksums_context_and_scores(spark):
     assert got[4] == [("phone", "+49 30 1234567", 0.8)] and got[5] == [("phone", "+49 30 1234567", 0.5)]
 
 
+def test_an_iban_ends_at_its_countrys_length(spark):
+    de, gb, no = "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "NO93 8601 1117 947"
+    cases = {f"IBAN {de} BIC COBADEFFXXX": [de], f"account {gb} 2024-01-02": [gb], f"bank {no} EUR 100, {de} {gb} X": [no, de, gb],
+             f"bank FR12 {gb} 2024 0": [gb], f"😀 account: {de}\n{de}.": [de, de],
+             f"bank {de}1 x{de} ZZ89370400440532013000 {de[:-1]}": [], "iban MT84 MALT 0110 0001 2345 MTLC AST0 01S OK":
+             ["MT84 MALT 0110 0001 2345 MTLC AST0 01S"]}
+    df = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    for r in P.find(df).collect():
+        got = [s for s in r.spans if s.kind == "iban"]
+        assert [s.match for s in got] == cases[r.text], r.text
+        assert all(r.text[s.start:s.end] == s.match for s in got)
+    masked = {r.doc_id: r.text for r in P.mask(df).collect()}
+    assert masked[0] == "IBAN [IBAN] BIC COBADEFFXXX" and masked[1] == "account [IBAN] 2024-01-02"
+
+
 def test_mask(spark):
     rows = [(1, "é a@b.de, 1.2.3.4; +4111 1111 1111 1111!"), (2, None), (3, ""), (4, "nothing")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
