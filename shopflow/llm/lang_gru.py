@@ -7,8 +7,8 @@ a word's labels depend on the word alone and are computed once for all its occur
 a task; the text is read whole.
 
 Training is backpropagation through time in numpy on the driver, over a sample whose
-size is bounded by ``DOCS_PER_LANG``, ``WORDS_PER_DOC`` and ``MAX_LANGS`` and is drawn by
-hashes, so reruns agree.
+size is bounded for each language by ``DOCS_PER_LANG`` and ``WORDS_PER_DOC`` and is drawn by
+hashes, so reruns agree. Every language with a labelled document is learned.
 """
 
 from __future__ import annotations
@@ -23,7 +23,6 @@ from shopflow.llm.common import map_rows, read_table
 
 DOCS_PER_LANG = 200  # labelled documents of a language in the training sample, at most
 WORDS_PER_DOC = 48  # words of each, spread over the whole text
-MAX_LANGS = 64  # languages learned: those with the most labelled documents
 MAX_WORD = 32  # bytes read with one state
 HIDDEN = 16
 EMBED = 12
@@ -31,7 +30,8 @@ EPOCHS = 5
 BATCH = 256
 RATE = 0.01
 SEED = 11
-CACHE_WORDS = 200_000  # labelled words remembered in a Python worker
+CACHE_WORDS = 200_000  # labelled words remembered in a Python worker, of at most
+CACHE_LANGS = 64  # languages; with more of them as many fewer words, here and in a batch
 UNKNOWN = "und"
 
 
@@ -154,13 +154,14 @@ class Labeller:
     def __init__(self, p: dict[str, np.ndarray]):
         self.p, self.place = p, {}
         self.sums = np.zeros((0, p["out"].shape[1]), np.float32)
+        self.share = min(1.0, CACHE_LANGS / self.sums.shape[1])
 
     def _learn(self, new: list[bytes]) -> None:
         new.sort(key=lambda w: (len(w), w))
         sums, i = [], 0
         while i < len(new):
             j, n = i, len(new[i])
-            while j < len(new) and len(new[j]) == n and j < i + 2048:
+            while j < len(new) and len(new[j]) == n and j < i + max(1, 2048 * self.share):
                 j += 1
             x = np.frombuffer(b"".join(new[i:j]), np.uint8).reshape(j - i, n)
             sums.append(byte_probabilities(self.p, x)[0].sum(1))
@@ -174,7 +175,7 @@ class Labeller:
         out = np.zeros((len(texts), self.sums.shape[1]))
         for lo in range(0, len(texts), 256):
             split = [words_of(t) for t in texts[lo:lo + 256]]
-            if len(self.place) > CACHE_WORDS:
+            if len(self.place) > CACHE_WORDS * self.share:
                 self.place, self.sums = {}, self.sums[:0]
             if new := [w for w in set().union(*split) if w not in self.place]:
                 self._learn(new)
@@ -210,13 +211,12 @@ def fit(docs: DataFrame) -> tuple[list[str], dict[str, np.ndarray] | None]:
     such document there are no languages."""
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))
                        & F.col("text").rlike(r"\p{L}"))
-    langs = [r.lang for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()]
+    langs = sorted(r.lang for r in known.select("lang").distinct().collect())
     if not langs:
         return [], None
-    langs.sort()
     first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = [r.doc_id for r in known.where(F.col("lang").isin(langs)).select("lang", "doc_id").withColumn(
-        "k", F.row_number().over(first)).where(F.col("k") <= DOCS_PER_LANG).select("doc_id").collect()]
+    ids = known.select("lang", "doc_id").withColumn(
+        "k", F.row_number().over(first)).where(F.col("k") <= DOCS_PER_LANG).select("doc_id")
 
     def pick(b: pa.RecordBatch) -> dict:
         out = []
@@ -227,7 +227,7 @@ def fit(docs: DataFrame) -> tuple[list[str], dict[str, np.ndarray] | None]:
             out.append([words[i] for i in sorted(at)])
         return {"doc_id": b.column(0), "lang": b.column(1), "words": out}
 
-    sample = known.where(F.col("doc_id").isin(ids)).select(
+    sample = known.select("doc_id", "lang", "text").join(F.broadcast(ids), "doc_id", "left_semi").select(
         F.col("doc_id").cast("long").alias("doc_id"), "lang", _lowered(F.col("text")).alias("t"))
     rows = map_rows(sample, pick, "doc_id long, lang string, words array<binary>").collect()
     rows.sort(key=lambda r: (r.doc_id, r.lang, r.words))

@@ -39,6 +39,19 @@ def test_without_labels_nothing_is_learned(spark, no_docs):
     assert [tuple(r) for r in L.predict(df, *L.fit(df)).collect()] == [(1, "und", 0.0)]
 
 
+def test_every_language_is_learned(spark):
+    """70 languages, each with letters of its own; the last six have the fewest documents."""
+    rng = np.random.default_rng(3)
+    rows = [(100 * k + d, " ".join(chr(0x4E00 + 40 * k + i) * 2 for i in rng.integers(0, 6, 60)), f"l{k:02}")
+            for k in range(70) for d in range(20 if k < 64 else 15)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    langs, weights = L.fit(df)
+    assert langs == [f"l{k:02}" for k in range(70)] and weights["out"].shape[1] == 70
+    pred = {r.doc_id: r.lang_pred for r in L.predict(df, langs, weights).collect()}
+    right = [pred[d] == lang for d, _, lang in rows if lang >= "l64"]
+    assert sum(right) > 0.7 * len(right), sum(right) / len(right)
+
+
 def test_only_training_rows_are_seen(spark, model):
     """Changing labels and texts of held-out rows changes nothing learned; reruns agree."""
     from pyspark.sql import functions as F
