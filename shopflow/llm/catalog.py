@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from shopflow.llm.bpe import op2_bpe
+from shopflow.llm.byte_piece import op12_byte_piece
 from shopflow.llm.embed_pigeonhole import op5_embed_pigeonhole
 from shopflow.llm.lang_gru import op3_lang_gru
 from shopflow.llm.licenses import op9_licenses
@@ -11,6 +12,7 @@ from shopflow.llm.pii import op7_pii
 from shopflow.llm.quality_lines import OP10_SQL, op10_quality_lines
 from shopflow.llm.simhash_pivots import op6_simhash_pivots
 from shopflow.llm.suffix_dedup import op1_suffix_dedup
+from shopflow.llm.whitening import op13_whitening
 from shopflow.llm.zip_warc import op8_zip_warc
 
 QUERIES = {
@@ -24,6 +26,8 @@ QUERIES = {
     "op8_zip_warc": op8_zip_warc,
     "op9_licenses": op9_licenses,
     "op10_quality_lines": op10_quality_lines,
+    "op12_byte_piece": op12_byte_piece,
+    "op13_whitening": op13_whitening,
 }
 ORACLES: dict[str, str] = {
     "op4_fair_mix": OP4_SQL,
