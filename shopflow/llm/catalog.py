@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from shopflow.llm.bpe import op2_bpe
 from shopflow.llm.byte_piece import op12_byte_piece
+from shopflow.llm.collocations import OP11_SQL, op11_collocations
 from shopflow.llm.embed_pigeonhole import op5_embed_pigeonhole
 from shopflow.llm.lang_gru import op3_lang_gru
 from shopflow.llm.licenses import op9_licenses
@@ -26,10 +27,12 @@ QUERIES = {
     "op8_zip_warc": op8_zip_warc,
     "op9_licenses": op9_licenses,
     "op10_quality_lines": op10_quality_lines,
+    "op11_collocations": op11_collocations,
     "op12_byte_piece": op12_byte_piece,
     "op13_whitening": op13_whitening,
 }
 ORACLES: dict[str, str] = {
     "op4_fair_mix": OP4_SQL,
     "op10_quality_lines": OP10_SQL,
+    "op11_collocations": OP11_SQL,
 }
