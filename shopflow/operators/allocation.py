@@ -75,10 +75,10 @@ def bucketed(requests: DataFrame, seq: str = "order_seq", buckets: int | None =
         raise ValueError(f"{seq} must be an integral sequence (the frame ends at seq - 1)")
     buckets = buckets or default_buckets(requests)
     splits = _bucket_splits(splits_from if splits_from is not None else requests, seq, buckets)
-    # handleInvalid="keep": a null sequence gets its own bucket instead of failing.
+    # A null sequence gets a bucket of its own, the last.
     return Bucketizer(splits=splits, inputCol="_seqd", outputCol="_bucket", handleInvalid="keep").transform(
         requests.withColumn("_seqd", F.col(seq).cast("double"))).drop("_seqd").withColumn(
-        "_bucket", F.col("_bucket").cast("int"))
+        "_bucket", F.coalesce(F.col("_bucket").cast("int"), F.lit(len(splits) - 1)))
 
 
 def demand_before(requests: DataFrame, seq: str = "order_seq", per_product: DataFrame | None = None) -> DataFrame:

@@ -187,4 +187,5 @@ def q_active_orders_union(spark, sf_dir):
 
 
 # Further registrations (imported last: they use ``register`` defined above).
-from shopflow.plans import catalog_changes, catalog_lists  # noqa: E402,F401
+from shopflow.plans import catalog_changes, catalog_lists  # noqa: E402,F401,I001
+from shopflow.plans import catalog_live  # noqa: E402,F401

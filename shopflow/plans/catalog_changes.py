@@ -17,7 +17,7 @@ from shopflow.plans.catalog import DATE_FROM, DATE_TO, _t, register
 from shopflow.plans.views import with_views
 from shopflow.session import scratch_path
 from shopflow.sources import driver, export, payloads
-from shopflow.streaming import live
+from shopflow.streaming import dashboard, live
 
 # ----------------------------------------------------------------- stand-in inputs
 # Stock for allocation (FIXTURES): p_size * 20, availability as in products.
@@ -454,11 +454,11 @@ SELECT COALESCE(l.status, o.status) AS status, COUNT(*) AS cnt
 FROM shop_orders o LEFT JOIN live l ON o.orderID = l.orderID
 GROUP BY COALESCE(l.status, o.status)""", "shop_orders", "status_events", extra=[_LIVE_STATE]))
 def q_live_status_counts(spark, sf_dir):
-    """Dashboard counts kept by the delta stream (stored counts + streamed moves)."""
+    """Dashboard counts kept by retraction from the stored ones."""
     t = _t(spark, sf_dir)
     ev = live.event_stream(spark, sf_dir)
-    base = live.run_live_dashboard(spark, ev, t.orders, f"live-dash-{uuid.uuid4().hex}")
-    return live.counts_from_deltas(spark, t.orders, base)
+    base = dashboard.run_live_dashboard(spark, ev, t.orders, f"live-dash-{uuid.uuid4().hex}")
+    return dashboard.status_counts(spark, base)
 
 
 @register("live_daily_sales", """

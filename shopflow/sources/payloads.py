@@ -8,7 +8,7 @@ empty ``items`` array all give ``has_items = false`` (rejected as an empty cart)
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,9 +22,32 @@ PAYLOAD = T.StructType([
 ])
 
 
-def parse_payloads(payloads: DataFrame, body: str = "body") -> DataFrame:
-    """Add the parsed ``doc`` struct (null fields for malformed text)."""
-    return payloads.withColumn("doc", F.from_json(F.col(body), PAYLOAD, {"mode": "PERMISSIVE"}))
+# Number tokens with an exponent, after the keys read as text.
+_EXPONENT = r'"(quantity|productID|table_number)"\s*:\s*-?[0-9]+(\.[0-9]+)?[eE][+-]?[0-9]+'
+_NUMBERS = ("table_number double, items array<struct<productID: double, quantity: double>>")
+LINE = T.StructType([T.StructField("order_seq", T.LongType()), T.StructField("EmployeeID", T.LongType()), *PAYLOAD])
+
+
+def parse_payloads(payloads: DataFrame, body: str = "body", schema: T.StructType = PAYLOAD) -> DataFrame:
+    """Add the parsed ``doc`` struct (null fields for malformed text). A number written with
+    an exponent becomes its plain digits, as a JSON reader would hand it to ``parseInt``."""
+    doc = F.from_json(F.col(body), schema, {"mode": "PERMISSIVE"})
+    return payloads.withColumn("doc", doc).withColumn(
+        "doc", F.when(F.col(body).rlike(_EXPONENT), _plain(F.col("doc"), F.from_json(F.col(body), _NUMBERS)))
+        .otherwise(F.col("doc")))
+
+
+def _plain(doc: Column, numbers: Column) -> Column:
+    """``doc`` with the texts of exponent numbers replaced by digits; texts in quotes stay
+    (as a number they read null)."""
+    def digits(text: Column, number: Column) -> Column:
+        return F.when(text.rlike("[eE]") & number.isNotNull(), number.cast("decimal(38,6)").cast("string")).otherwise(text)
+
+    items = F.transform(F.arrays_zip(doc["items"].alias("t"), numbers["items"].alias("n")), lambda z: F.struct(
+        digits(z["t"]["productID"], z["n"]["productID"]).alias("productID"),
+        digits(z["t"]["quantity"], z["n"]["quantity"]).alias("quantity")))
+    return (doc.withField("table_number", digits(doc["table_number"], numbers["table_number"]))
+            .withField("items", F.when(doc["items"].isNotNull(), items)))
 
 
 def read_order_payloads(payloads: DataFrame, body: str = "body") -> tuple[DataFrame, DataFrame]:
@@ -32,9 +55,10 @@ def read_order_payloads(payloads: DataFrame, body: str = "body") -> tuple[DataFr
 
     headers: order_seq, customer_name, table_number, EmployeeID, has_items.
     lines: order_seq, line_pos, productID, quantity (text). ``posexplode`` runs
-    per row inside the scan stage; no shuffle.
+    per row inside the scan stage; no shuffle. A frame that has been parsed already
+    (with ``doc``) isn't parsed again.
     """
-    p = parse_payloads(payloads, body)
+    p = payloads if "doc" in payloads.columns else parse_payloads(payloads, body)
     headers = p.select(
         "order_seq", F.col("doc.customer_name").alias("customer_name"),
         F.col("doc.table_number").alias("table_number"), "EmployeeID",
@@ -45,16 +69,16 @@ def read_order_payloads(payloads: DataFrame, body: str = "body") -> tuple[DataFr
     return headers, lines
 
 
+def parse_lines(lines: DataFrame, body: str = "value") -> DataFrame:
+    """One body a line -> (order_seq, EmployeeID, doc). The sequence of a line that is no
+    JSON is looked for in its text, so that its reject names the order."""
+    seq = F.regexp_extract(F.col(body), r'"order_seq"\s*:\s*"?([0-9]{1,18})', 1)
+    p = parse_payloads(lines, body, LINE)
+    return p.select(F.coalesce(F.col("doc.order_seq"), F.when(seq != "", seq).cast("long")).alias("order_seq"),
+                    F.col("doc.EmployeeID").alias("EmployeeID"), "doc")
+
+
 def read_payload_files(spark, path: str) -> DataFrame:
-    """JSON-lines files of payloads with ``order_seq`` and ``EmployeeID`` fields,
-    read with an explicit schema (no inference)."""
-    schema = T.StructType([
-        T.StructField("order_seq", T.LongType()),
-        T.StructField("EmployeeID", T.LongType()),
-        T.StructField("customer_name", T.StringType()),
-        T.StructField("table_number", T.StringType()),
-        T.StructField("items", PAYLOAD["items"].dataType),
-    ])
-    df = spark.read.schema(schema).json(path)
-    return df.select("order_seq", "EmployeeID",
-                     F.to_json(F.struct("customer_name", "table_number", "items")).alias("body"))
+    """JSON-lines files of payloads with ``order_seq`` and ``EmployeeID`` fields, parsed
+    once, for :func:`read_order_payloads`."""
+    return parse_lines(spark.read.text(path))

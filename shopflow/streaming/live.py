@@ -3,10 +3,11 @@ counts, daily sales, new-order detection).
 
 Sources are files only (no sockets): a directory read with an explicit schema
 and ``pathGlobFilter``; tests drain it with ``trigger(availableNow=True)``.
-Sinks use ``foreachBatch`` writing one sub-directory per batch id, so a retried
-batch overwrites its own output (idempotent) and survives executor loss, and compact
-them (:class:`Changelog`); all of it lies under the session's shared
-``spark.checkpoint.dir``. No Python function runs on executors.
+Sinks use ``foreachBatch`` writing under their batch id, so a retried batch overwrites
+its own output (idempotent) and survives executor loss. What a stream remembers is a
+:class:`~shopflow.streaming.state.KeyedState`: a batch reads and rewrites only the buckets
+of its keys. All of it lies under the session's shared ``spark.checkpoint.dir``. No Python
+function runs on executors.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.sql import types as T
 
 from shopflow.session import scratch_path
 from shopflow.sources.driver import status_events_from
+from shopflow.streaming.state import KeyedState
 
 EVENTS = T.StructType([
     T.StructField("event_id", T.LongType()),
@@ -49,55 +51,20 @@ def latest_status(updates: DataFrame) -> DataFrame:
         F.col("_last.event_id").alias("event_id"))
 
 
-# ------------------------------------------------------------ changelog
-# Batches between two compactions: a read then sees one snapshot and so many folders.
-COMPACT_EVERY = 64
-
-
-class Changelog:
-    """A keyed table as written by a stream: one folder per batch under ``batches/`` and,
-    every ``COMPACT_EVERY`` batches, a snapshot of the latest row per key under
-    ``snapshots/``. Readers take the newest snapshot and the batches after it, so
-    neither folders nor rows pile up with the triggers. A retried batch overwrites its
-    own folder, and a batch reads only what earlier batches wrote."""
-
-    def __init__(self, spark: SparkSession, path: str, key: str):
-        self.spark, self.path, self.key = spark, path, key
-
-    def _folders(self, kind: str, name: str) -> list[int]:
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{kind}")
-        fs = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(p):
-            return []
-        done = [x.getPath() for x in fs.listStatus(p)]
-        return sorted(int(x.getName().split("=")[1]) for x in done if x.getName().startswith(name + "=")
-                      and fs.exists(jvm.org.apache.hadoop.fs.Path(x, "_SUCCESS")))
-
-    def current(self, before: int | None = None) -> DataFrame | None:
-        """The latest row per key (before batch ``before``), or None when there is none."""
-        snaps = [n for n in self._folders("snapshots", "upto") if before is None or n < before]
-        upto = snaps[-1] if snaps else -1
-        later = [n for n in self._folders("batches", "batch_id") if n > upto and (before is None or n < before)]
-        parts = [f"{self.path}/snapshots/upto={upto}"] * bool(snaps) + [
-            f"{self.path}/batches/batch_id={n}" for n in later]
-        if not parts:
-            return None
-        log = self.spark.read.parquet(*parts)
-        rest = [c for c in log.columns if c not in (self.key, "batch_id")]
-        return log.groupBy(self.key).agg(F.max(F.struct("batch_id", *rest)).alias("_l")).select(
-            self.key, *[F.col("_l")[c].alias(c) for c in ("batch_id", *rest)])
-
-    def write(self, rows: DataFrame, batch_id: int) -> None:
-        rows.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(
-            f"{self.path}/batches/batch_id={batch_id}")
-        if batch_id % COMPACT_EVERY == COMPACT_EVERY - 1:
-            self.current(batch_id + 1).write.mode("overwrite").parquet(f"{self.path}/snapshots/upto={batch_id}")
+# ------------------------------------------------------------ keyed state
+STATUS = ("orderID long, status string, raw_status string, ts timestamp_ntz, event_id long, order_type string, "
+          "stored string, amount decimal(10,2), day date")
+DAYS = "day date, orders long, sales decimal(22,2)"
+
+
+def status_state(spark: SparkSession, path: str) -> KeyedState:
+    """The latest status per order, with what the streams need to know of the order."""
+    return KeyedState(spark, path, "orderID", STATUS)
 
 
 def run_live_status(spark: SparkSession, events: DataFrame, orders: DataFrame, name: str,
                     trigger: dict | None = None) -> str:
-    """Run the live status stream into a changelog; returns its path.
+    """Run the live status stream into a keyed state; returns its path.
 
     The stream keeps the latest (ts, event_id, status) per order as state, combined per
     task before the shuffle, so one hot order is one row a task. Each micro-batch's
@@ -105,12 +72,11 @@ def run_live_status(spark: SparkSession, events: DataFrame, orders: DataFrame, n
     ``trigger`` defaults to availableNow (drain and stop); the kitchen runs it
     with ``{"processingTime": "5 seconds"}``.
     """
-    path = scratch_path(spark, f"{name}/changelog")
+    path = scratch_path(spark, f"{name}/status")
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        log = Changelog(batch.sparkSession, path, "orderID")
-        log.write(status_moves(batch, log.current(batch_id), orders).select(
-            "orderID", "status", "raw_status", "ts", "event_id", "order_type", "stored"), batch_id)
+        log = status_state(batch.sparkSession, path)
+        log.write(status_moves(batch, log.read(batch, batch_id), orders), batch_id)
 
     _run(latest_status(_updates(events)), step, name, spark, trigger)
     return path
@@ -120,7 +86,7 @@ def _updates(events: DataFrame) -> DataFrame:
     return status_events_from(events).select("orderID", "status", "ts", "event_id")
 
 
-def _run(stream: DataFrame, step, name: str, spark: SparkSession, trigger: dict | None) -> None:
+def _run(stream: DataFrame, step, name: str, spark: SparkSession, trigger: dict | None, mode: str = "update") -> None:
     def held(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
         try:
@@ -128,45 +94,39 @@ def _run(stream: DataFrame, step, name: str, spark: SparkSession, trigger: dict
         finally:
             batch.unpersist()
 
-    q = (stream.writeStream.queryName(_qname(name)).outputMode("update").foreachBatch(held)
+    q = (stream.writeStream.queryName(_qname(name)).outputMode(mode).foreachBatch(held)
          .option("checkpointLocation", scratch_path(spark, f"{name}/checkpoint"))
          .trigger(**(trigger or {"availableNow": True})).start())
     if not trigger:
         q.awaitTermination()
 
 
-def status_moves(batch: DataFrame, known: DataFrame | None, orders: DataFrame | None) -> DataFrame:
+def status_moves(batch: DataFrame, known: DataFrame, orders: DataFrame | None) -> DataFrame:
     """The orders of a micro-batch whose latest update is new: ``prev_status`` (null the first
-    time) and ``status``, both after the walk-in rule; ``raw_status``, ``order_type`` and
-    ``stored`` (the status in ``orders``).
+    time) and ``status``, both after the walk-in rule, and the columns of ``STATUS``.
 
-    ``known`` is the changelog's latest row per order, which carries order type and
-    stored status; ``orders`` is read only for orders that it lacks, and unknown ones
-    are dropped. Without ``orders`` there is no rule and no order is dropped."""
+    ``known`` holds what the state has of the batch's orders (order type, stored status,
+    amount and day, too); ``orders`` is read only for orders that it lacks, and unknown
+    ones are dropped. Without ``orders`` there is no rule and no order is dropped."""
     from shopflow.operators.changes import walkin_rule
 
-    cols = ["orderID", F.col("status").alias("raw_status"), "ts", "event_id"]
-    old = ["order_type", "stored", "prev_status", "_ts", "_id"]
-    none = [F.lit(None).cast(t).alias(c) for c, t in zip(old, ("string", "string", "string", "timestamp_ntz", "long"))]
-    if known is None:
-        seen, fresh = None, batch.select(*cols, *none)
-    else:
-        k = known.select("orderID", "order_type", "stored", F.col("status").alias("prev_status"),
-                         F.col("ts").alias("_ts"), F.col("event_id").alias("_id"))
-        j = batch.select(*cols).join(k, "orderID", "left")
-        seen, fresh = j.filter(F.col("_id").isNotNull()), j.filter(F.col("_id").isNull())
+    of_order = ["order_type", "stored", "amount", "day"]
+    k = known.select("orderID", *of_order, F.col("status").alias("prev_status"),
+                     F.col("ts").alias("_ts"), F.col("event_id").alias("_id"))
+    j = batch.select("orderID", F.col("status").alias("raw_status"), "ts", "event_id").join(k, "orderID", "left")
+    seen, fresh = j.filter(F.col("_id").isNotNull()), j.filter(F.col("_id").isNull())
     if orders is not None and not fresh.isEmpty():
-        kinds = orders.select("orderID", "order_type", F.col("status").alias("stored"))
-        fresh = fresh.drop("order_type", "stored").join(kinds, "orderID", "inner")
-    moves = fresh if seen is None else seen.unionByName(fresh)
+        kinds = orders.select("orderID", "order_type", F.col("status").alias("stored"),
+                              F.col("totalAmount").alias("amount"), F.to_date("orderDateTime").alias("day"))
+        fresh = fresh.drop(*of_order).join(kinds, "orderID", "inner")
     newer = F.col("_id").isNull() | (F.struct("ts", "event_id") > F.struct(F.col("_ts").alias("ts"), F.col("_id").alias("event_id")))
     status = F.col("raw_status") if orders is None else walkin_rule(F.col("raw_status"), F.col("order_type"))
-    return moves.filter(newer).withColumn("status", status).drop("_ts", "_id")
+    return seen.unionByName(fresh).filter(newer).withColumn("status", status).drop("_ts", "_id")
 
 
 def current_from_changelog(spark: SparkSession, path: str) -> DataFrame:
     """The stream's latest status per order."""
-    return Changelog(spark, path, "orderID").current().select("orderID", "status")
+    return status_state(spark, path).rows().select("orderID", "status")
 
 
 def orders_with_live_status(orders: DataFrame, current: DataFrame) -> DataFrame:
@@ -199,14 +159,14 @@ def daily_sales_stream(events: DataFrame) -> DataFrame:
 
 
 def run_daily_sales(spark: SparkSession, events: DataFrame, name: str) -> str:
-    path = scratch_path(spark, f"{name}/changelog")
+    path = scratch_path(spark, f"{name}/days")
     _run(daily_sales_stream(events),
-         lambda batch, n: Changelog(batch.sparkSession, path, "day").write(batch, n), name, spark, None)
+         lambda batch, n: KeyedState(batch.sparkSession, path, "day", DAYS).write(batch, n), name, spark, None)
     return path
 
 
 def daily_sales_from_changelog(spark: SparkSession, path: str) -> DataFrame:
-    return Changelog(spark, path, "day").current().select("day", "orders", "sales")
+    return KeyedState(spark, path, "day", DAYS).rows()
 
 
 # ------------------------------------------------------------ new orders
@@ -236,68 +196,30 @@ def run_new_order_stream(spark: SparkSession, events: DataFrame, name: str,
     the queue was not empty before the batch.
 
     Each batch sees only the orders whose status changed, with their previous status
-    from the changelog; the queue size before it is carried in a one-row table per
+    from the state; the queue size before it is carried in a one-row table per
     batch. Output per batch id under ``{base}/new``."""
     base = scratch_path(spark, name)
 
     def step(batch: DataFrame, batch_id: int) -> None:
         sess = batch.sparkSession
-        log, size = Changelog(sess, f"{base}/status", "orderID"), Changelog(sess, f"{base}/queue", "k")
-        moves = status_moves(batch, log.current(batch_id), None).persist()
+        log = status_state(sess, f"{base}/status")
+        size = KeyedState(sess, f"{base}/queue", "k", "k int, n long", buckets=1)
+        moves = status_moves(batch, log.read(batch, batch_id), None).persist()
         was = F.coalesce(F.col("prev_status").isin(*QUEUE), F.lit(False))
         now = F.col("status").isin(*QUEUE)
-        held = size.current(batch_id)
-        before = held.first()["n"] if held is not None else 0
+        held = size.rows(batch_id).first()
+        before = held["n"] if held else 0
         delta = moves.agg(F.coalesce(F.sum(now.cast("long") - was.cast("long")), F.lit(0)).alias("d"))
         size.write(delta.select(F.lit(0).alias("k"), (F.col("d") + before).alias("n")), batch_id)
         entered = moves.filter(now & ~was).select("orderID")
         (entered if before > 0 else entered.limit(0)).write.mode("overwrite").parquet(f"{base}/new/batch_id={batch_id}")
-        log.write(moves.select("orderID", "status", "raw_status", "ts", "event_id", "order_type", "stored"), batch_id)
+        log.write(moves, batch_id)
         moves.unpersist()
 
     _run(latest_status(_updates(events)), step, name, spark, trigger)
     return base
 
 
-def run_live_dashboard(spark: SparkSession, events: DataFrame, orders: DataFrame, name: str,
-                       trigger: dict | None = None) -> str:
-    """Status counts kept current by deltas (the dashboard polls every 30 s:
-    pass ``{"processingTime": "30 seconds"}``).
-
-    Each micro-batch holds only the orders whose status changed. Their old status (after
-    the previous update, else as stored) loses one, the new one gains one, both after
-    the walk-in rule. The running delta per status is a small changelog under
-    ``{base}/deltas``; counts are the stored counts plus it (:func:`counts_from_deltas`)."""
-    base = scratch_path(spark, name)
-
-    def step(batch: DataFrame, batch_id: int) -> None:
-        sess = batch.sparkSession
-        log, sums = Changelog(sess, f"{base}/status", "orderID"), Changelog(sess, f"{base}/deltas", "status")
-        moves = status_moves(batch, log.current(batch_id), orders).persist()
-        old = F.coalesce("prev_status", "stored")
-        delta = moves.select(F.explode(F.array(
-            F.struct(old.alias("status"), F.lit(-1).cast("long").alias("delta")),
-            F.struct(F.col("status"), F.lit(1).cast("long").alias("delta")))).alias("m")).select("m.*")
-        held = sums.current(batch_id)
-        if held is not None:
-            delta = delta.unionByName(held.select("status", "delta"))
-        sums.write(delta.groupBy("status").agg(F.sum("delta").alias("delta")), batch_id)
-        log.write(moves.select("orderID", "status", "raw_status", "ts", "event_id", "order_type", "stored"), batch_id)
-        moves.unpersist()
-
-    _run(latest_status(_updates(events)), step, name, spark, trigger)
-    return base
-
-
-def counts_from_deltas(spark: SparkSession, orders: DataFrame, base: str) -> DataFrame:
-    """Stored status counts plus the streamed deltas (one row per status)."""
-    stored = orders.groupBy("status").agg(F.count(F.lit(1)).alias("delta"))
-    d = Changelog(spark, f"{base}/deltas", "status").current()
-    allrows = stored if d is None else stored.unionByName(d.select("status", "delta"))
-    return (allrows.groupBy("status").agg(F.sum("delta").cast("long").alias("cnt"))
-            .filter(F.col("cnt") != 0))
-
-
 def _qname(name: str) -> str:
     """Streams are named after their output folder, so a long-running one can be
     found in ``spark.streams.active`` and stopped."""

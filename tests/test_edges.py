@@ -14,7 +14,7 @@ from shopflow.operators import changes, filters, inventory, quality, reports
 from shopflow.operators.allocation import stock_allocation
 from shopflow.schema import EMPLOYEES, ORDER_ITEMS, ORDERS, Tables
 from shopflow.sources import export, payloads
-from shopflow.streaming import live
+from shopflow.streaming import dashboard, live
 
 TS = dt.datetime(2024, 1, 1, 9, 0)
 
@@ -520,8 +520,8 @@ def test_live_dashboard_deltas_equal_batch_counts(spark, tmp_path):
         os.link(f, d / f"events-{i}.parquet")
         os.utime(d / f"events-{i}.parquet", (1_700_000_000 + i, 1_700_000_000 + i))
     stream = live.event_stream(spark, str(d), glob="events-*.parquet", max_files=1)
-    base = live.run_live_dashboard(spark, stream, o, f"dash-{os.getpid()}")
-    got = {r.status: r.cnt for r in live.counts_from_deltas(spark, o, base).collect()}
+    base = dashboard.run_live_dashboard(spark, stream, o, f"dash-{os.getpid()}")
+    got = {r.status: r.cnt for r in dashboard.status_counts(spark, base).collect()}
     from shopflow.sources.driver import status_events_from
     want = {r.status: r.cnt for r in reports.order_status_counts(
         changes.status_apply(o, status_events_from(spark.createDataFrame(rows, live.EVENTS)))).collect()}
