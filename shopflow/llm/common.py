@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -60,6 +60,12 @@ def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[dict] | dict
     return df.mapInArrow(run, fields)
 
 
+def row_key(*names: str) -> Column:
+    """A 64-bit hash of the columns. Spark's hash passes over nulls, so where they stand is
+    hashed too: (1, null, 'a') and (1, 'a', null) differ."""
+    return F.xxhash64(*names, *[F.col(n).isNull() for n in names])
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an edge list: (node, root), root the smallest node id.
 

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shopflow.llm.common import map_rows, read_table, stage_table
+from shopflow.llm.common import map_rows, read_table, row_key, stage_table
 
 SEED = 42  # of XXH64, as Spark's xxhash64() has it
 MIN_WORDS = 50
@@ -66,7 +66,7 @@ def _hash(norm: bytes) -> int:
 
 
 def _row_key() -> Column:
-    return F.xxhash64("doc_id", "source", "text")
+    return row_key("doc_id", "source", "text")
 
 
 def measures(docs: DataFrame) -> DataFrame:
@@ -156,13 +156,13 @@ twice AS (
 rep AS (
   SELECT r, count(DISTINCT i + k) AS n FROM twice, unnest([0, 1, 2]) AS u(k) GROUP BY r),
 raw AS (
-  SELECT r, host, doc_id, l, {_WORDS.format(_LOWER.format("l"))} AS lw
-  FROM (SELECT r, host, doc_id, unnest(string_split(t, chr(10))) AS l FROM d)),
+  SELECT r, host, doc_id, i, l, {_WORDS.format(_LOWER.format("l"))} AS lw
+  FROM (SELECT r, host, doc_id, unnest(string_split(t, chr(10))) AS l,
+               generate_subscripts(string_split(t, chr(10)), 1) AS i FROM d)),
 line AS (
-  SELECT r, host, doc_id, l, len(lw) AS n, array_to_string(lw, ' ') AS norm FROM raw WHERE len(lw) > 0),
+  SELECT r, host, doc_id, i, l, len(lw) AS n, array_to_string(lw, ' ') AS norm FROM raw WHERE len(lw) > 0),
 dup AS (SELECT r, count(*) - count(DISTINCT l) AS n FROM line GROUP BY r),
-sig AS (
-  SELECT r, norm AS s FROM line QUALIFY row_number() OVER (PARTITION BY r ORDER BY n DESC, norm DESC) = 1),
+sig AS (SELECT r, string_agg(norm, chr(10) ORDER BY i) AS s FROM line GROUP BY r),
 common AS (
   SELECT host, norm FROM line JOIN sig USING (r) GROUP BY host, norm
   HAVING count(DISTINCT s) > {MAX_DOCS_PER_HOST}),
