@@ -15,10 +15,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from shopflow.llm.common import map_rows, read_table, stage_table
+from shopflow.llm.common import map_rows, read_table, row_key, stage_table
 
 WEIGHTS = (5, 2, 1)  # by source in code point order, repeating
 MAX_REPEATS = 3
+UNFOLD = 1 << 14  # equal rows written out by one task
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -28,7 +29,7 @@ def sizes(docs: DataFrame) -> DataFrame:
         return {n: b.column(i) for i, n in enumerate(("rk", "doc_id", "source"))} | {
             "size": [len((t or b"").split()) for t in b.column(3).to_pylist()]}
 
-    return map_rows(docs.select(F.xxhash64("doc_id", "source", "text").alias("rk"),
+    return map_rows(docs.select(row_key("doc_id", "source", "text").alias("rk"),
                                 F.col("doc_id").cast("long").alias("doc_id"),
                                 F.col("source").cast("string").alias("source"),
                                 F.col("text").cast("binary").alias("t")),
@@ -127,10 +128,13 @@ def mix(docs: DataFrame, budget: int | None = None, weights: tuple = WEIGHTS,
     takes of it, repeats counted). Equal rows share what is taken of them evenly."""
     copies, rows = schedule(docs, budget, weights, max_repeats)
     taken = copies.groupBy("rk").agg(F.sum("served").alias("t"))
-    many = Window.partitionBy("rk").orderBy("doc_id")
-    rows = rows.join(taken, "rk", "left").withColumn("t", F.coalesce("t", F.lit(0)))
-    n, k = F.count("*").over(Window.partitionBy("rk")), F.row_number().over(many)
-    return rows.withColumn("n", n).withColumn("k", k).select(
+    # equal rows as one entry, unfolded in blocks: no task holds them all
+    same = ["rk", "doc_id", "size", "source_size", "target"]
+    entries = rows.groupBy(*same).agg(F.count("*").alias("n")).join(taken, "rk", "left").withColumn(
+        "t", F.coalesce("t", F.lit(0)))
+    blocks = entries.withColumn("b", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / UNFOLD)))).repartition("rk", "b")
+    last = F.least(F.col("n"), (F.col("b") + 1) * UNFOLD)
+    return blocks.withColumn("k", F.explode(F.sequence(F.col("b") * UNFOLD + 1, last))).select(
         "doc_id", "size", "source_size", "target",
         (F.floor(F.col("t") / F.col("n")) + (F.col("k") <= F.col("t") % F.col("n")).cast("long")).cast("long")
         .alias("taken"))
@@ -143,11 +147,16 @@ def mixed_documents(docs: DataFrame, budget: int | None = None, weights: tuple =
     of its target."""
     copies, _ = schedule(docs, budget, weights, max_repeats)
     n = copies.where(F.col("served") * 2 >= F.col("size")).groupBy("rk").agg(F.count("*").alias("__n"))
-    keyed = docs.withColumn("__rk", F.xxhash64("doc_id", "source", "text"))
-    one = Window.partitionBy("__rk").orderBy(F.lit(0))
-    # of equal rows, the first k get one copy more
-    rows = keyed.join(n.withColumnRenamed("rk", "__rk"), "__rk").withColumn("__k", F.row_number().over(one)).withColumn(
-        "__m", F.count("*").over(Window.partitionBy("__rk")))
+    # of equal rows, the first k get one copy more; they are numbered by the parts of the
+    # table they lie in, so a row that is a third of it is numbered in many tasks
+    keyed = stage_table(docs.withColumn("__rk", row_key("doc_id", "source", "text")).withColumn(
+        "__p", F.spark_partition_id()), "mix-rows").join(n.withColumnRenamed("rk", "__rk"), "__rk")
+    own = keyed.groupBy("__rk", "__p").agg(F.count("*").alias("__c"))
+    of_key = Window.partitionBy("__rk")
+    own = own.withColumn("__m", F.sum("__c").over(of_key)).withColumn("__base", F.coalesce(F.sum("__c").over(
+        of_key.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__c")
+    here = F.row_number().over(Window.partitionBy("__rk", "__p").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])))
+    rows = keyed.withColumn("__k", here).join(own, ["__rk", "__p"]).withColumn("__k", F.col("__k") + F.col("__base"))
     times = F.floor(F.col("__n") / F.col("__m")) + (F.col("__k") <= F.col("__n") % F.col("__m")).cast("long")
     return rows.withColumn("__t", times).where("__t > 0").withColumn(
         "__i", F.explode(F.sequence(F.lit(1), F.col("__t")))).select(*[F.col(f"`{c}`") for c in docs.columns])

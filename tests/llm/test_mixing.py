@@ -70,3 +70,20 @@ def test_mixed_documents_are_whole(docs):
 
 def test_empty_table(no_docs):
     assert M.mix(no_docs).count() == 0 and M.mixed_documents(no_docs).count() == 0
+
+
+def test_null_and_text_swapped_are_two_rows(spark):
+    df = spark.createDataFrame([(1, None, "a"), (1, "a", None), (2, "a b", "x")], "doc_id long, text string, source string")
+    got = sorted((r.doc_id, r.size, r.taken) for r in M.mix(df).collect())
+    assert all(t == 0 for _, n, t in got if n == 0) and [g[:2] for g in got] == [(1, 0), (1, 1), (2, 2)]
+
+
+def test_a_row_repeated_very_often(spark, monkeypatch):
+    monkeypatch.setattr(M, "UNFOLD", 1000)
+    df = spark.range(100_000).selectExpr("7L AS doc_id", "'one two' AS text", "'s' AS source", "id AS extra").unionAll(
+        spark.range(5).selectExpr("id AS doc_id", "'x y z' AS text", "'t' AS source", "id AS extra"))
+    r = M.mix(df).selectExpr("count(*) AS n", "sum(taken) AS t", "max(if(doc_id = 7 AND size = 2, taken, 0)) AS most").first()
+    assert r.n == 100_005 and abs(r.t - 200_015) <= 2 and r.most <= 6
+    kept = M.mixed_documents(df)
+    assert kept.columns == df.columns
+    assert abs(kept.selectExpr("sum(size(split(text, ' '))) AS n").first().n - 200_015) <= 8
