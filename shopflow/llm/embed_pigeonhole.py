@@ -199,17 +199,28 @@ def near_duplicates(vectors: DataFrame, min_cosine: float = MIN_COSINE, id_col:
     """(vec_id, n_links, component_id, kept), one row per input row.
 
     Equal vectors are one class while searching; each counts as a link of the others.
-    Vectors that are null, zero, hold null or non-finite components, have another length
-    than the most common one, or a null id link with nothing and are their own component.
+    Vectors link with those of their length; each length is joined on its own. Vectors that
+    are null, zero, hold null or non-finite components, or have a null id link with nothing
+    and are their own component.
     Other columns are ignored; an empty table gives an empty result."""
     if not 0.5 <= min_cosine <= 1:
         raise ValueError("min_cosine must be from 0.5 to 1")
     spark = vectors.sparkSession
     ship_package(spark)
     own = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("v"))
-    common = own.where(F.size("v") > 0).groupBy(F.size("v").alias("n")).count().orderBy(
-        F.desc("count"), "n").first()
-    dim = common.n if common else 0
+    size = F.coalesce(F.size("v"), F.lit(0))
+    sizes = sorted(r.n for r in own.select(size.alias("n")).distinct().collect())  # lengths, not rows
+    parts = [_of_length(own.where(size == n), n, min_cosine) for n in sizes if n > 0]
+    out = own.where(size <= 0).select("vec_id", F.lit(0).cast("long").alias("n_links"),
+                                      F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    for part in parts:
+        out = out.unionByName(part)
+    return out
+
+
+def _of_length(own: DataFrame, dim: int, min_cosine: float) -> DataFrame:
+    """(vec_id, n_links, component_id, kept) of vectors (vec_id, v) that all have ``dim`` entries."""
+    spark = own.sparkSession
 
     def read(b: pa.RecordBatch) -> dict:
         rows, m = _matrix(b.column(1), dim)

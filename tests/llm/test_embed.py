@@ -7,11 +7,11 @@ from shopflow.llm import embed_pigeonhole as E
 
 def brute(rows, least=0.95):
     n = max((len(v) for _, v in rows if v), default=0)
-    ok = [i is not None and v is not None and len(v) == n and None not in v and bool(np.isfinite(v).all()) and any(v)
-          for i, v in rows]
-    u = np.array([np.array(v, float) / np.linalg.norm(np.array(v, float)) if g else np.zeros(n)
+    ok = [i is not None and v is not None and None not in v and bool(np.isfinite(v).all()) and any(v) for i, v in rows]
+    u = np.array([np.pad(np.array(v, float) / np.linalg.norm(np.array(v, float)), (0, n - len(v))) if g else np.zeros(n)
                   for (_, v), g in zip(rows, ok)])
-    link = (u @ u.T >= least) & np.outer(ok, ok)
+    size = np.array([len(v) if g else 0 for (_, v), g in zip(rows, ok)])
+    link = (u @ u.T >= least) & np.outer(ok, ok) & (size[:, None] == size[None])
     np.fill_diagonal(link, False)
     ids = [i for i, _ in rows]
     low = list(ids)
@@ -83,3 +83,11 @@ def test_a_ball_reaches_the_homes_of_all_in_it():
     home = dict(zip(*b.leaves(y, 0, False)))
     reach = set(zip(*b.leaves(x, 0, True)))
     assert near_.any() and all((i, home[i]) in reach for i in np.flatnonzero(near_))
+
+
+def test_every_length_is_joined(spark):
+    rng = np.random.default_rng(6)
+    base = {d: rng.normal(size=d) for d in (2, 3, 40)}
+    rows = [(100 * d + k, near(rng, base[d], (0.99, 0.9, 1.0)[k % 3]).tolist()) for d in base for k in range(12)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(2)
+    assert run(df) == brute(rows)
