@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from shopflow.llm.common import components, map_rows, read_table, ship_package, stage_table, stars
+from shopflow.llm.common import components, map_rows, read_table, row_key, ship_package, stage_table, stars
 
 SEED = 42
 BLOCK_BITS = 2
@@ -64,7 +64,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id",
 
 
 def _row_key(id_col: str, text_col: str) -> Column:
-    return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col))
+    return row_key(id_col, text_col)
 
 
 def pivots(n_random: int = 16) -> np.ndarray:
@@ -205,16 +205,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> Dat
 
 def keep_one(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFrame:
     """The document with the smallest doc_id of each group, in all columns unchanged. A null
-    doc_id comes after all others; of rows with one doc_id, one row stays (repeated rows are
-    alike; of different texts, that with the smallest row key)."""
+    doc_id comes after all others; of rows with one doc_id, one row stays: of different texts,
+    that with the smallest row key, of one text, that with the smallest hash of all columns."""
     rows, roots = _groups(docs, shingle, max_bits)
     last = F.lit((1 << 63) - 1)
     best = F.min(F.struct(F.coalesce("doc_id", last).alias("id"), "rk"))
     first = rows.groupBy("fp").agg(best.alias("b")).join(roots, "fp").groupBy("root").agg(
-        F.min("b").alias("b")).select(F.col("b.rk").alias("__rk"))
-    one = Window.partitionBy("__rk").orderBy(F.lit(0))
-    return docs.withColumn("__rk", _row_key("doc_id", "text")).join(first, "__rk", "left_semi").withColumn(
-        "__k", F.row_number().over(one)).where("__k = 1").drop("__k", "__rk")
+        F.min("b").alias("b")).select(F.col("b.id").alias("__id"), F.col("b.rk").alias("__rk"))
+    one = Window.partitionBy("__id", "__rk").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+    keyed = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), last), "__rk": _row_key("doc_id", "text")})
+    return keyed.join(first, ["__id", "__rk"], "left_semi").withColumn("__k", F.row_number().over(one)).where(
+        "__k = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op6_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:

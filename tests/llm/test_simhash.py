@@ -85,3 +85,9 @@ def test_pivot_coordinates_bound_the_distance():
     assert np.abs(S.pivot_table(a, refs) - S.pivot_table(b, refs)).max() <= 1
     ka, kb = S.group_keys(S.pivot_table(a, refs), 3), S.group_keys(S.pivot_table(b, refs), 3)
     assert ((ka == kb).sum(1) >= 2).all()
+
+
+def test_rows_alike_but_for_other_columns(spark):
+    df = spark.createDataFrame([(1, "a b c d", k) for k in range(50)] + [(1, "a b c d", None)], "doc_id long, text string, n int")
+    first = [S.keep_one(df.repartition(n)).collect() for n in (2, 5)]
+    assert len(first[0]) == 1 and first[0] == first[1]
