@@ -31,9 +31,11 @@ from shopflow.session import ship_package
 MIN_LEN = 50
 GRAM = 12  # bytes of a gram
 CHUNK_BYTES = 8 << 20  # text whose blocks a task holds before it sends them
-PIECE_BYTES = 1 << 20  # text hashed at a time
+PIECE_BYTES = 1 << 18  # text hashed at a time
+PART_BYTES = 32 << 20  # of blocks that a task of the second stage reads, about
 BUCKET_BYTES = 4 << 20  # text of a bucket's suffixes, about
 HOT_BLOCKS = 1 << 15  # blocks of a gram from which its suffixes are dealt one by one
+COUNTERS = 1 << 20  # grams that a task counts at a time
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -73,6 +75,24 @@ def _runs(h: np.ndarray, min_len: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return m[start], start, np.r_[start[1:], len(m)]
 
 
+def block_keys(gram: np.ndarray, first: np.ndarray, last: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A key that equal blocks share, from their least, first and last gram's hash and size."""
+    return (gram ^ (first * _M1)) * _M2 + last + size.astype(np.uint64)
+
+
+def later_copies(key: np.ndarray, doc: np.ndarray, equal) -> np.ndarray:
+    """The places whose key an earlier place of a smaller document has, with the same bytes
+    (``equal(i, j)``). Places are in order of documents; only those whose keys meet are compared."""
+    order = np.argsort(key, kind="stable")
+    k = key[order]
+    if not len(k):
+        return order
+    new = np.r_[True, k[1:] != k[:-1]]
+    first = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    at = np.flatnonzero(~new & (doc[first] < doc[order]))
+    return np.array([i for i, j in zip(order[at].tolist(), first[at].tolist()) if equal(i, j)], np.int64)
+
+
 def whole_hashes(h: np.ndarray, at: np.ndarray, min_len: int) -> np.ndarray:
     """A hash of the ``min_len`` bytes at each of ``at``, from the gram hashes ``h`` of the text."""
     key = h[at].copy()
@@ -182,24 +202,20 @@ def bucket_removals(doc, tag, start, size, text: bytes, min_len: int):
     ends = np.cumsum(size, dtype=np.int64)
     starts = ends - size
     order = np.argsort(doc, kind="stable")
-    first: dict[bytes, int] = {}
-    later, left = [], []
-    for i, a, b, d in zip(order.tolist(), starts[order].tolist(), ends[order].tolist(), doc[order].tolist()):
-        (later if first.setdefault(text[a:b], d) < d else left).append(i)
+    data = np.frombuffer(text + b"\0" * 64, np.uint8)
+    h = gram_hashes(data)
+    inside = np.arange(len(h)) < ends[-1]
+    inside[(ends[:, None] - np.arange(1, GRAM)).ravel()] = False
+    low = np.minimum.reduceat(np.where(inside, h, _TOP), starts)
+    s_at, e_at = starts[order].tolist(), ends[order].tolist()
+    key = block_keys(low, h[starts], h[ends - GRAM], size)[order]
+    later = order[later_copies(key, doc[order], lambda i, j: text[s_at[i]:e_at[i]] == text[s_at[j]:e_at[j]])]
     out = []
-    if later:  # copies of a block of a smaller document
-        later = np.array(later)
+    if len(later):  # copies of a block of a smaller document
         out.append((doc[later], tag[later], start[later], start[later] + size[later]))
-    left = np.array(left, np.int64)
-    if len(left):
-        data = np.frombuffer(text + b"\0" * 64, np.uint8)
-        h = gram_hashes(data)
-        # suffixes of blocks whose least gram is in several documents
-        inside = np.arange(len(h)) < ends[-1]
-        inside[(ends[:, None] - np.arange(1, GRAM)).ravel()] = False
-        low = np.minimum.reduceat(np.where(inside, h, _TOP), starts)
-        g = low[left]
-        left = left[_in_several(g, doc[left])]
+    left = np.setdiff1d(np.arange(len(doc)), later)
+    if len(left):  # suffixes of blocks whose least gram is in several documents
+        left = left[_in_several(low[left], doc[left])]
     if len(left):
         n = size[left] - min_len + 1
         own = np.repeat(left, n)
@@ -254,33 +270,44 @@ def _merge(doc, tag, lo, hi):
 def hot_grams(docs: DataFrame, min_len: int) -> tuple[np.ndarray, int]:
     """The grams (in order) that are the least of more than ``HOT_BLOCKS`` blocks, and the number
     of suffixes of those blocks. Equal blocks of a task's chunk count once, and a gram with one
-    block in a chunk isn't counted there: a passage is no reason to split its gram."""
+    block in a task isn't counted there: a passage is no reason to split its gram. A task keeps
+    ``COUNTERS`` grams; when it meets more, all counts fall by that of the first one too many,
+    so a gram loses at most a task's blocks / ``COUNTERS``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, taken = [], 0
+        grams, counts, sums = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-        def flush():
+        def count():
+            nonlocal grams, counts, sums
             gram, size, key = (np.concatenate(c) for c in zip(*held))
             one = np.unique(key, return_index=True)[1]
-            gram, at = np.unique(gram[one], return_inverse=True)
-            n, suffixes = np.bincount(at), np.bincount(at, size[one]).astype(np.int64)
-            many = n > 1
-            return pa.RecordBatch.from_arrays([pa.array(c[many]) for c in (gram.view(np.int64), n, suffixes)],
-                                              ["gram", "n", "suffixes"])
+            grams, at = np.unique(np.concatenate([grams, gram[one]]), return_inverse=True)
+            counts = np.bincount(at, np.concatenate([counts, np.ones(len(one))])).astype(np.int64)
+            sums = np.bincount(at, np.concatenate([sums, size[one]])).astype(np.int64)
+            if len(grams) > COUNTERS:
+                least = np.partition(counts, len(counts) - COUNTERS - 1)[len(counts) - COUNTERS - 1]
+                kept = counts > least
+                sums = (sums * (1 - least / counts)).astype(np.int64)[kept]
+                grams, counts = grams[kept], counts[kept] - least
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 for _, _, _, piece in _pieces(0, 0, text, min_len):
                     h = gram_hashes(np.frombuffer(piece, np.uint8))
                     g, a, b = _runs(h, min_len)
-                    key = (g ^ (h[a] * _M1)) * _M2 + h[b - 1 + min_len - GRAM] + (b - a).astype(np.uint64)
-                    held.append((g, b - a, key))
+                    held.append((g, b - a, block_keys(g, h[a], h[b - 1 + min_len - GRAM], b - a)))
                     taken += len(piece)
                     if taken >= CHUNK_BYTES:
-                        yield flush()
+                        count()
                         held, taken = [], 0
         if held:
-            yield flush()
+            count()
+        many = np.flatnonzero(counts > 1)
+        for at in range(0, len(many), 1 << 16):
+            c = many[at:at + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(x[c]) for x in (grams.view(np.int64), counts, sums)],
+                                             ["gram", "n", "suffixes"])
 
     rows = docs.select("text").mapInArrow(run, "gram long, n long, suffixes long").groupBy("gram").agg(
         F.sum("n").alias("n"), F.sum("suffixes").alias("suffixes")).where(F.col("n") > HOT_BLOCKS).collect()
@@ -307,58 +334,61 @@ def _send(docs: DataFrame, n_buckets: int, min_len: int, hot: np.ndarray) -> Dat
 
         def flush():
             held.sort(key=lambda x: x[:2])
-            pieces = (p for doc, tag, text in held for p in _pieces(doc, tag, text, min_len))
-            first: dict[bytes, int] = {}
-            gram, doc, tag, start, size, texts, gone, taken = [], [], [], [], [], [], [], 0
-            for d, t, off, piece in pieces:
-                h = gram_hashes(np.frombuffer(piece, np.uint8))
-                g, a, b = _runs(h, min_len)
-                split = _among(g, hot).tolist()
-                keep, single = [], []
-                for i, (x, y) in enumerate(zip(a.tolist(), (b + min_len - 1).tolist())):
-                    text = piece[x:y]
-                    if first.setdefault(text, d) < d:
-                        gone.append((d, t, off + x, off + y))
-                    elif split[i]:
-                        single.extend(range(x, y - min_len + 1))
-                    else:
-                        keep.append(i)
-                        texts.append(text)
-                sent = []
-                for x in single:
-                    text = piece[x:x + min_len]
-                    if first.setdefault(text, d) < d:
-                        gone.append((d, t, off + x, off + x + min_len))
-                    else:
-                        sent.append(x)
-                        texts.append(text)
-                sent = np.array(sent, np.int64)
-                gram += [g[keep], whole_hashes(h, sent, min_len)]
-                doc.append(np.full(len(keep) + len(sent), d))
-                tag.append(np.full(len(keep) + len(sent), t))
-                start += [a[keep] + off, sent + off]
-                size += [(b - a)[keep] + min_len - 1, np.full(len(sent), min_len)]
-                taken += len(piece) + len(single) * min_len
-                if taken >= CHUNK_BYTES:
-                    yield from send(gram, doc, tag, start, size, texts, gone)
-                    first, taken = {}, 0
-                    gram, doc, tag, start, size, texts, gone = [], [], [], [], [], [], []
-            yield from send(gram, doc, tag, start, size, texts, gone)
-
-        def send(gram, doc, tag, start, size, texts, gone):
-            if gone:
-                d, t, lo, hi = _merge(*(np.array(c, np.int64) for c in zip(*gone)))
-                for at in range(0, len(d), 1 << 16):
-                    s = slice(at, at + (1 << 16))
-                    yield row(1, -1, pack(d[s], t[s], lo[s], (hi - lo)[s], []))
-            if texts:
-                doc, tag, start, size = map(np.concatenate, (doc, tag, start, size))
-                bucket = (np.concatenate(gram) % np.uint64(n_buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                cut = np.flatnonzero(np.r_[True, np.diff(bucket[order]) != 0, True])
-                for i, j in zip(cut[:-1], cut[1:]):
-                    o = order[i:j]
-                    yield row(0, int(bucket[o[0]]), pack(doc[o], tag[o], start[o], size[o], [texts[k] for k in o]))
+            found, singles, raw, taken = [], [], [], 0
+            for doc, tag, text in held:
+                for d, t, off, piece in _pieces(doc, tag, text, min_len):
+                    h = gram_hashes(np.frombuffer(piece, np.uint8))
+                    g, a, b = _runs(h, min_len)
+                    e, p = b + min_len - 1, len(raw)
+                    split = _among(g, hot)
+                    whole = np.stack([np.full(len(g), v) for v in (p, d, t, off)])
+                    found.append((g, block_keys(g, h[a], h[e - GRAM], b - a), *whole, a, e, split))
+                    n = (b - a)[split]
+                    x = np.repeat(a[split], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                    singles.append((whole_hashes(h, x, min_len), *(np.full(len(x), v) for v in (p, d, t, off)), x,
+                                    np.repeat(np.flatnonzero(split), n)))
+                    raw.append(piece)
+                    taken += len(piece) + len(x) * min_len
+                    if taken >= CHUNK_BYTES:
+                        yield from send(found, singles, raw)
+                        found, singles, raw, taken = [], [], [], 0
+            if raw:
+                yield from send(found, singles, raw)
+
+        def send(found, singles, raw):
+            def same_bytes(*spots):
+                p, u, v = (c.tolist() for c in spots)
+                return lambda i, j: raw[p[i]][u[i]:v[i]] == raw[p[j]][u[j]:v[j]]
+
+            base = np.cumsum([0, *(len(f[0]) for f in found[:-1])])
+            block = np.concatenate([s[-1] + b for s, b in zip(singles, base)])
+            singles = [s[:-1] for s in singles]
+            gram, key, piece, doc, tag, off, a, e, split = (np.concatenate(c) for c in zip(*found))
+            gone = np.zeros(len(gram), bool)
+            gone[later_copies(key, doc, same_bytes(piece, a, e))] = True
+            out = [(doc[gone], tag[gone], (off + a)[gone], (off + e)[gone])]
+            keep = ~gone & ~split
+            s_key, s_piece, s_doc, s_tag, s_off, x = (np.concatenate(c)[~gone[block]] for c in zip(*singles))
+            y = x + min_len
+            again = np.zeros(len(x), bool)
+            again[later_copies(s_key, s_doc, same_bytes(s_piece, x, y))] = True
+            out.append((s_doc[again], s_tag[again], (s_off + x)[again], (s_off + y)[again]))
+            d, t, lo, hi = _merge(*(np.concatenate(c) for c in zip(*out)))
+            for at in range(0, len(d), 1 << 16):
+                s = slice(at, at + (1 << 16))
+                yield row(1, -1, pack(d[s], t[s], lo[s], (hi - lo)[s], []))
+            new = ~again
+            key, piece, doc, tag, off, a, e = (np.concatenate([u[keep], v[new]]) for u, v in (
+                (gram, s_key), (piece, s_piece), (doc, s_doc), (tag, s_tag), (off, s_off), (a, x), (e, y)))
+            bucket = (key % np.uint64(n_buckets)).astype(np.int64)
+            order = np.argsort(bucket.astype(np.uint16) if n_buckets < 1 << 16 else bucket, kind="stable")
+            bucket, piece, doc, tag, off, a, e = (c[order] for c in (bucket, piece, doc, tag, off, a, e))
+            start, size = off + a, e - a
+            cut = np.flatnonzero(np.r_[True, np.diff(bucket) != 0, True]) if len(order) else []
+            for i, j in zip(cut[:-1], cut[1:]):
+                o = slice(i, j)
+                texts = [raw[p][u:v] for p, u, v in zip(piece[o].tolist(), a[o].tolist(), e[o].tolist())]
+                yield row(0, int(bucket[i]), pack(doc[o], tag[o], start[o], size[o], texts))
 
         for batch in batches:
             for doc, tag, text in zip(*(c.to_pylist() for c in batch.columns)):
@@ -431,7 +461,9 @@ def dedup(docs: DataFrame, min_len: int = MIN_LEN, id_col: str = "doc_id", text_
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     long = own.where((F.octet_length("text") >= min_len) & F.col("doc_id").isNotNull()).select("doc_id", "tag", "text")
     hot, singles = hot_grams(long, min_len)
-    n_buckets = max(n_parts, int((4 * (facts[1] or 0) + singles * min_len) / BUCKET_BYTES))
+    sent = 4 * (facts[1] or 0) + singles * min_len
+    n_parts = max(n_parts, sent // PART_BYTES)
+    n_buckets = max(n_parts, sent // BUCKET_BYTES)
     found = stage_table(_removals(_send(long, n_buckets, min_len, hot), n_parts, min_len), "suffix-removals")
     drop_shuffles(spark)
 

@@ -130,3 +130,31 @@ def test_longest_previous_factors_against_all_pairs():
         if max(at[i], 0) + best < 400 - 48:  # beyond the text the padding differs
             assert got[i] >= best or at[i] + best > 350
             assert got[i] == best or at[i] > 350
+
+
+@pytest.mark.parametrize("counters", [1 << 20, 400])
+def test_a_gram_met_once_a_chunk_is_counted(spark, monkeypatch, counters):
+    """Also where a task may keep few counters."""
+    monkeypatch.setattr(S, "HOT_BLOCKS", 30)
+    monkeypatch.setattr(S, "CHUNK_BYTES", 200)
+    monkeypatch.setattr(S, "COUNTERS", counters)
+    rng = random.Random(3)
+    phrase = min((f"phrase {i} of letters" for i in range(60)),
+                 key=lambda p: int(S.gram_hashes(np.frombuffer(p.encode(), np.uint8)).min()))
+
+    def own(n=90):
+        return "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=n))
+
+    rows = [(d, own() + phrase + own()) for d in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    hot, suffixes = S.hot_grams(df.selectExpr("doc_id", "0L AS tag", "cast(text AS binary) AS text").select("text"), 50)
+    grams = S.gram_hashes(np.frombuffer(phrase.encode(), np.uint8))
+    assert grams.min() in hot and suffixes > 0
+    assert run(df) == brute(given(df), 50)
+
+
+def test_equal_keys_of_unequal_blocks():
+    key, doc = np.array([5, 5, 7, 5, 7], np.uint64), np.array([1, 2, 2, 3, 3])
+    text = ["a", "b", "c", "a", "c"]
+    assert S.later_copies(key, doc, lambda i, j: text[i] == text[j]).tolist() == [3, 4]
+    assert not len(S.later_copies(key[:0], doc[:0], None))
