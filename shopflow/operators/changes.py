@@ -20,6 +20,7 @@ from shopflow.operators.joins import left_join_nullable_key
 from shopflow.schema import CASH_MAX, MONEY, NAME_MAX, QUANTITY_MAX
 
 
+CASH_DIGITS = 10 ** 16 - 1
 OPEN = ("pending", "preparing", "ready")  # orders that can still be paid
 
 
@@ -321,7 +322,10 @@ def payment_settlement(orders: DataFrame, payments: DataFrame, counter: bool = F
     p = payments.join(orders.select("orderID", "order_type", "status", "totalAmount"), "orderID", "left")
     raw = F.col("cash").cast("string")
     blank = raw.isNull() | (js_trim(raw) == "")
-    cash = js_float(raw)
+    # Beyond 16 digits before the point a number counts as the greatest one.
+    size = js_float(raw, "double")
+    most = F.when(size < 0, F.lit(-CASH_DIGITS)).when(size > 0, F.lit(CASH_DIGITS)).cast("decimal(22,6)")
+    cash = F.coalesce(js_float(raw), most)
     if not counter:
         cash = F.coalesce(cash, F.lit(0).cast("decimal(22,6)"))
     total = F.col("totalAmount").cast("decimal(22,6)")

