@@ -45,9 +45,9 @@ CHUNK_BYTES = 4 << 20
 HELD_BYTES = 16 << 20  # text waiting for its chunk in a task
 TILE = 1024
 DENSE = TILE * TILE // 16  # pairs of a tile in a buffer from which it is counted densely
-TILES = 12  # dense arrays open in a task
+TILES = 8  # dense arrays open in a task
 LOW_TILES = 64  # tiles a side that may be dense
-BUFFER = 1 << 22  # pairs held before they are counted
+BUFFER = 1 << 21  # pairs held before they are counted
 HEAD = 1 << 20
 FILTER = 67_108_859  # a prime below 2^26
 ROWS = 1 << 16  # rows of a batch sent to Spark
@@ -193,7 +193,8 @@ class TileCounter:
         self.held, self.size = [], 0
         left, right = keys >> 41, keys >> 20 & (1 << 21) - 1
         low = (left < LOW_TILES) & (right < LOW_TILES)
-        tile = np.where(low, left * LOW_TILES + right, LOW_TILES * LOW_TILES)
+        tile = np.where(low, left * LOW_TILES + right, LOW_TILES * LOW_TILES).astype(np.int16)
+        del left, right, low
         crowd = np.bincount(tile, minlength=LOW_TILES * LOW_TILES + 1)[:-1]
         rest = np.ones(len(keys), bool)
         for t in np.flatnonzero(crowd >= DENSE):
@@ -203,7 +204,9 @@ class TileCounter:
                 yield from self.close()
             cells = np.bincount(keys[mine] & TILE * TILE - 1, minlength=TILE * TILE)
             self.dense[t] = self.dense[t] + cells if t in self.dense else cells
-        keys = np.sort(keys[rest])
+        keys = keys[rest]
+        del tile, rest
+        keys.sort()
         first = np.flatnonzero(np.diff(keys, prepend=-1))
         keys, counts = keys[first], np.diff(first, append=len(keys))
         yield ((keys >> 41) * TILE + (keys >> 10 & TILE - 1),
