@@ -105,37 +105,37 @@ def q_order_status_counts(spark, sf_dir):
     return reports.order_status_counts(_t(spark, sf_dir).orders)
 
 
+# One pass by day and status, from which the figures are picked.
+_BY_DAY = """by_day AS (
+  SELECT CAST(orderDateTime AS DATE) AS d, status, COUNT(*) AS n, SUM(totalAmount) AS amount FROM shop_orders GROUP BY 1, 2)"""
+
+
 @register("dashboard_stats", with_views(f"""
-SELECT
-  (SELECT COUNT(*) FROM shop_orders WHERE CAST(orderDateTime AS DATE) = DATE '{AS_OF}'
-     AND status <> 'cancelled') AS today_orders,
-  (SELECT COALESCE(SUM(totalAmount), 0) FROM shop_orders
-     WHERE CAST(orderDateTime AS DATE) = DATE '{AS_OF}' AND status = 'completed') AS today_sales,
-  (SELECT COALESCE(SUM(totalAmount), 0) FROM shop_orders WHERE status = 'completed') AS total_sales,
-  (SELECT COUNT(*) FROM shop_orders WHERE status = 'pending') AS pending_orders,
-  (SELECT COUNT(*) FROM products WHERE is_available = 1) AS product_count""",
-                                          "shop_orders", "products"))
+SELECT CAST(COALESCE(SUM(n) FILTER (d = DATE '{AS_OF}' AND status <> 'cancelled'), 0) AS BIGINT) AS today_orders,
+       COALESCE(SUM(amount) FILTER (d = DATE '{AS_OF}' AND status = 'completed'), 0) AS today_sales,
+       COALESCE(SUM(amount) FILTER (status = 'completed'), 0) AS total_sales,
+       CAST(COALESCE(SUM(n) FILTER (status = 'pending'), 0) AS BIGINT) AS pending_orders,
+       ANY_VALUE(m.product_count) AS product_count
+FROM (SELECT COUNT(*) AS product_count FROM products WHERE is_available = 1) m LEFT JOIN by_day ON TRUE""",
+                                        "shop_orders", "products", extra=[_BY_DAY]))
 def q_dashboard_stats(spark, sf_dir):
     return reports.dashboard_stats(_t(spark, sf_dir), AS_OF)
 
 
+# Days of completed sales, from which the periods are added up.
+_DAYS = """days AS (
+  SELECT CAST(orderDateTime AS DATE) AS d, COUNT(*) AS n, SUM(totalAmount) AS amount FROM shop_orders
+  WHERE status = 'completed' GROUP BY 1)"""
 _SALES_WINDOW_DAYS = 90
 
 
 @register("sales_by_day_window", with_views(f"""
-SELECT CAST(orderDateTime AS DATE) AS date, COALESCE(SUM(totalAmount), 0) AS total
-FROM shop_orders
-WHERE CAST(orderDateTime AS DATE) >= DATE '{AS_OF}' - INTERVAL {_SALES_WINDOW_DAYS} DAY
-  AND status = 'completed'
-GROUP BY CAST(orderDateTime AS DATE)""", "shop_orders"))
+SELECT d AS date, amount AS total FROM days
+WHERE date_diff('day', d, DATE '{AS_OF}') <= {_SALES_WINDOW_DAYS}""", "shop_orders", extra=[_DAYS]))
 def q_sales_by_day_window(spark, sf_dir):
     return reports.sales_by_day_window(_t(spark, sf_dir).orders, AS_OF, _SALES_WINDOW_DAYS)
 
 
-# Days of completed sales, from which the periods are added up.
-_DAYS = """days AS (
-  SELECT CAST(orderDateTime AS DATE) AS d, COUNT(*) AS n, SUM(totalAmount) AS amount FROM shop_orders
-  WHERE status = 'completed' GROUP BY 1)"""
 _IN_YEAR = f"d >= DATE '{DATE_FROM}' AND d <= DATE '{DATE_TO}'"
 
 

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from shopflow.functions import scalars as S
-from shopflow.operators import filters, inventory, joins, quality, reports
+from shopflow.operators import deep_pages, filters, inventory, joins, quality, reports, search_index
 from shopflow.plans.catalog import AS_OF, DATE_FROM, DATE_TO, _t, register
 from shopflow.plans.views import with_views
-from shopflow.schema import Tables
+from shopflow.schema import ORDERS, Tables
+from shopflow.session import scratch_path
 from shopflow.sources import driver
 
 _RANGE = f"CAST(orderDateTime AS DATE) BETWEEN DATE '{DATE_FROM}' AND DATE '{DATE_TO}'"
@@ -182,6 +185,32 @@ def q_orders_page_after(spark, sf_dir):
     return filters.orders_page_after(_t(spark, sf_dir).orders, "1998-06-01 00:00:00", 5000, limit=200)
 
 
+@register("orders_page_deep", with_views("""
+SELECT * EXCLUDE (newness)
+FROM (SELECT *, ROW_NUMBER() OVER (ORDER BY orderDateTime DESC, orderID DESC) AS newness FROM shop_orders) s
+WHERE newness BETWEEN 1001 AND 1200""", "shop_orders"))
+def q_orders_page_deep(spark, sf_dir):
+    """An offset found by the map of counts, with zones small enough that it narrows."""
+    return deep_pages.orders_page_at(_t(spark, sf_dir).orders, limit=200, offset=1000, zone_rows=16)
+
+
+@register("order_count_by_map", with_views("SELECT COUNT(*) AS result_count FROM shop_orders", "shop_orders"))
+def q_order_count_by_map(spark, sf_dir):
+    return deep_pages.total_rows(deep_pages.day_counts(_t(spark, sf_dir).orders))
+
+
+@register("orders_search_indexed", with_views("""
+SELECT * FROM shop_orders
+WHERE CAST(orderID AS VARCHAR) LIKE '%st 14%5%' OR regexp_matches(customer_name, '(?i)st 14.*5')""", "shop_orders"))
+def q_orders_search_indexed(spark, sf_dir):
+    """Orders and their index written to the shared folder, then searched."""
+    place = scratch_path(spark, f"search-{uuid.uuid4().hex}")
+    _t(spark, sf_dir).orders.repartitionByRange("orderID").write.parquet(f"{place}/orders")
+    orders = spark.read.schema(ORDERS).parquet(f"{place}/orders")
+    search_index.write_index(orders, f"{place}/index")
+    return search_index.orders_search(orders, spark.read.parquet(f"{place}/index"), "st 14%5")
+
+
 @register("result_count", with_views(f"""
 SELECT COUNT(*) AS result_count FROM shop_orders o
 WHERE o.status = 'pending' AND {_SEARCH_SQL.format(s='9')}""", "shop_orders"))
