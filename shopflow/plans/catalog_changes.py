@@ -496,7 +496,7 @@ _EXPORTED = """exported AS (
 
 
 @register("orders_csv_export", with_views(f"""
-SELECT format('{{}}', orderID) AS "Order ID", customer_name AS Customer, order_type AS Type, format('{{}}', totalAmount) AS Total,
+SELECT format('{{}}', orderID) AS "Order ID", customer_name AS Customer, order_type AS Type, CAST(totalAmount AS VARCHAR) AS Total,
        status AS Status, replace(left(CAST(orderDateTime AS VARCHAR), 19), ' ', 'T') AS "Date & Time", taken_by AS Employee
 FROM exported WHERE year(orderDateTime) = {DATE_FROM[:4]}""", "shop_orders", extra=[_EXPORTED]))
 def q_orders_csv_export(spark, sf_dir):
