@@ -3,6 +3,9 @@ nearby adjust their score. DataFrame expressions only.
 
 A kind's spans come from two columns that Java's matcher makes alike: the matches and
 the pieces of text between them; their lengths in code points add up to the positions.
+Texts are cut into blocks of ``BLOCK`` code points once, so that a part of a text is found
+without counting from its start, and lists grow by runs of ``RUN`` entries (``_fold``): a
+text with many spans takes time in proportion to its length.
 
 The patterns match what the plain forms in ``FORMS`` match, leftmost and without
 overlap, but are written so that they take linear time and no recursion on very long
@@ -59,6 +62,8 @@ _HEADS = {"iban": 4}  # kinds whose pattern looks ahead to the match (group 1):
 # Scores: of a confirmed span, and what a context word within CONTEXT code points adds.
 SCORES = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.5, "iban": 0.9, "ssn": 0.4}
 CONTEXT = 40
+BLOCK = 1024
+RUN = 128
 CONTEXT_BONUS = 0.3
 MIN_SCORE = 0.5  # of kinds beside the base ones
 CONTEXT_WORDS = {
@@ -111,43 +116,79 @@ def _confirmed(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
-def _score(kind: str, text: Column, start: Column, end: Column) -> Column:
-    near = F.lower(F.substring(text, F.greatest(start - CONTEXT, F.lit(0)) + 1,
-                               end - F.greatest(start - CONTEXT, F.lit(0)) + CONTEXT))
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _blocks(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+
+def _cut(blocks: Column, start: Column, length: Column) -> Column:
+    """A part of the text, from a position counted from 0."""
+    first = F.floor(start / BLOCK).cast("int")
+    some = F.slice(blocks, first + 1, F.floor((start + length) / BLOCK).cast("int") - first + 1)
+    return F.substring(F.array_join(some, ""), start - first * BLOCK + 1, length)
+
+
+def _fold(items: Column, state: Column, of: str, step) -> Column:
+    """The array<``of``> that ``step(state, item)`` -> (new state, entry or null) makes of the
+    items, nulls left out. Entries are added to the array of a run of items, and runs to an
+    array of runs."""
+    none = F.array().cast(f"array<{of}>")
+
+    def add(a: Column, x: Column) -> Column:
+        def put(r: Column) -> Column:
+            more = F.when(r["entry"].isNull(), a["out"]).otherwise(F.array_append(a["out"], r["entry"]))
+            return F.struct(r["state"].alias("state"), more.alias("out"))
+        new, entry = step(a["state"], x)
+        return _let(F.struct(new.alias("state"), entry.alias("entry")), put)
+
+    def run(every: Column):
+        def of_run(a: Column, k: Column) -> Column:
+            one = F.aggregate(F.slice(every, k * RUN + 1, RUN), F.struct(a["state"].alias("state"), none.alias("out")), add)
+            return _let(one, lambda r: F.struct(r["state"].alias("state"), F.array_append(a["out"], r["out"]).alias("out")))
+        return of_run
+
+    zero = F.struct(state.alias("state"), F.array().cast(f"array<array<{of}>>").alias("out"))
+    return _let(items, lambda every: F.aggregate(
+        F.sequence(F.lit(0), F.floor(F.size(every) / RUN).cast("int")), zero, run(every), lambda a: F.flatten(a["out"])))
+
+
+def _score(kind: str, blocks: Column, start: Column, end: Column) -> Column:
+    first = F.greatest(start - CONTEXT, F.lit(0))
+    near = F.lower(_cut(blocks, first, end - first + CONTEXT))
     words = r"(?<![a-z])(?:" + "|".join(CONTEXT_WORDS[kind]) + ")"
     return F.least(F.lit(1.0), F.lit(SCORES[kind]) + F.when(near.rlike(words), CONTEXT_BONUS).otherwise(0.0))
 
 
-def kind_spans(kind: str, text: Column) -> Column:
+def kind_spans(kind: str, text: Column, blocks: Column) -> Column:
     """Array of the confirmed spans of one kind, by position."""
     pattern, change, gate = _RULES[kind]
-    none = F.array().cast(f"array<{_SPAN}>")
     t = F.regexp_replace(text, *change) if change else text
     pairs = F.arrays_zip(F.split(t, pattern, -1).alias("piece"),
                          F.regexp_extract_all(t, F.lit(pattern), F.lit(1 if kind in _HEADS else 0)).alias("match"))
 
-    def place(a: Column, x: Column) -> Column:
+    def place(a: Column, x: Column):
         start = a["pos"] + F.length(x["piece"])
         end = start + F.length(x["match"])
-        own = F.substring(text, start + 1, F.length(x["match"]))
-        span = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), own.alias("match"),
-                        F.lit(0.0).alias("score"))
         found, after = x["match"].isNotNull() & _confirmed(kind, x["match"]), end
         if kind in _HEADS:  # a span starts after the one before
-            found &= F.coalesce(F.get(a["out"], F.size(a["out"]) - 1)["end"] <= start, F.lit(True))
+            found &= a["last"] <= start
             after = F.when(x["match"].isNotNull(), start + _HEADS[kind])
-        return F.struct(F.coalesce(after, start).alias("pos"),
-                        F.when(found, F.array_append(a["out"], span)).otherwise(a["out"]).alias("out"))
+        span = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"),
+                        _cut(blocks, start, F.length(x["match"])).alias("match"), F.lit(0.0).alias("score"))
+        return F.struct(F.coalesce(after, start).alias("pos"), F.when(found, end).otherwise(a["last"]).alias("last")), F.when(found, span)
 
-    first = F.struct(F.lit(0).alias("pos"), none.alias("out"))
-    found = F.aggregate(pairs, first, place, lambda a: a["out"])
-    return F.when(text.rlike(gate or pattern), found).otherwise(none)
+    found = _fold(pairs, F.struct(F.lit(0).alias("pos"), F.lit(0).alias("last")), _SPAN, place)
+    return F.when(text.rlike(gate or pattern), found).otherwise(F.array().cast(f"array<{_SPAN}>"))
 
 
-def _scored(kind: str, text: Column, spans: Column) -> Column:
+def _scored(kind: str, blocks: Column, spans: Column) -> Column:
     scored = F.transform(spans, lambda s: F.struct(
         s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["match"].alias("match"),
-        _score(kind, text, s["start"], s["end"]).alias("score")))
+        _score(kind, blocks, s["start"], s["end"]).alias("score")))
     return scored if kind in BASE else F.filter(scored, lambda s: s["score"] >= MIN_SCORE)
 
 
@@ -159,7 +200,8 @@ def find(docs: DataFrame, text_col: str = "text", out: str = "spans") -> DataFra
     is judged on its own, so repeated rows and further columns stay as they are (a column
     already named ``out`` is replaced)."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    return docs.withColumn(out, F.concat(*[_scored(k, text, kind_spans(k, text)) for k in KINDS]))
+    return docs.withColumn(out, _let(_blocks(text), lambda b: F.concat(
+        *[_scored(k, b, kind_spans(k, text, b)) for k in KINDS])))
 
 
 def _listed(spans: Column) -> Column:
@@ -172,17 +214,16 @@ def mask(docs: DataFrame, text_col: str = "text") -> DataFrame:
     text = F.col(f"`{text_col}`")
     spans = F.array_sort(F.col("__spans"), lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"])
                          .otherwise(b["end"] - a["end"]))
+    # what lies after the last span is written by a last, empty one at the text's end
+    ends = F.array_append(F.transform(spans, lambda s: F.struct(
+        s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("tag"))),
+        F.struct(F.length(text).alias("start"), F.length(text).alias("end"), F.lit("").alias("tag")))
 
-    def step(a: Column, s: Column) -> Column:
-        fresh = s["start"] >= a["pos"]
-        more = F.concat(a["out"], F.substring(text, a["pos"] + 1, s["start"] - a["pos"]),
-                        F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        return F.struct(F.greatest(a["pos"], s["end"]).alias("pos"),
-                        F.when(fresh, more).otherwise(a["out"]).alias("out"))
+    def step(b: Column):
+        return lambda pos, s: (F.greatest(pos, s["end"]), F.when(
+            s["start"] >= pos, F.concat(_cut(b, pos, s["start"] - pos), s["tag"])))
 
-    first = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
-    masked = F.aggregate(spans, first, step, lambda a: F.concat(
-        a["out"], F.substring(text, a["pos"] + 1, F.length(text) - a["pos"])))
+    masked = _let(_blocks(text), lambda b: F.array_join(_fold(ends, F.lit(0), "string", step(b)), ""))
     found = find(docs, text_col, "__spans")
     return found.withColumn(text_col, F.when(F.size("__spans") > 0, masked).otherwise(text)).drop("__spans")
 
