@@ -8,7 +8,9 @@ can be merged; so a piece of n bytes costs O(n log n) however long it is.
 
 from __future__ import annotations
 
+import hashlib
 import json
+from array import array
 from collections.abc import Iterable
 
 import numpy as np
@@ -25,6 +27,7 @@ from shopflow.llm.common import map_rows, read_table
 PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
            r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
 NO_PAIR = 1 << 62
+NO_RANK = (1 << 31) - 1
 CACHE_PIECES = 300_000  # merged pieces remembered in a Python worker
 CACHE_TOKENS = 4_000_000  # and their tokens
 TREE_BYTES = 64  # longer pieces have a tree of their own
@@ -40,49 +43,58 @@ def byte_characters() -> list[str]:
     return [chr(b) if b in own else chr(256 + rest.index(b)) for b in range(256)]
 
 
-def merge_piece(ids: list[int], pairs: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
+def merge_piece(ids: Iterable[int], pairs: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
     """The symbols left when every merge is done. ``pairs``: (left, right) -> (rank, merged id)."""
+    return merge_array(ids, pairs).tolist()
+
+
+def merge_array(ids: Iterable[int], pairs: dict[tuple[int, int], tuple[int, int]]) -> array:
+    """:func:`merge_piece` in arrays of numbers: some 24 bytes of memory for each symbol."""
+    ids = array("i", ids)
     n = len(ids)
     if n < 2:
         return ids
-    ids = list(ids)
-    leaves = 1 << (n - 2).bit_length() if n > 2 else 1
-    tree = [NO_PAIR] * (2 * leaves)
-    after, before = [*range(1, n + 1)], [*range(-1, n - 1)]
+    leaves = 1 << max(1, (n - 2).bit_length())
+    rank = array("i", [NO_RANK]) * leaves  # of the pair that starts at a place
+    best = array("i", [0]) * leaves  # inner nodes of the tree: the place of the leftmost lowest rank below
+    after, before = array("i", range(1, n + 1)), array("i", range(-1, n - 1))
 
-    def leaf(i: int) -> int:  # rank and place in one number: the least is the leftmost lowest rank
+    def found(i: int) -> int:
         j = after[i]
         p = pairs.get((ids[i], ids[j])) if j < n else None
-        return NO_PAIR if p is None else p[0] * n + i
+        return NO_RANK if p is None else p[0]
 
     def update(i: int, value: int) -> None:
-        k = leaves + i
-        tree[k] = value
-        while k > 1:
+        rank[i] = value
+        k, a, b = leaves + i >> 1, i & -2, i | 1
+        while True:
+            win = a if rank[a] <= rank[b] else b
+            if best[k] == win != i:  # neither before nor now the place that changed
+                break
+            best[k] = win
             k >>= 1
-            a, b = tree[2 * k], tree[2 * k + 1]
-            value = a if a < b else b
-            if tree[k] == value:
+            if not k:
                 break
-            tree[k] = value
+            a, b = best[2 * k], best[2 * k + 1]
 
     for i in range(n - 1):
-        tree[leaves + i] = leaf(i)
+        rank[i] = found(i)
     for k in range(leaves - 1, 0, -1):
-        tree[k] = min(tree[2 * k], tree[2 * k + 1])
-    while tree[1] < NO_PAIR:
-        i = tree[1] % n
+        a, b = (best[2 * k], best[2 * k + 1]) if 2 * k < leaves else (2 * k - leaves, 2 * k - leaves + 1)
+        best[k] = a if rank[a] <= rank[b] else b
+    while rank[best[1]] < NO_RANK:
+        i = best[1]
         j = after[i]
         ids[i] = pairs[ids[i], ids[j]][1]
         after[i] = after[j]
         if after[j] < n:
             before[after[j]] = i
         if j < n - 1:
-            update(j, NO_PAIR)
-        update(i, leaf(i))
+            update(j, NO_RANK)
+        update(i, found(i))
         if before[i] >= 0:
-            update(before[i], leaf(before[i]))
-    out, i = [], 0
+            update(before[i], found(before[i]))
+    out, i = array("i"), 0
     while i < n:
         out.append(ids[i])
         i = after[i]
@@ -198,8 +210,8 @@ class Tokenizer:
         while i < len(raw):
             n, j = len(raw[i][0]), i + 1
             if n > TREE_BYTES:
-                ids = merge_piece(self.of_byte[np.frombuffer(raw[i][0], np.uint8)].tolist(), self.pairs)
-                tokens.append(np.array(ids, np.int32))
+                ids = merge_array(memoryview(self.of_byte[np.frombuffer(raw[i][0], np.uint8)]), self.pairs)
+                tokens.append(np.frombuffer(ids, np.int32))
                 counts.append(np.array([len(ids)]))
             else:
                 while j < len(raw) and len(raw[j][0]) == n and j < i + TREE_ROWS:
@@ -251,16 +263,16 @@ class Decoder:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
 
-_LOADED: dict[tuple, Tokenizer | Decoder] = {}
+_LOADED: dict[type, tuple] = {}
 
 
 def _loaded(kind: type, contents: str):
-    """One tokenizer or decoder a Python worker, whatever number of tasks it runs."""
-    key = kind.__name__, hash(contents)
-    if key not in _LOADED:
-        _LOADED.clear()
-        _LOADED[key] = kind(contents)
-    return _LOADED[key]
+    """One tokenizer and one decoder a Python worker, whatever number of tasks it runs."""
+    held, of = _LOADED.get(kind, (None, None))
+    if of != hash(contents):
+        held = kind(contents)
+        _LOADED[kind] = held, hash(contents)
+    return held
 
 
 def _slices(b: pa.RecordBatch, col: pa.Array) -> Iterable[pa.RecordBatch]:
@@ -329,11 +341,23 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", out: str = "decoded")
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """``docs`` (without its text) with the ids packed, n_tokens, ids_sha256 and
-    decoded_sha256, by encoding and decoding each text."""
-    both = decode(encode(docs, path, out="packed", packed=True).drop("text"), path, "packed")
-    return both.withColumns({"n_tokens": (F.octet_length("packed") / 4).cast("long"),
-                             "ids_sha256": F.sha2("packed", 256),
-                             "decoded_sha256": F.sha2("decoded", 256)}).drop("decoded")
+    decoded_sha256, by encoding and decoding each text. Both are done in one pass, so that
+    a task needs one Python worker."""
+    held, names = _contents(docs.sparkSession, path), docs.columns
+    kept = [n for n in names if n != "text"]
+
+    def run(batch: pa.RecordBatch) -> Iterable[dict]:
+        t, d = _loaded(Tokenizer, held.value), _loaded(Decoder, held.value)
+        for b in _slices(batch, batch.column(names.index("text"))):
+            ids = t.encode_all([x or "" for x in b.column(names.index("text")).to_pylist()])
+            sha = [hashlib.sha256(d.decode(x.tolist()).encode()).hexdigest() for x in ids]
+            yield {n: b.column(names.index(n)) for n in kept} | {
+                "packed": [x.tobytes() for x in ids], "decoded_sha256": sha}
+
+    schema = T.StructType([docs.schema[n] for n in kept] + [
+        T.StructField("packed", T.BinaryType()), T.StructField("decoded_sha256", T.StringType())])
+    return map_rows(docs, run, schema).withColumns({
+        "n_tokens": (F.octet_length("packed") / 4).cast("long"), "ids_sha256": F.sha2("packed", 256)})
 
 
 def tokens(docs: DataFrame, path: str) -> DataFrame:

@@ -1,5 +1,6 @@
 import hashlib
 import sys
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
@@ -84,3 +85,16 @@ def test_rows_and_single_trees_agree():
         tokens, counts = bpe.merge_rows(rows, OURS.table)
         assert np.split(tokens, np.cumsum(counts)[:-1])[7].tolist() == bpe.merge_piece(rows[7].tolist(), OURS.pairs)
         assert tokens.tolist() == [t for r in rows for t in bpe.merge_piece(r.tolist(), OURS.pairs)]
+
+
+def test_a_very_long_piece_in_bounded_memory():
+    piece = np.random.default_rng(3).integers(97, 118, 300_000).astype(np.uint8)
+    ids = OURS.of_byte[piece]
+    tracemalloc.start()
+    got = bpe.merge_array(memoryview(ids), OURS.pairs)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 * len(piece)
+    assert OURS.encode(piece.tobytes().decode()).tolist() == got.tolist()
+    assert bpe.merge_piece(ids[:20_000].tolist(), OURS.pairs) == THEIRS.encode(
+        piece[:20_000].tobytes().decode(), add_special_tokens=False).ids
