@@ -1,13 +1,16 @@
 """License scans: TF-IDF cosine to templates, then inheritance by directory.
 
-Every line and every paragraph of a file is compared with license templates as a sparse
-TF-IDF vector; inverse document frequencies come from all files. A file without a match of
-its own takes the license of the nearest directory above it that has a matching license
-file. Ancestors are joined as paths, once per directory.
+Lines, paragraphs, runs of paragraphs in license words and whole files are compared with
+license templates (headers, titles and short licenses as a whole) as sparse TF-IDF vectors;
+inverse document frequencies come from all files. Where two licenses are about equally near,
+the text names neither. An SPDX tag declares its expression. A file without a match of its
+own takes the license of the nearest directory above it that has a matching license file.
+Ancestors are joined as paths, once per directory.
 """
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 
 import numpy as np
@@ -18,58 +21,146 @@ from pyspark.sql import functions as F
 from shopflow.llm.common import map_rows, read_table, stage_table
 
 MIN_COSINE = 0.7
+MARGIN = 0.004  # share of the best cosine within which another license makes a text ambiguous
 LICENSE_FILES = r"(?i)^(licen[cs]e|copying|notice|unlicense)([._-][^/]*)?$"
+RESERVED = "LicenseRef-All-Rights-Reserved"  # decides only where no license is found
 
-# Fixed texts: usual notices of public licenses, by SPDX identifier.
+_GNU = ("is free software{colon} you can redistribute it and/or modify it under the terms of the GNU {kind}General Public "
+        "License as published by the Free Software Foundation{comma} either version {version} of the License, or (at your "
+        "option) any later version.")
+_WARRANTY = ("is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied "
+             "warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {kind}General Public License for more "
+             "details.")
+
+
+def _gnu(work: str, kind: str, version: str, colon: str, comma: str) -> list[str]:
+    """The notice's first paragraph, and its first two."""
+    grant = f"This {work} " + _GNU.format(kind=kind, version=version, colon=colon, comma=comma)
+    return [grant, f"{grant} This {work} " + _WARRANTY.format(kind=kind)]
+
+
+_BSD = ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+        "following conditions are met:")
+_BSD_TWO = (" Redistributions of source code must retain the above copyright notice, this list of conditions and the "
+            "following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list "
+            "of conditions and the following disclaimer in the documentation and/or other materials provided with the "
+            "distribution.")
+_BSD_THREE = (" Neither the name of the copyright holder nor the names of its contributors may be used to endorse or "
+              "promote products derived from this software without specific prior written permission.")
+_BSD_END = (" THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED "
+            "WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A "
+            "PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY "
+            "DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, "
+            "PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER "
+            "CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE "
+            "OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH "
+            "DAMAGE.")
+_MIT = ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and "
+        "associated documentation files (the \"Software\"), to deal in the Software without restriction")
+
+# Fixed texts: usual notices, titles and short texts of public licenses, by SPDX identifier.
 TEMPLATES: dict[str, list[str]] = {
+    "AGPL-3.0": [
+        "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",
+        "This work is licensed under the GNU Affero General Public License, version 3.",
+        *_gnu("program", "Affero ", "3", ":", ","),
+    ],
     "Apache-2.0": [
+        "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/",
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in "
         "compliance with the License. You may obtain a copy of the License at "
         "http://www.apache.org/licenses/LICENSE-2.0",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is "
+        "distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. "
+        "See the License for the specific language governing permissions and limitations under the License.",
     ],
+    "BSD-2-Clause": ["Licensed under the BSD 2-Clause License.", _BSD, _BSD + _BSD_TWO, _BSD + _BSD_TWO + _BSD_END],
     "BSD-3-Clause": [
         "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided "
-        "that the following conditions are met",
+        "Licensed under the BSD 3-Clause License.",
+        _BSD,
+        _BSD + _BSD_TWO + _BSD_THREE,
+        _BSD + _BSD_TWO + _BSD_THREE + _BSD_END,
+    ],
+    "BSL-1.0": [
+        "Boost Software License - Version 1.0 - August 17th, 2003",
+        "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at "
+        "http://www.boost.org/LICENSE_1_0.txt)",
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software "
+        "and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, "
+        "distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit "
+        "third-parties to whom the Software is furnished to do so, all subject to the following:",
     ],
     "CC-BY-4.0": ["This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "CC-BY-NC-4.0": [
         "Licensed under CC BY-NC 4.0.",
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
     ],
+    "CC-BY-ND-4.0": [
+        "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."],
+    "CC-BY-SA-4.0": [
+        "Licensed under CC BY-SA 4.0.",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    ],
     "CC0-1.0": ["To the extent possible under law, the author has waived all copyright and related rights to "
                 "this work under CC0 1.0."],
-    "GPL-2.0-or-later": [
-        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General "
-        "Public License as published by the Free Software Foundation; either version 2 of the License, or (at your "
-        "option) any later version.",
+    "EPL-2.0": [
+        "Eclipse Public License - v 2.0",
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License "
+        "2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
     ],
+    "GPL-2.0": [
+        "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
+        "This work is licensed under the GNU General Public License, version 2.",
+    ],
+    "GPL-2.0-or-later": _gnu("program", "", "2", ";", ";"),
     "GPL-3.0": [
+        "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
         "This work is licensed under the GNU General Public License, version 3.",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
-        "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
-        "option) any later version.",
+        *_gnu("program", "", "3", ":", ","),
     ],
     "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee "
             "is hereby granted, provided that the above copyright notice and this permission notice appear in all "
             "copies."],
+    "LGPL-2.1": [
+        "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999",
+        *_gnu("library", "Lesser ", "2.1", ";", ";"),
+    ],
+    "LGPL-3.0": [
+        "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+        *_gnu("library", "Lesser ", "3", ":", ","),
+    ],
     "MIT": [
         "Released under the MIT License.",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and "
-        "associated documentation files (the \"Software\"), to deal in the Software without restriction",
+        _MIT,
+        _MIT + ", including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, "
+        "and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject "
+        "to the following conditions: The above copyright notice and this permission notice shall be included in all "
+        "copies or substantial portions of the Software.",
+    ],
+    "MPL-2.0": [
+        "Mozilla Public License Version 2.0",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was "
+        "not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
     ],
-    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
-    "LicenseRef-All-Rights-Reserved": ["All rights reserved."],
+    RESERVED: ["All rights reserved."],
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
 }
 
 _BLANKED = bytes(c if c >= 0x80 or chr(c).isalnum() else 0x20 for c in range(256))
+_SPDX_ID = rb"\(*[A-Za-z0-9][A-Za-z0-9.+:-]*\)*"
+_SPDX = re.compile(rb"SPDX-License-Identifier:[ \t]*(" + _SPDX_ID + rb"(?:[ \t]+(?:AND|OR|WITH)[ \t]+" + _SPDX_ID + rb")*)")
 
 
 def words_of(text: bytes) -> list[bytes]:
-    """Lower-case words: runs of ASCII letters and digits and of bytes beyond ASCII."""
-    return text.lower().translate(_BLANKED).split()
+    """Lower-case words: runs of ASCII letters and digits and of bytes beyond ASCII. A number is
+    one word with the word before it, so that a version weighs more than a digit; at the start
+    it is a list mark, and left out."""
+    words = text.lower().translate(_BLANKED).split()
+    out = [p + b" " + w if w.isdigit() else w for p, w in zip([b"", *words], words)]
+    return out[1:] if words and words[0].isdigit() else out
 
 
 class Templates:
@@ -78,6 +169,7 @@ class Templates:
 
     def __init__(self, templates: dict[str, list[str]], df: dict[bytes, int], n_files: int):
         self.rows = [(name, Counter(words_of(t.encode()))) for name in sorted(templates) for t in templates[name]]
+        self.names = np.array([name for name, _ in self.rows])
         self.vocab = {w: i for i, w in enumerate(sorted({w for _, c in self.rows for w in c}))}
         self.idf = np.array([np.log((1 + n_files) / (1 + df.get(w, 0))) + 1 for w in self.vocab])
         self.other = (np.log(1.0 + n_files) + 1) ** 2
@@ -87,8 +179,10 @@ class Templates:
                 m[r, self.vocab[w]] = n * self.idf[self.vocab[w]]
         self.matrix = m / np.linalg.norm(m, axis=1, keepdims=True)
 
-    def best(self, words: list[bytes], least: float) -> tuple[float, str | None]:
-        """The nearest template with a cosine of at least ``least``, and the cosine."""
+    def best(self, words: list[bytes], least: float) -> tuple[float, str | None, bool]:
+        """The cosine to the nearest template and its license, if at least ``least`` and if no
+        other license is within ``MARGIN``; and whether the text's own length lies so much in
+        the templates' words that a template may be that near."""
         known: Counter = Counter()
         other: Counter = Counter()
         for w in words:
@@ -98,35 +192,64 @@ class Templates:
             else:
                 known[i] += 1
         if not known:
-            return 0.0, None
+            return 0.0, None, False
         at = np.fromiter(known, np.int64, len(known))
         x = np.fromiter(known.values(), float, len(known)) * self.idf[at]
         own, rest = float(x @ x), self.other * sum(n * n for n in other.values())
         if own < least * least * (own + rest):  # no template can be nearer than the known part
-            return 0.0, None
+            return 0.0, None, False
         cosine = self.matrix[:, at] @ x / np.sqrt(own + rest)
         k = int(np.argmax(cosine))
-        return (float(cosine[k]), self.rows[k][0]) if cosine[k] >= least else (0.0, None)
+        if cosine[k] < least or cosine[self.names != self.names[k]].max(initial=0.0) >= cosine[k] * (1 - MARGIN):
+            return 0.0, None, True
+        return float(cosine[k]), self.rows[k][0], True
 
     def scan(self, text: bytes, least: float) -> tuple[float, str | None, int | None]:
-        """(cosine, license, line) of the best line or paragraph of a whole text; the first
-        of equally good ones."""
-        best, paragraph, first = (0.0, None, None), [], 0
+        """(cosine, license, line) of the best line, paragraph, run of paragraphs or of the whole
+        text; of equally good ones (within 1e-9) that which ends first, the smaller before the larger.
+        Runs are paragraphs in a row that are mostly in the templates' words; a text without one
+        isn't compared as a whole. The first SPDX tag goes before all, at cosine 1; a mere
+        reservation of rights comes after all others."""
+        tag = _SPDX.search(text)
+        if tag and tag[1].strip(b"()") not in (b"NONE", b"NOASSERTION"):
+            return 1.0, b" ".join(tag[1].split()).decode(), text.count(b"\n", 0, tag.start())
+        best, whole = (0.0, None, None), []
+        paragraph, run, first, run_first, start = [], [], 0, 0, None
+
+        def offer(found: tuple[float, str | None, bool], line: int) -> bool:
+            nonlocal best
+            score, name, near = found
+            if name and (best[1] is None or (name != RESERVED, score) > (best[1] != RESERVED, best[0] + 1e-9)):
+                best = score, name, line
+            return near
+
+        def end_run():
+            if len(run) > 1:
+                offer(self.best([w for p in run for w in p], least), run_first)
+            run.clear()
+
         for i, line in enumerate([*text.split(b"\n"), b""]):
             words = words_of(line)
             if words:
                 if not paragraph:
                     first = i
+                near = offer(self.best(words, least), i)
                 paragraph.append(words)
-                score, name = self.best(words, least)
-                if score > best[0]:
-                    best = score, name, i
             elif paragraph:
+                together = [w for p in paragraph for w in p]
                 if len(paragraph) > 1:
-                    score, name = self.best([w for p in paragraph for w in p], least)
-                    if score > best[0]:
-                        best = score, name, first
+                    near = offer(self.best(together, least), first)
+                whole.append(together)
+                if near:
+                    run_first = run_first if run else first
+                    start = run_first if start is None else start
+                    run.append(together)
+                else:
+                    end_run()
                 paragraph = []
+        end_run()
+        if start is not None and len(whole) > 1:
+            offer(self.best([w for p in whole for w in p], least), start)
         return best
 
 
@@ -174,6 +297,7 @@ def licenses(files: DataFrame, templates: dict[str, list[str]] | None = None,
              min_cosine: float = MIN_COSINE) -> DataFrame:
     """(file_id, path, license, score, found, from_dir): ``found`` is own, inherited or none.
 
+    ``license`` is an SPDX identifier, or the expression of the file's SPDX tag.
     Null and empty texts have no license of their own; a file with a null path inherits
     nothing. Several license files of a directory: the best score, then the smallest path
     and id, decides. Repeated rows get equal results; other columns are ignored; an empty
