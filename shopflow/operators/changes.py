@@ -72,8 +72,9 @@ def orders_intake(headers: DataFrame, lines: DataFrame, products: DataFrame) ->
     ``headers``: (order_seq, customer_name, table_number, EmployeeID, has_items)
     with raw text values; ``lines``: (order_seq, line_pos, productID, quantity)
     as raw text. Returns ``orders`` (new headers, status 'pending'), ``items``
-    (accepted lines with the price frozen), ``stock`` (products after intake)
-    and ``rejects`` (order_seq, reason).
+    (accepted lines with the price frozen), ``stock`` (products after intake),
+    ``rejects`` (order_seq, reason) and ``by_order``, which orders and rejects read
+    (order_seq, totalAmount, placed, has_valid), for callers that keep it for them.
 
     Rules: an empty cart is rejected; lines whose product is unknown,
     unavailable or out of stock are dropped; an order with no line left is
@@ -118,8 +119,10 @@ def orders_intake(headers: DataFrame, lines: DataFrame, products: DataFrame) ->
     # Checked on the parsed lines (a filtered scan that stops at the first hit).
     if parsed.filter(F.col("quantity").isNull()).isEmpty():
         failing = label_fail
-        # All four results below read the decision, so it is made once.
+        # All results below read the decision, so it is made once; it reads its lines twice.
+        ln = ln.persist()
         decided = decided_lines(ln, F.col("_label_fail")).checkpoint()
+        ln.unpersist()
     else:
         # Start from "every order with a non-numeric quantity fails" and shrink.
         nan_orders = ln.filter(F.col("quantity").isNull()).select("order_seq")
@@ -148,17 +151,18 @@ def orders_intake(headers: DataFrame, lines: DataFrame, products: DataFrame) ->
 
     ok = F.col("accepted") & ~F.col("_failed") & ~F.col("_nan")
     items = decided.filter(ok).select("order_seq", "line_pos", "productID", "quantity", "price")
-    totals = items.groupBy("order_seq").agg(
-        F.sum(F.col("quantity") * F.col("price")).alias("totalAmount"))
-    # Failed orders have no accepted line, so the inner join leaves them out.
-    new_orders = valid_h.join(totals, "order_seq", "inner").select(
+    # An order "has a valid item" when any line found its product sellable at its
+    # turn (checked before the insert that may fail), whether or not it failed.
+    by_order = decided.groupBy("order_seq").agg(
+        F.sum(F.when(ok, F.col("quantity") * F.col("price"))).alias("totalAmount"),
+        F.max(ok).alias("placed"), F.max("accepted").alias("has_valid"))
+    # Failed orders have no accepted line, so they are not placed.
+    new_orders = valid_h.join(by_order.filter("placed"), "order_seq", "inner").select(
         F.col("order_seq").alias("orderID"), "EmployeeID", "customer_name", "order_type",
         "totalAmount", F.lit("pending").alias("status"))
     new_stock = stock_after(products, decided.withColumn("accepted", ok))
 
-    # An order "has a valid item" when any line found its product sellable at its
-    # turn (checked before the insert that may fail), whether or not it failed.
-    has_valid = decided.filter(F.col("accepted")).select("order_seq").distinct()
+    has_valid = by_order.filter("has_valid").select("order_seq")
     empty = h.filter(~F.col("has_items")).select("order_seq", F.lit(S.CART_EMPTY).alias("reason"))
     failed = (failing.join(has_valid, "order_seq", "left_semi")
               .select("order_seq", F.lit(S.ORDER_FAILED).alias("reason")))
@@ -167,7 +171,7 @@ def orders_intake(headers: DataFrame, lines: DataFrame, products: DataFrame) ->
     overflow = new_orders.filter(F.col("totalAmount") > _money_max()).select(
         F.col("orderID").alias("order_seq"), F.lit(S.TOTAL_OVERFLOW).alias("reason"))
     rejects = empty.unionByName(failed).unionByName(novalid).unionByName(overflow)
-    return {"orders": new_orders, "items": items, "stock": new_stock, "rejects": rejects}
+    return {"orders": new_orders, "items": items, "stock": new_stock, "rejects": rejects, "by_order": by_order}
 
 
 # ----------------------------------------------------------------- stock

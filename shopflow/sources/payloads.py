@@ -24,6 +24,7 @@ PAYLOAD = T.StructType([
 
 # Number tokens with an exponent, after the keys read as text.
 _EXPONENT = r'"(quantity|productID|table_number)"\s*:\s*-?[0-9]+(\.[0-9]+)?[eE][+-]?[0-9]+'
+_SOME_EXPONENT = r"[0-9][eE][+-]?[0-9]"  # in each of those, and quickly looked for
 _NUMBERS = ("table_number double, items array<struct<productID: double, quantity: double>>")
 LINE = T.StructType([T.StructField("order_seq", T.LongType()), T.StructField("EmployeeID", T.LongType()), *PAYLOAD])
 
@@ -33,7 +34,7 @@ def parse_payloads(payloads: DataFrame, body: str = "body", schema: T.StructType
     an exponent becomes its plain digits, as a JSON reader would hand it to ``parseInt``."""
     doc = F.from_json(F.col(body), schema, {"mode": "PERMISSIVE"})
     return payloads.withColumn("doc", doc).withColumn(
-        "doc", F.when(F.col(body).rlike(_EXPONENT), _plain(F.col("doc"), F.from_json(F.col(body), _NUMBERS)))
+        "doc", F.when(F.col(body).rlike(_SOME_EXPONENT) & F.col(body).rlike(_EXPONENT), _plain(F.col("doc"), F.from_json(F.col(body), _NUMBERS)))
         .otherwise(F.col("doc")))
 
 

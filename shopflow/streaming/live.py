@@ -86,7 +86,9 @@ def _updates(events: DataFrame) -> DataFrame:
     return status_events_from(events).select("orderID", "status", "ts", "event_id")
 
 
-def _run(stream: DataFrame, step, name: str, spark: SparkSession, trigger: dict | None, mode: str = "update") -> None:
+def _run(stream: DataFrame, step, name: str, spark: SparkSession, trigger: dict | None, mode: str = "update",
+         keep: bool = True) -> None:
+    """``keep``: hold the batch while ``step`` runs; without it ``step`` must read it once."""
     def held(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
         try:
@@ -94,7 +96,7 @@ def _run(stream: DataFrame, step, name: str, spark: SparkSession, trigger: dict
         finally:
             batch.unpersist()
 
-    q = (stream.writeStream.queryName(_qname(name)).outputMode(mode).foreachBatch(held)
+    q = (stream.writeStream.queryName(_qname(name)).outputMode(mode).foreachBatch(held if keep else step)
          .option("checkpointLocation", scratch_path(spark, f"{name}/checkpoint"))
          .trigger(**(trigger or {"availableNow": True})).start())
     if not trigger:

@@ -7,6 +7,7 @@ import random
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from shopflow.operators import changes, reports
 from shopflow.schema import ORDER_ITEMS, ORDERS, Tables
@@ -137,6 +138,29 @@ def test_any_cut_into_batches_is_one_batch(spark, seed, tmp_path, cuts):
     assert stock(intake.stock_now(spark, base, seed.products)) == stock(want["stock"])
 
 
+def test_a_body_is_parsed_once(spark, seed, tmp_path, monkeypatch):
+    parsed, parse = spark.sparkContext.accumulator(0), payloads.parse_lines
+
+    @F.udf("boolean")
+    def counted(_):
+        parsed.add(1)
+        return True
+
+    counted = counted.asNondeterministic()
+    monkeypatch.setattr(payloads, "parse_lines", lambda df: parse(df).filter(counted("order_seq")))
+    lines = [x for x in bodies(40, 5) if x.endswith("}")]
+    put(tmp_path / "in", 0, lines)
+    intake.run_live_intake(spark, intake.payload_stream(spark, str(tmp_path / "in")), seed.products, f"once-{os.getpid()}")
+    assert parsed.value == len(lines)
+
+
+def test_some_exponent_is_in_every_exponent(spark):
+    texts = ['{"quantity": 1e3}', '{"quantity":-2.5E+1}', '{"table_number" : 10e-1}', '{"quantity": 10}', '{"items": [{"productID": 1.5e0}]}']
+    df = spark.createDataFrame([(x,) for x in texts], "value string")
+    got = df.select(F.col("value").rlike(payloads._EXPONENT).alias("a"), F.col("value").rlike(payloads._SOME_EXPONENT).alias("b")).collect()
+    assert [r.a for r in got] == [True, True, True, False, True] and all(r.b for r in got if r.a)
+
+
 def test_state_holds_only_products_that_were_asked_for(spark, seed, tmp_path):
     put(tmp_path / "in", 0, ['{"order_seq": 1, "items": [{"productID": 9, "quantity": 2}]}'])
     base = intake.run_live_intake(spark, intake.payload_stream(spark, str(tmp_path / "in")), seed.products, f"one-{os.getpid()}")
