@@ -121,8 +121,10 @@ def orders_intake(headers: DataFrame, lines: DataFrame, products: DataFrame) ->
         failing = label_fail
         # All results below read the decision, so it is made once; it reads its lines twice.
         ln = ln.persist()
-        decided = decided_lines(ln, F.col("_label_fail")).checkpoint()
-        ln.unpersist()
+        try:
+            decided = decided_lines(ln, F.col("_label_fail")).checkpoint()
+        finally:
+            ln.unpersist()
     else:
         # Start from "every order with a non-numeric quantity fails" and shrink.
         nan_orders = ln.filter(F.col("quantity").isNull()).select("order_seq")

@@ -46,21 +46,28 @@ def run_live_intake(spark: SparkSession, lines: DataFrame, products: DataFrame,
                             F.col("price").cast("decimal(10,2)").alias("price"))
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        stock = stock_state(batch.sparkSession, base)
         # Everything below reads the parsed bodies, so each is parsed once, not its text kept.
         docs = payloads.parse_lines(batch).persist()
+        kept = [docs]
+        try:
+            serve(docs, batch_id, kept)
+        finally:
+            for frame in reversed(kept):
+                frame.unpersist()
+
+    def serve(docs: DataFrame, batch_id: int, kept: list[DataFrame]) -> None:
+        stock = stock_state(docs.sparkSession, base)
         headers, asked = payloads.read_order_payloads(docs)
         wanted = (asked.select(js_int(F.col("productID")).alias("productID")).filter("productID IS NOT NULL")
                   .distinct().persist())
+        kept.append(wanted)
         held = stock.read(wanted, batch_id).join(wanted, "productID", "left_semi")
         new = shelf.join(wanted, "productID", "left_semi").join(held.select("productID"), "productID", "left_anti")
         out = changes.orders_intake(headers, asked, held.unionByName(new))
-        by_order = out["by_order"].persist()  # read by the orders and by three kinds of rejects
+        kept.append(out["by_order"].persist())  # read by the orders and by three kinds of rejects
         for kind in OUTPUTS:
             out[kind].write.mode("overwrite").parquet(f"{base}/{kind}/batch_id={batch_id}")
         stock.write(out["stock"], batch_id)
-        for kept in (by_order, wanted, docs):
-            kept.unpersist()
 
     _run(lines, step, name, spark, trigger, mode="append", keep=False)
     return base
